@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts, token_records
+from . import bpe, decontaminate, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,37 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    f = F.col("found")
+    return found.select(
+        "doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (f["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS x FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, k, i, array_to_string(w[i:i+k-1], ' ') AS x FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)
+), hit AS (
+  SELECT r, i, dw.k AS k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.x = bw.x
+), words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(found.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN found ON found.r = d.r
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     x = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
@@ -72,8 +103,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_records": op4_token_records,
+    "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_quality_rules": OP8_SQL}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, token_counts, token_records
+from . import bpe, decontaminate, language, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """crc32 of the id as text leaves this remainder (a null id: as empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(3, 1)))
+    x = language.identify(docs.select("doc_id", "text", held_out(3, 1).alias("held_out")), model)
+    return x.select("doc_id", "held_out", F.col("language")["lang"].alias("lang_pred"), F.col("language")["score"].alias("score"), F.col("language")["rejected"].alias("rejected"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_records.read(spark, token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -102,6 +114,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_token_records": op4_token_records,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, quality, token_counts, token_records
+from . import bpe, decontaminate, language, ngram_join, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.col("near")["class_id"].alias("class_id"), F.col("near")["n_links"].alias("n_links"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i+4], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), z AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r
+), l AS (
+  SELECT p.a, p.b FROM p JOIN z za ON za.r = p.a JOIN z zb ON zb.r = p.b WHERE 10 * p.n >= 8 * (za.n + zb.n - p.n)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b
+), c AS (
+  SELECT reach.a AS r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a
+), n AS (
+  SELECT a AS r, count(*) AS n FROM e GROUP BY a
+)
+SELECT d.doc_id, c.class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM d JOIN c ON c.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
+
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 OP8_SQL = rf"""
@@ -114,6 +143,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_ngram_join": op10_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_token_records": op4_token_records,
     "op6_decontamination": op6_decontamination,
@@ -121,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_ngram_join": OP10_SQL, "op8_quality_rules": OP8_SQL}

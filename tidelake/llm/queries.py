@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, ngram_join, quality, token_counts, token_records
+from . import bpe, decontaminate, language, lm, ngram_join, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "held_out", F.col("language")["lang"].alias("lang_pred"), F.col("language")["score"].alias("score"), F.col("language")["rejected"].alias("rejected"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.where(~held_out(7, 2))
+    counts = lm.count(rows)
+    model = lm.fit(rows, counts)
+    x = lm.score(docs.withColumn("held_out", held_out(7, 2)), model, counts)
+    f = F.col("lm")
+    return x.select("doc_id", "held_out", f["n_tokens"].alias("n_tokens"), f["n_known"].alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), f["base_score"].alias("base_score"), f["score"].alias("score"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_records.read(spark, token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -143,6 +153,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_join": op10_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_token_records": op4_token_records,

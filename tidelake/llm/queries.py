@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lm, ngram_join, quality, token_counts, token_records
+from . import bpe, decontaminate, html_text, language, lm, ngram_join, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "held_out", f["n_tokens"].alias("n_tokens"), f["n_known"].alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), f["base_score"].alias("base_score"), f["score"].alias("score"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return x.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_records.read(spark, token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -155,6 +160,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_join": op10_ngram_join,
+    "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op4_token_records": op4_token_records,
     "op6_decontamination": op6_decontamination,

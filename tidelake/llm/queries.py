@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, lm, ngram_join, quality, token_counts, token_records
+from . import bpe, decontaminate, html_text, language, licenses, lm, ngram_join, quality, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,43 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(spark, token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = F.col("licenses")
+    return x.select(
+        "doc_id", *(f[c].alias(c) for c in ("n_words", "n_base", "first_word", "last_word")),
+        F.array_join(f["base_labels"], ",").alias("base_labels"), F.array_join(f["labels"], ",").alias("labels"), F.round(f["score"], 6).alias("score"),
+    )
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ", ".join(f"('{t.label}', {_sql_list(t.words)}, {_sql_list(t.key)}, {t.before}, {str(t.base).upper()})" for t in licenses.TEMPLATES)
+
+OP5_SQL = rf"""
+WITH t(label, notice, phrase, ahead, base) AS (VALUES {_TEMPLATES}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), hit AS (
+  SELECT r, w, label, notice, ahead, base, i FROM (SELECT r, w, t.*, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, t WHERE len(w) >= len(phrase) AND list_contains(w, phrase[-1]))
+  WHERE w[i:i + len(phrase) - 1] = phrase
+), word AS (
+  SELECT r, label, base, i, len(notice) AS size, notice[q] AS x, CASE WHEN i - ahead - 1 + q >= 1 THEN w[i - ahead - 1 + q] END AS y FROM (SELECT *, unnest(range(1, len(notice) + 1)) AS q FROM hit)
+), share AS (
+  SELECT r, label, base, i, size, count(*) FILTER (WHERE x = y) / size AS s FROM (SELECT *, row_number() OVER () AS u FROM word) GROUP BY r, label, base, i, size
+), one AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n_base, min(i - 1) FILTER (WHERE base) AS first_word, max(i - 1) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r
+), best AS (
+  SELECT r, max(s) AS s FROM share GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(s, 0.0)::DOUBLE, 6) AS score
+FROM d LEFT JOIN one ON one.r = d.r LEFT JOIN best ON best.r = d.r
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     f = F.col("found")
@@ -163,9 +200,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op4_token_records": op4_token_records,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_ngram_join": OP10_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_ngram_join": OP10_SQL, "op8_quality_rules": OP8_SQL}

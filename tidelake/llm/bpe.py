@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,7 +159,7 @@ def encode(df: DataFrame, path: str, text: str = "text", digest: bool = False, n
             for i, j in groups([len(t) for t in texts]):
                 for x, y, z in codec.digests(texts[i:j]):
                     n.append(x)
-                    ids.append(sha(y) if digest else [int(v) for v in y.split()])
+                    ids.append(sha(y) if digest else np.array(y.split(), np.int32))
                     decoded.append(sha(z) if digest else z)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*keep, *names])
 

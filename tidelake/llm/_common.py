@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy code (about ten working arrays of eight bytes a byte).
 PIECE = 1 << 20
@@ -34,6 +35,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def computed_once(value: Column) -> Column:
+    """value, in a form that the optimizer doesn't copy into filters: a filter on one of its fields, pushed below the steps
+    that build it, would repeat each step wherever a later one refers to it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get at most so many rows at once: a batch of very long texts must fit in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import computed_once, fresh
 
 RARE = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -130,4 +130,4 @@ def scan(df: DataFrame, text: str = "text", out: str = "licenses", templates: tu
         F.size(w).cast("long").alias("n_words"), F.size(of_base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         name(of_base).alias("base_labels"), name(h).alias("labels"), F.coalesce(F.array_max(share), F.lit(0.0)).alias("score"),
     )
-    return x.select(*keep, result.alias(out))
+    return x.select(*keep, computed_once(result).alias(out))

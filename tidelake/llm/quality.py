@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import computed_once, fresh
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -109,7 +109,7 @@ def score(df: DataFrame, text: str = "text", out: str = "quality", rules: tuple[
     }
     failed = F.array_compact(F.array(F.when(field("n_words") < 20, "too_short"), F.when(100 * field("n_repeat_words") > 30 * field("n_words"), "repeated_windows"), *(F.when(~within(ratio[r.measure], r), r.name) for r in rules)))
     kept = reduce(lambda a, b: a & b, (within(ratio[r.measure], r) for r in rules), ~base_failed)
-    return counted.select(*columns, F.struct(*(field(k).alias(k) for k in names), base_failed.alias("base_failed"), kept.alias("kept"), failed.alias("failed")).alias(out))
+    return counted.select(*columns, computed_once(F.struct(*(field(k).alias(k) for k in names), base_failed.alias("base_failed"), kept.alias("kept"), failed.alias("failed"))).alias(out))
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

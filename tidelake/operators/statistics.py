@@ -205,14 +205,18 @@ def min_variance(cov: np.ndarray, cap: float = 0.2, rounds: int = 500) -> np.nda
 
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
     """Cluster numbers (from 0, by smallest member) of agglomerative clustering with average linkage."""
-    groups = [[i] for i in range(len(distance))]
-    while len(groups) > max(1, k):
-        a, b = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda ij: distance[np.ix_(groups[ij[0]], groups[ij[1]])].mean())
-        groups[a] += groups.pop(b)
-    out = np.empty(len(distance), int)
-    for c, g in enumerate(sorted(groups, key=min)):
-        out[g] = c
-    return out
+    n = len(distance)
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, owner = np.ones(n), np.arange(n)
+    for _ in range(n - max(1, k)):
+        a, b = sorted(divmod(int(np.argmin(d)), n))
+        joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = joined, joined
+        d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        owner[owner == b] = a
+    return np.unique(owner, return_inverse=True)[1]
 
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3) -> np.ndarray:

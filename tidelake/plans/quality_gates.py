@@ -42,11 +42,11 @@ def silver_price(spark, sf):
     return s.groupBy("asset_id").agg(F.count(F.lit(1)).alias("days"), F.count("close").alias("priced"), F.count_if(F.col("is_winsorized")).alias("winsorized"))
 
 
-@query(f"""WITH {P4}, d AS (SELECT asset_id, instrument_id, exchange, date, avg(CASE WHEN date >= DATE '1998-01-01' THEN rate / 100 ELSE rate END) AS rate FROM p4 WHERE asset_id <= 30 GROUP BY 1, 2, 3, 4), g AS (SELECT asset_id, instrument_id, exchange, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY 1, 2, 3),
+@query(f"""WITH {P4}, d AS (SELECT asset_id, instrument_id, exchange, date, avg(CASE WHEN date >= DATE '1998-01-01' THEN rate / 100 ELSE rate END) AS rate FROM p4 GROUP BY 1, 2, 3, 4), g AS (SELECT asset_id, instrument_id, exchange, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY 1, 2, 3),
 f AS (SELECT g.*, d.rate AS r, last_value(d.rate IGNORE NULLS) OVER (PARTITION BY g.asset_id, g.instrument_id, g.exchange ORDER BY g.date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v FROM g LEFT JOIN d ON d.asset_id = g.asset_id AND d.instrument_id = g.instrument_id AND d.exchange = g.exchange AND d.date = g.date)
 SELECT asset_id, instrument_id, exchange, count(*) AS n, count(*) FILTER (WHERE r IS NULL) AS n_filled, round(avg(v), 8) AS rate FROM f WHERE v IS NOT NULL GROUP BY 1, 2, 3""")
 def silver_funding(spark, sf):
-    s = Q.silver_funding(p4(spark, sf).where("asset_id <= 30"), "1998-01-01")
+    s = Q.silver_funding(p4(spark, sf), "1998-01-01", least_assets=5)
     return s.groupBy("asset_id", "instrument_id", "exchange").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_ffilled")).alias("n_filled"), rnd(F.avg("rate"), 8).alias("rate"))
 
 

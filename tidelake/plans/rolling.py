@@ -315,14 +315,14 @@ def extreme_flags(spark, sf):
     return r.crossJoin(F.broadcast(q)).select("asset_id", "date", rnd("r").alias("r"), ((F.col("r") < F.col("lo")) | (F.col("r") > F.col("hi"))).alias("extreme"))
 
 
-@query(f"""WITH {P3}, b AS (SELECT min(date) AS a, max(date) AS b FROM p3), g AS (SELECT asset_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT asset_id FROM p3 WHERE asset_id % 5 = 0), b),
+@query(f"""WITH {P3}, b AS (SELECT min(date) AS a, max(date) AS b FROM p3), g AS (SELECT asset_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT asset_id FROM p3), b),
 o AS (SELECT asset_id, min(date) AS onboard FROM p3 WHERE volume > 60000 GROUP BY asset_id)
 SELECT g.asset_id, g.date, CASE WHEN g.date >= onboard THEN round(close, 4) END AS close, round(CASE WHEN g.date >= onboard THEN coalesce(close, marketcap) END, 4) AS filled, coalesce(g.date >= onboard AND close IS NOT NULL, false) AS active
 FROM g LEFT JOIN p3 ON p3.asset_id = g.asset_id AND p3.date = g.date LEFT JOIN o ON o.asset_id = g.asset_id""")
 def panel_activity(spark, sf):
     p = p3(spark, sf)
     bounds = p.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    grid = p.where("asset_id % 5 = 0").select("asset_id").distinct().crossJoin(F.broadcast(bounds)).select("asset_id", F.explode(F.sequence("a", "b")).alias("date"))
+    grid = p.select("asset_id").distinct().crossJoin(F.broadcast(bounds)).select("asset_id", F.explode(F.sequence("a", "b")).alias("date"))
     onboard = p.where("volume > 60000").groupBy("asset_id").agg(F.min("date").alias("onboard"))
     x = grid.join(p, ["asset_id", "date"], "left").join(onboard, "asset_id", "left")
     live = F.col("date") >= F.col("onboard")

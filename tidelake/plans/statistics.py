@@ -113,7 +113,7 @@ def bucket_inversions(spark, sf):
 
 def _matrix(method):
     def run(spark, sf):
-        d = r1(spark, sf).where("asset_id < 40 and r is not null").select(F.lit("all").alias("basket"), "asset_id", "date", "r")
+        d = r1(spark, sf).where("r is not null").select(F.lit("all").alias("basket"), "asset_id", "date", "r")
         return T.basket_matrix(d, "basket", "asset_id", "date", "r", method).withColumn("value", rnd("value"))
 
     return run

@@ -90,9 +90,11 @@ def test_licenses(spark):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_runs_give_the_ids_of_whole_texts(path):
     tok, how = chunks.load(path), chunks.mode(path)
-    ids = chunks.Runs(tok, how)
+    ids = chunks.Runs(tok, how, path)
     memo = chunks.Memo({}, lambda runs: [tuple(x) for x in ids(runs)], limit=300)
-    texts = odd_texts(800) + ["qwertyuiop asdfghjkl zxcvbnm " * 50]
+    r = random.Random(9)
+    letters = "abcXYZéÉßſǅİŉĳÿ×÷ñ,.!|'#1"
+    texts = odd_texts(800) + ["qwertyuiop asdfghjkl zxcvbnm " * 50] + [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(40)) for _ in range(200)]
     for i in range(0, len(texts), 50):
         for t, v in zip(texts[i : i + 50], memo.by_text(texts[i : i + 50], how), strict=True):
             assert [x for r in v for x in r] == tok.encode(t, add_special_tokens=False).ids, repr(t)

@@ -110,7 +110,7 @@ class Codec:
         self.tok, self.how, self.tree = load(path), mode(path), TreeEncoder(path)
         self.joined = self.tok.decoder is None  # then decode() joins the token strings with one blank
         self.names = [self.tok.decode([i], skip_special_tokens=False) for i in range(self.tok.get_vocab_size(with_added_tokens=True))] if self.joined else []
-        self.ids, self.memo = Runs(self.tok, self.how), Memo({"": (0, "", "")} if self.how == "dropped" else {}, self._learn)
+        self.ids, self.memo = Runs(self.tok, self.how, path), Memo({"": (0, "", "")} if self.how == "dropped" else {}, self._learn)
 
     def _learn(self, runs: list) -> list[tuple[int, str, str]]:
         """Number of tokens, ids and decoded text of each run."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import Memo, Runs, ids_of, load, mode
+from ._chunks import Memo, Runs, byte_alphabet, ids_of, load, mode
 from ._common import groups, small_batches, strings
 
 _STATE: dict = {}
@@ -28,7 +28,7 @@ def whole_tokens(path: str) -> frozenset[str]:
     tok = load(path)
     found: set[str] = set()
     suffix = getattr(tok.model, "end_of_word_suffix", None) or ""
-    byte_of = {c: b for b, c in _byte_alphabet().items()}
+    byte_of = {c: b for b, c in enumerate(byte_alphabet())}
     texts = []
     for s in tok.get_vocab(with_added_tokens=False):
         if suffix and not s.endswith(suffix):
@@ -44,13 +44,6 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 def _counter(path: str, whole: frozenset[str]):
     if path.endswith(".model"):
         import sentencepiece
@@ -58,7 +51,7 @@ def _counter(path: str, whole: frozenset[str]):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)] if texts else []
     tok, how = load(path), mode(path)
-    ids = Runs(tok, how)
+    ids = Runs(tok, how, path)
     memo = Memo(dict.fromkeys(whole, 1) | {"": 0} if how == "dropped" else {}, lambda runs: [len(x) for x in ids(runs)])
     return lambda texts: [sum(v) for v in memo.by_text(texts, how)] if how != "whole" else [len(x) for x in ids_of(tok, texts)]
 

@@ -64,7 +64,7 @@ class _Encoder:
     def __init__(self, path: str):
         self.tok, self.how = load(path), mode(path)
         self.code = "H" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        ids = Runs(self.tok, self.how)
+        ids = Runs(self.tok, self.how, path)
         self.memo = Memo({"": b""} if self.how == "dropped" else {}, lambda runs: [array(self.code, x).tobytes() for x in ids(runs)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._chunks import Memo, Runs, load, mode
-from ._common import groups, shared_folder, small_batches, strings
+from ._chunks import CACHE_LIMIT, Memo, Runs, load, mode, spaced, trim
+from ._common import groups, hash_words, shared_folder, small_batches, strings
 
 HEADER = b"RECTOK1"
 MANIFEST = "shard int, file string, n_docs long, n_tokens long"
 _STATE: dict = {}
+BLANK = np.zeros(256, bool)
+BLANK[0x20] = True
 
 
 def masked(data: bytes) -> int:
@@ -61,15 +64,87 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class _Encoder:
-    def __init__(self, path: str):
+    """Ids of whole texts. Where blanks lead (byte-level splitting), the words of many texts are looked up at once, by 64-bit
+    hash and length, in sorted arrays; each distinct word that is not known goes to the library."""
+
+    def __init__(self, path: str, limit: int = 700_000):
         self.tok, self.how = load(path), mode(path)
         self.code = "H" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        ids = Runs(self.tok, self.how, path)
-        self.memo = Memo({"": b""} if self.how == "dropped" else {}, lambda runs: [array(self.code, x).tobytes() for x in ids(runs)])
+        self.type, self.limit = np.uint16 if self.code == "H" else np.uint32, limit
+        self.ids = Runs(self.tok, self.how, path)
+        self.memo = Memo({"": b""} if self.how == "dropped" else {}, lambda runs: [array(self.code, x).tobytes() for x in self.ids(runs)], 50_000 if self.how == "leading" else CACHE_LIMIT)
+        self.keys = np.empty(0, np.uint64)
+        self.first, self.many, self.size, self.used = (np.empty(0, np.int32) for _ in range(4))
+        self.flat, self.held = np.empty(1 << 16, self.type), 0
+
+    def _forget(self) -> None:
+        """Keeps the words that came up in several runs of texts, at most half of the limit."""
+        least = max(2, int(np.partition(self.used, -(self.limit // 2))[-(self.limit // 2)]) + 1 if len(self.used) > self.limit // 2 else 2)
+        keep = self.used >= least
+        n = self.many[keep].astype(np.int64)
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.first[keep] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.held = len(self.flat)
+        if not self.held:
+            self.flat = np.empty(1 << 16, self.type)
+        self.keys, self.size, self.used, self.many = self.keys[keep], self.size[keep], self.used[keep] // 2, self.many[keep]
+        self.first = (ends - n).astype(np.int32)
+
+    def _words(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of the words between single blanks, one after the other; where each word's begin and end; where words begin."""
+        h, s, e = hash_words(joined, BLANK)
+        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        length = (e - s)[at]
+        i = np.searchsorted(self.keys, u)
+        near = np.minimum(i, max(0, len(self.keys) - 1))
+        known = self.keys[near] == u if len(self.keys) else np.zeros(len(u), bool)
+        if len(self.keys) and (self.size[near] != length)[known].any():
+            return None
+        new = np.flatnonzero(~known)
+        if len(self.keys) > self.limit:
+            self._forget()
+            return self._words(joined)
+        ids = self.ids([joined[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)]) if len(new) else []
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        more = int(many.sum())
+        while self.held + more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.held : self.held + more] = np.fromiter(chain.from_iterable(ids), self.type, more)
+        first = self.held + np.cumsum(many) - many
+        self.held += more
+        put = i[new]
+        self.keys, self.first, self.many = np.insert(self.keys, put, u[new]), np.insert(self.first, put, first), np.insert(self.many, put, many)
+        self.size, self.used = np.insert(self.size, put, length[new]), np.insert(self.used, put, 0)
+        own = i + np.cumsum(~known) - (~known)
+        self.used[own] += 1
+        place = own[back]
+        n = self.many[place].astype(np.int64)
+        ends = np.cumsum(n)
+        out = self.flat[np.repeat(self.first[place] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return out, np.append(0, ends), s
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of the shard's width."""
-        return [b"".join(v) for v in self.memo.by_text(texts, self.how)]
+        if self.how != "leading":
+            return [b"".join(v) for v in self.memo.by_text(texts, self.how)]
+        fast = [k for k, t in enumerate(texts) if not spaced(t)]
+        parts = [texts[k].encode().partition(b" ") for k in fast]
+        tails = [p[2] for p in parts]
+        found = self._words(b" ".join(tails)) if fast else None
+        if found is None:
+            return [b"".join(v) for v in self.memo.by_text(texts, self.how)]
+        ids, ends, starts = found
+        at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in tails]))
+        cuts = (ends[at] * ids.itemsize).tolist()
+        data = ids.tobytes()
+        heads = self.memo.values_of([(p[0].decode(),) for p in parts])
+        out: list = [None] * len(texts)
+        for k, head, a, b in zip(fast, heads, cuts, cuts[1:], strict=False):
+            out[k] = head + data[a:b]
+        slow = [k for k, x in enumerate(out) if x is None]
+        for k, v in zip(slow, self.memo.by_text([texts[k] for k in slow], self.how), strict=True):
+            out[k] = b"".join(v)
+        return out
 
 
 def write(df: DataFrame, path: str, folder: str | None = None, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,6 +189,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, end_id: int = 2,
             out.write(np.frombuffer(offsets.tobytes(), np.uint64).astype("<u8").tobytes())
         fs.move(own + ".idx", name + ".idx")
         fs.move(own + ".rec", name + ".rec")
+        trim()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{folder}/shard-{shard:07d}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
     rows = sorted(docs.mapInArrow(run, MANIFEST).where("n_docs > 0").collect())

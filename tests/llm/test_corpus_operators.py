@@ -181,6 +181,22 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score(df.limit(3), lm.fit(train.limit(0), nothing), nothing).count() == 3
 
 
+def test_lm_trains_on_every_shard(spark, monkeypatch):
+    """More tokens than a bounded sample would hold, none of them in texts that such a sample drew by their hash."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 60_000)  # several shards
+    n, size = 21000, 70
+    at = F.col("id") * 7
+    word = F.transform(F.sequence(F.lit(0), F.lit(size - 2)), lambda i: F.concat(F.lit("c"), ((i + at) % 24).cast("int").cast("string")))
+    rows = spark.range(n, numPartitions=8).select(F.concat_ws(" ", word, F.concat(F.lit("u"), "id")).alias("text"))
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) >= 0.7 * 1_000_003).localCheckpoint()
+    counts = lm.count(rows)
+    model = lm.fit(rows, counts)
+    assert model.tokens == rows.count() * (size + 1) > 300_000 and model.trained == model.tokens
+    out = lm.score(rows.limit(50), model, counts).collect()
+    gain = np.mean([x["lm"]["score"] - x["lm"]["base_score"] for x in out])
+    assert gain > 0.5 * 69 * math.log10(24)  # much of the cycle of 24 words is learnt
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from tidelake.llm import quality

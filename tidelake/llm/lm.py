@@ -3,12 +3,13 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` of texts whose A-Z are lowered, then one end of text. The model knows the CLASSES x
 PER_CLASS most frequent training tokens, one of which stands for every other word; such a word's probability is that
 of its kind times its smoothed share among the other words' counts over the whole training corpus. Training is truncated
-backpropagation: windows of STEPS tokens over parallel streams, the state carried from window to window and cleared where a
-text begins. Scoring walks every text to its end in the same way, many texts abreast, and adds up the log-probabilities of
+backpropagation over all training tokens: windows of STEPS tokens over parallel streams, the state carried from window to
+window and cleared where a text begins. Each task trains on its shard of the texts, block by block; after each epoch the
+shards' weights are averaged. Scoring walks every text to its end in the same way, many texts abreast, and adds up the log-probabilities of
 all its tokens.
 
 What is gathered from the corpus: the count of every training token (a distributed table, joined in by a shuffle; only its
-HEAD most frequent rows go to the workers), and SAMPLE_TOKENS tokens in expectation that set the weights.
+HEAD most frequent rows go to the workers), and the weights, in each epoch a set from every shard.
 
 Defined cases: a null text is empty, its only token is the end; repeated rows each get their score; without training rows
 the weights stay as they are drawn; an empty table gives an empty result; other columns stay.
@@ -17,7 +18,7 @@ the weights stay as they are drawn; an empty table gives an empty result; other
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,8 @@ from ._common import SPACE_SEPARATORS, byte_texts, fresh, hashed, small_batches,
 
 CLASSES, PER_CLASS, HIDDEN = 32, 64, 24
 STREAMS, STEPS, EPOCHS, RATE = 64, 32, 4, 0.01
-#: Tokens (expected) whose windows set the weights.
-SAMPLE_TOKENS = 300_000
+#: Tokens that a training task holds, and the least number (on average) that a task trains on.
+BLOCK, SHARD_TOKENS = 1 << 18, 500_000
 #: Tokens whose counts the workers hold.
 HEAD = 65_536
 #: Tokens scored abreast.
@@ -58,6 +59,11 @@ class Weights:
     def arrays(self) -> list[np.ndarray]:
         return [self.x, self.u, self.wc, self.bc, self.w, self.b]
 
+    def like(self, flat: np.ndarray) -> Weights:
+        """Weights of the same shapes as views of one array."""
+        cuts = np.cumsum([0] + [a.size for a in self.arrays()])
+        return Weights(*(flat[i:j].reshape(a.shape) for a, i, j in zip(self.arrays(), cuts, cuts[1:], strict=False)))
+
 
 def sigmoid(a: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-a))
@@ -92,82 +98,185 @@ def output_logp(p: Weights, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_gradients(p: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, clear: np.ndarray) -> tuple[float, np.ndarray, list[np.ndarray]]:
-    """Mean loss of a window [steps, streams], the state after it, and the gradients cut off at its begin. clear: the input
-    begins a text."""
-    k, per = h.shape[1], p.b.shape[1]
-    g = [np.zeros_like(a) for a in p.arrays()]
+def window_gradients(
+    p: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, clear: np.ndarray, counted: np.ndarray | None = None, out: list[np.ndarray] | None = None
+) -> tuple[float, np.ndarray, list[np.ndarray]]:
+    """Mean loss of a window [steps, streams], the state after it, and the gradients (into out, if given) cut off at its begin.
+    clear: the input begins a text. counted: which targets count; all, if not given."""
+    k, per, steps = h.shape[1], p.b.shape[1], len(inputs)
+    g = [np.zeros_like(a) for a in p.arrays()] if out is None else out
+    for a in g:
+        a.fill(0)
     gx, gu, gwc, gbc, gw, gb = g
-    held, hs = [], []
-    for ids, c in zip(inputs, clear, strict=True):
-        h = np.where(c[:, None], np.float32(0), h)
-        h, s = step(p, h, ids)
-        held.append(s), hs.append(h)
-    flat, target = np.concatenate(hs), targets.ravel()
-    m = len(target)
+    shape = (*inputs.shape, k)
+    x = p.x[inputs]
+    before, after, z, r, n, gn = (np.empty(shape, x.dtype) for _ in range(6))
+    keep = (~clear)[:, :, None].astype(x.dtype)
+    for t in range(steps):
+        h = h * keep[t]
+        before[t] = h
+        own = h @ p.u
+        zr = sigmoid(x[t, :, : 2 * k] + own[:, : 2 * k])
+        z[t], r[t], gn[t] = zr[:, :k], zr[:, k:], own[:, 2 * k :]
+        n[t] = np.tanh(x[t, :, 2 * k :] + r[t] * gn[t])
+        h = n[t] + z[t] * (h - n[t])
+        after[t] = h
+    every = counted is None
+    target = targets.ravel()
+    m = len(target) if every else max(1, int(counted.sum()))
+    order = np.argsort(target // per, kind="stable")
+    if not every:
+        order = order[counted.ravel()[order]]
+    target, flat = target[order], after.reshape(-1, k)[order]
     cls, own = target // per, target % per
+    row = np.arange(len(order))
     logits = flat @ p.wc + p.bc
     e = np.exp(logits - logits.max(axis=1)[:, None])
     q = e / e.sum(axis=1)[:, None]
-    loss = -np.log(q[np.arange(m), cls] + 1e-30).sum()
-    q[np.arange(m), cls] -= 1
+    loss = -np.log(q[row, cls] + 1e-30).sum()
+    q[row, cls] -= 1
     q /= m
     gwc += flat.T @ q
     gbc += q.sum(axis=0)
     dh = q @ p.wc.T
-    for c in np.unique(cls):
-        i = np.flatnonzero(cls == c)
-        logits = flat[i] @ p.w[c] + p.b[c]
-        e = np.exp(logits - logits.max(axis=1)[:, None])
-        q = e / e.sum(axis=1)[:, None]
-        loss -= np.log(q[np.arange(len(i)), own[i]] + 1e-30).sum()
-        q[np.arange(len(i)), own[i]] -= 1
+    cuts = np.searchsorted(cls, np.arange(len(p.b) + 1)).tolist()
+    for c in range(len(p.b)):
+        i, j = cuts[c], cuts[c + 1]
+        if i == j:
+            continue
+        logits = flat[i:j] @ p.w[c]
+        logits += p.b[c]
+        logits -= logits.max(axis=1)[:, None]
+        q = np.exp(logits, out=logits)
+        q /= q.sum(axis=1)[:, None]
+        at = row[: j - i]
+        loss -= np.log(q[at, own[i:j]] + 1e-30).sum()
+        q[at, own[i:j]] -= 1
         q /= m
-        gw[c] += flat[i].T @ q
+        gw[c] += flat[i:j].T @ q
         gb[c] += q.sum(axis=0)
-        dh[i] += q @ p.w[c].T
-    dh = dh.reshape(*targets.shape, k)
-    back = np.zeros_like(h)
-    for t in range(len(inputs) - 1, -1, -1):
-        h0, ids, z, r, n, gn = held[t]
-        d = dh[t] + back
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h0 - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(gx, ids, np.concatenate([dz, dr, dn], axis=1))
-        gu += h0.T @ dg
-        back = np.where(clear[t][:, None], np.float32(0), d * z + dg @ p.u.T)
+        dh[i:j] += q @ p.w[c].T
+    d_after = np.zeros((len(inputs) * inputs.shape[1], k), x.dtype)
+    d_after[order] = dh
+    d_after = d_after.reshape(shape)
+    of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
+    dx, dg = np.empty((*inputs.shape, 3 * k), x.dtype), np.empty((*inputs.shape, 3 * k), x.dtype)
+    back, ut = np.zeros_like(h), np.ascontiguousarray(p.u.T)
+    for t in range(steps - 1, -1, -1):
+        d = d_after[t] + back
+        dn = d * of_n[t]
+        one = dg[t]
+        one[:, :k], one[:, k : 2 * k], one[:, 2 * k :] = d * of_z[t], dn * of_r[t], dn * r[t]
+        dx[t, :, 2 * k :] = dn
+        back = (d * z[t] + one @ ut) * keep[t]
+    dx[:, :, : 2 * k] = dg[:, :, : 2 * k]
+    gu += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+    ids = inputs.ravel()
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    gx[ids[order[first]]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
     return loss / m, h, g
 
 
-def train(p: Weights, tokens: np.ndarray, end: int, epochs: int = EPOCHS, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE) -> float:
-    """Adam over windows of the token stream (texts one after the other, each closed by end); returns the last epoch's loss."""
-    streams = max(1, min(streams, len(tokens) // (steps + 1)))
-    n = len(tokens) // streams
-    if n < 2:
-        return float("nan")
-    target = tokens[: n * streams].reshape(streams, n).T
-    before = np.concatenate([np.full((1, streams), end, target.dtype), target[:-1]])
-    m, v = [np.zeros_like(a) for a in p.arrays()], [np.zeros_like(a) for a in p.arrays()]
-    t, loss = 0, float("nan")
-    total = epochs * -(-n // steps)
-    for _ in range(epochs):
-        h, sums = np.zeros((streams, p.u.shape[0]), np.float32), []
-        for i in range(0, n, steps):
-            x = before[i : i + steps]
-            one, h, grads = window_gradients(p, h, x, target[i : i + steps], x == end)
-            sums.append(one)
-            t += 1
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
-            scale, lr = min(1.0, 1.0 / (norm + 1e-9)), rate * (1 - 0.95 * t / total)
-            for a, g, mm, vv in zip(p.arrays(), grads, m, v, strict=True):
-                g = g * np.float32(scale)
-                mm += np.float32(0.1) * (g - mm)
-                vv += np.float32(0.01) * (g * g - vv)
-                a -= np.float32(lr / (1 - 0.9**t)) * mm / (np.sqrt(vv / np.float32(1 - 0.99**t)) + np.float32(1e-6))
-        loss = float(np.mean(sums))
-    return loss
+class Trainer:
+    """Adam over the windows of a token stream (texts one after the other, each closed by end) that comes in pieces; no more
+    than BLOCK tokens and one piece are held."""
+
+    def __init__(self, weights: Weights, end: int, rate: Callable[[int], float], streams: int = STREAMS, steps: int = STEPS):
+        self.flat = np.concatenate([a.ravel() for a in weights.arrays()])
+        self.weights = weights.like(self.flat)
+        self.gradient, self.m, self.v = (np.zeros_like(self.flat) for _ in range(3))
+        self.gradients = weights.like(self.gradient).arrays()
+        self.end, self.rate, self.streams, self.steps = end, rate, streams, steps
+        self.held: list[np.ndarray] = []
+        self.waiting = self.tokens = self.t = 0
+        self.last = end
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append(tokens)
+        self.waiting += len(tokens)
+        if self.waiting >= BLOCK:
+            every = np.concatenate(self.held)
+            whole = len(every) - len(every) % BLOCK
+            for i in range(0, whole, BLOCK):
+                self.block(every[i : i + BLOCK])
+            self.held, self.waiting = [every[whole:]], len(every) - whole
+
+    def finish(self) -> None:
+        if self.waiting:
+            self.block(np.concatenate(self.held))
+        self.held, self.waiting = [], 0
+
+    def block(self, tokens: np.ndarray) -> None:
+        """Parallel streams over the block; the last is filled up with ends that don't count, so that every token does."""
+        streams = max(1, min(self.streams, len(tokens) // (self.steps + 1)))
+        n = -(-len(tokens) // streams)
+        filled = np.full(n * streams, self.end, np.int32)
+        filled[: len(tokens)] = tokens
+        lay = lambda a: a.reshape(streams, n).T
+        before, target = lay(np.append(np.int32(self.last), filled[:-1])), lay(filled)
+        counted = lay(np.arange(n * streams) < len(tokens)) if n * streams > len(tokens) else None
+        h = np.zeros((streams, self.weights.u.shape[0]), np.float32)
+        for i in range(0, n, self.steps):
+            x = before[i : i + self.steps]
+            _, h, _ = window_gradients(self.weights, h, x, target[i : i + self.steps], x == self.end, None if counted is None else counted[i : i + self.steps], self.gradients)
+            self.update(self.rate(self.tokens + i * streams))
+        self.tokens += len(tokens)
+        self.last = tokens[-1]
+
+    def update(self, rate: float) -> None:
+        g, m, v = self.gradient, self.m, self.v
+        self.t += 1
+        g *= np.float32(min(1.0, 1.0 / (math.sqrt(float(g @ g)) + 1e-9)))
+        m += np.float32(0.1) * (g - m)
+        g *= g
+        g -= v
+        v += np.float32(0.01) * g
+        np.multiply(v, np.float32(1 / (1 - 0.99**self.t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-6)
+        np.divide(m, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.t))
+        self.flat -= g
+
+
+def train(ids: DataFrame, weights: Weights, tokens: int, end: int, epochs: int = EPOCHS) -> tuple[Weights, int]:
+    """The weights after epochs over every text of ids (binary column ids), and how many tokens the last epoch went over. In
+    each epoch every shard starts from the same weights and trains on all its texts in one task; then the shards' weights are
+    averaged by their numbers of tokens, first in groups of shards, then on the driver, which holds about the root of their number."""
+    spark, trained = ids.sparkSession, 0
+    ids = ids.coalesce(max(1, tokens // SHARD_TOKENS))
+    shards = ids.rdd.getNumPartitions()
+    expected = max(1, tokens / max(1, shards))
+    for epoch in range(epochs):
+        shipped = spark.sparkContext.broadcast(weights)
+
+        def shard(batches: Iterator[pa.RecordBatch], shipped=shipped, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            rate = lambda done: RATE * (1 - 0.95 * (epoch + min(1.0, done / expected)) / epochs)
+            trainer = Trainer(shipped.value, end, rate)
+            for b in batches:
+                for x in b.column(0):
+                    trainer.add(np.frombuffer(x.as_buffer(), "<u2").astype(np.int32))
+            trainer.finish()
+            if trainer.tokens:
+                whole = trainer.flat.astype(np.float64) * trainer.tokens
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = sorted((r["shard"], r["n"], r["w"]) for b in batches for r in b.to_pylist())  # in one order, for the same sum each time
+            if rows:
+                w = sum(np.frombuffer(r[2]) for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+        schema = "shard long, n long, w binary"
+        rows = ids.mapInArrow(shard, schema).repartition(math.ceil(math.sqrt(shards)) or 1, "shard").mapInArrow(summed, schema)
+        parts = sorted(rows.collect())
+        shipped.unpersist()
+        trained = sum(r["n"] for r in parts)
+        if not trained:
+            break
+        weights = weights.like((sum(np.frombuffer(r["w"]) for r in parts) / trained).astype(np.float32))
+    return weights, trained
 
 
 @dataclass
@@ -181,6 +290,7 @@ class Model:
     distinct: int  # V
     other_tokens: int
     other_distinct: int
+    trained: int = 0  # tokens that each epoch of training went over
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Model id, training count and whether the head has it, of every token hash."""
@@ -258,7 +368,7 @@ def count(train_rows: DataFrame, text: str = "text", limit: int = 1_000_000) ->
     return written(rows.groupBy("hash").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", sample_tokens: int = SAMPLE_TOKENS, epochs: int = EPOCHS) -> Model:
+def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # the head: all tokens above a count that at most HEAD tokens reach (their ends apart), by a small histogram of the counts
     level = F.floor(F.log2("n") * 64).cast("long")
@@ -277,21 +387,22 @@ def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", sample_tok
     head_id = np.array([ids.get(h, OTHER) for h in head.tolist()], np.int32)
     inside = head_id != OTHER
     model = Model(Weights.drawn(), head, n, head_id, ids[END], total["n"], total["v"], total["n"] - int(n[inside].sum()), total["v"] - int(inside.sum()))
-    share = min(1.0, sample_tokens / max(1, model.tokens))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, _ = token_hashes(byte_texts(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([model.look_up(h)[0].astype("<u2").tobytes()], pa.binary())], names=["ids"])
 
-    rows = train_rows.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
-    drawn = [r["ids"] for r in rows.mapInArrow(encode, "ids binary").collect()]
-    stream = np.frombuffer(b"".join(sorted(drawn)), "<u2").astype(np.int32)
     # start from the frequencies: class and token biases are their logarithms
-    freq = np.bincount(stream, minlength=size).reshape(CLASSES, PER_CLASS) + 0.05
+    freq = np.bincount(head_id, weights=n, minlength=size)
+    freq[OTHER] = model.other_tokens
+    freq = freq.reshape(CLASSES, PER_CLASS) + 0.05
     model.weights.bc[:] = np.log(freq.sum(axis=1) / freq.sum())
     model.weights.b[:] = np.log(freq / freq.sum(axis=1)[:, None])
-    train(model.weights, stream, model.end, epochs)
+    if epochs:
+        small_batches(train_rows.sparkSession)
+        rows = written(train_rows.select(F.col(text).alias("text")).mapInArrow(encode, "ids binary"), "lm-ids")
+        model.weights, model.trained = train(rows, model.weights, model.tokens, model.end, epochs)
     return model
 
 

@@ -197,6 +197,21 @@ def test_lm_trains_on_every_shard(spark, monkeypatch):
     assert gain > 0.5 * 69 * math.log10(24)  # much of the cycle of 24 words is learnt
 
 
+def test_lm_trains_on_copies_and_nulls(spark, monkeypatch):
+    """A third of the rows are copies of one text whose hash a draw by text would miss; null texts are one end each."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 60_000)
+    copies = [t for k in range(40) if (t := f"k{k} " + " ".join(f"m{(i * 7 + k) % 30}" for i in range(90)))]
+    missed = spark.createDataFrame([(t,) for t in copies], "text string").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) >= 0.8 * 1_000_003).first()["text"]
+    other = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(90)), lambda i: F.concat(F.lit("v"), F.pmod(F.xxhash64(F.col("id"), i), F.lit(300)).cast("string"))))
+    rows = spark.range(4500, numPartitions=8).select(F.when(F.col("id") % 3 == 0, F.lit(missed)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(other).alias("text")).localCheckpoint()
+    counts = lm.count(rows)
+    model = lm.fit(rows, counts)
+    nulls = rows.where("text is null").count()
+    assert nulls == 60 and model.tokens == 1500 * 92 + nulls + (3000 - nulls) * 91 > 300_000 / 0.8 and model.trained == model.tokens
+    x = lm.score(rows.where(F.col("text") == missed).limit(1), model, counts).first()["lm"]
+    assert x["score"] > 0.5 * x["base_score"]  # the copies were learnt
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from tidelake.llm import quality

@@ -195,6 +195,13 @@ def test_decontamination(spark, block):
     assert decontaminate.clean(docs(spark, ["a"]), bench.limit(0)).count() == 1
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_clean_searches_items_without_id(spark, block):
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (3, "p q r s t u v w x y z")], "item_id long, text string")
+    texts = ["so A b c d e f g h i j it goes", "a b c d", "p q r s t u v w x y", None]
+    assert {x["doc_id"] for x in decontaminate.clean(docs(spark, texts), bench, block_bytes=block).collect()} == {1, 3}
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=x>Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy now, it is very cheap.</div><article><h1>Caf&eacute; &amp; more</h1><p><b>First   paragraph

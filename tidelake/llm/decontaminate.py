@@ -9,8 +9,9 @@ The fingerprints of the benchmark go to the workers only in blocks of a checked
 is taken block by block against all documents, and the hits of a document are then united. Documents are never shuffled by
 what they contain, so a passage that many documents share costs nothing more.
 
-Defined cases: null or empty texts have no words and no hits; items without words or without an id hit nothing; rows of one
-item_id count as one item; repeated documents each get their result; an empty benchmark hits nothing; other columns stay.
+Defined cases: null or empty texts have no words and no hits; items without words hit nothing, nor do those without an id
+in find (as in its SQL), while clean searches them too; rows of one item_id count as one item; repeated documents each get
+their result; an empty benchmark hits nothing; other columns stay.
 """
 
 from __future__ import annotations
@@ -169,6 +170,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **how: object) -> DataFrame:
-    """The documents that hold no window of the benchmark."""
-    name = fresh(docs, "_found")[0]
+    """The documents that hold no window of the benchmark; its items without an id count as well."""
+    name, item_id = fresh(docs, "_found")[0], str(how.get("item_id", "item_id"))
+    items = items.withColumn(item_id, F.coalesce(F.col(item_id).cast("string"), F.lit("")))
     return find(docs, items, text, out=name, **how).where(F.col(name)["n_hit"] == 0).select(*docs.columns)

@@ -216,6 +216,16 @@ of the text.<br><p>Short.<p>Last one, it ends here.</article><div id=cookie-noti
     assert html_text.content([3.0, -2.0, -2.0], [(0, 1, 0.8), (1, 2, 0.8)]) == [True, False, False]
 
 
+def test_html_names_of_the_whole_page_and_fallbacks():
+    said = "A short paragraph of some thirty words stands here, so that its own log-odds are middling and what the elements around it add decides whether it is kept."
+    for tags in ('<html class="no-cookies"><body><article>{}</article>', '<html><body class="has-sidebar"><article>{}</article>', '<body><main class="with-sidebar">{}</main>'):
+        assert html_text.extract_text(tags.format(f"<p>{said}</p>")) == said
+    assert html_text.extract_text(f'<body><div class="sidebar"><p>{said}</p></div>') == ""
+    math = "<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding=tex>x+1</annotation></math>"
+    page = f"<body><noscript>Turn scripts on, please, to read this page.</noscript><article><p>{said} So {math} holds.</p><noscript><p>{said}</p></noscript><object data=x><p>{said}</p></object></article>"
+    assert html_text.extract_text(page) == f"{said} So x+1 holds.\n{said}\n{said}"
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(40):

@@ -29,7 +29,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video select button textarea title head".split())
+DROPPED = frozenset("script style template iframe svg canvas audio video select button textarea title head annotation annotation-xml".split())
+#: Elements with text for readers without what they show; it counts inside an article only.
+FALLBACK = frozenset(("noscript", "object"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,6 +46,8 @@ AGAINST = frozenset(
     "respond discussion disqus pagination pager widget copyright skip search complementary contentinfo dialog".split()
 )
 FOR = frozenset("article content main post entry story body text".split())
+#: Elements around the whole page or all its content, whose names tell of its layout and so don't speak against it.
+WHOLE = frozenset(("html", "body", "main"))
 FORBIDDING = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0}
 OWN = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "blockquote": 0.7, "pre": 0.7, "li": -0.3, "td": -0.3, "th": -0.3, "dt": -0.3, "dd": 0.0}
 NEIGHBOUR, SIBLING = 0.8, 0.6
@@ -64,7 +68,7 @@ def around(tag: str, attributes: str, inside: bool) -> float:
                 names.update(x.lower() for x in _NAME.findall(value))
             elif k == "hidden" or k == "aria-hidden" and value == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 v = min(v, -9.0)
-        if names & AGAINST:
+        if names & AGAINST and tag not in WHOLE:
             v = min(v, 0.0) - 7.0
         elif names & FOR and tag not in ("body", "html"):
             v += 1.5
@@ -114,7 +118,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         closing = m.group(1) == "/"
-        if name in DROPPED:
+        if name in DROPPED or name in FALLBACK and not stack[-1][2]:
             if not closing and not m.group(3).endswith("/"):
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 if name == "head" and not close:

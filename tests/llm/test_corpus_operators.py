@@ -85,6 +85,12 @@ def test_prefixes_reach_the_recall():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_thresholds_too_low_for_the_recall_are_refused():
+    assert ngram_join.prefix_length(0.4) == 1
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.prefix_length(0.3)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 160)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)] + [(7, 7)]

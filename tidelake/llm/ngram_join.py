@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash banding, in place of an LSH forest, with exact verification.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of THRESHOLD or more. Words are
 `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts whose A-Z are lowered; a text of one to four words is one shingle.
 
-Each text has TREES signatures of DEPTH minima. A tree is the trie of the sorted signatures; its nodes are their prefixes.
-Prefixes are shortened from DEPTH until texts just at the threshold meet in some tree with probability RECALL. Texts with one
-shingle set are one representative. Representatives under one node are chained to the node's first, the chains' connected
+Each text has TREES signatures of DEPTH minima. A forest would hold each tree as a trie and shorten prefixes by the texts at
+hand; here all prefixes have one length, the longest (DEPTH at most) at which texts just at the threshold meet in some tree
+with probability RECALL. It depends on the threshold alone. A threshold too low for this is refused. Texts with one shingle set are one representative. Representatives under one node are chained to the node's first, the chains' connected
 components are the candidates, and within each all pairs are verified exactly: a component is dealt out as pairs of blocks
 of BLOCK texts, so a task never holds more than two blocks and no pair is ever a row. A representative's links count all
 copies on the other side.
@@ -39,6 +39,8 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     d = DEPTH
     while d > 1 and 1 - (1 - threshold**d) ** TREES < recall:
         d -= 1
+    if 1 - (1 - threshold**d) ** TREES < recall:
+        raise ValueError(f"{TREES} trees don't reach a recall of {recall} at a threshold of {threshold}")
     return d
 
 

@@ -113,7 +113,7 @@ def test_components(spark):
 def test_gradients():
     rng = np.random.default_rng(0)
     p = lm.Weights.drawn(1, hidden=3, classes=2, per=3)
-    for name in ("x", "u", "wc", "bc", "w", "b"):
+    for name in ("e", "x", "u", "wc", "bc", "w", "b"):
         setattr(p, name, getattr(p, name).astype(np.float64) * 5)
     inputs, targets = rng.integers(0, 6, (4, 2)), rng.integers(0, 6, (4, 2))
     clear = np.array([[True, False], [False, False], [False, True], [False, False]])
@@ -130,7 +130,26 @@ def test_gradients():
             assert g.flat[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
-def test_texts_abreast_score_as_alone():
+def plain_log10(p, ids, end):
+    """log10 probability of one text by the model's equations, token by token."""
+    k, per = p.u.shape[0], p.b.shape[1]
+    f = {n: getattr(p, n).astype(np.float64) for n in ("e", "x", "u", "wc", "bc", "w", "b")}
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    lse = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+    h, before, s = np.zeros(k), end, 0.0
+    for i in ids:
+        x, g = f["e"][before] @ f["x"], h @ f["u"]
+        z, r = sig(x[:k] + g[:k]), sig(x[k : 2 * k] + g[k : 2 * k])
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        c = i // per
+        s += lse(h @ f["wc"] + f["bc"])[c] + lse(h @ f["w"][c] + f["b"][c])[i % per]
+        before = i
+    return s / math.log(10)
+
+
+def test_texts_abreast_score_as_alone(monkeypatch):
+    monkeypatch.setattr(lm, "WIDTH", 3)
     rng = np.random.default_rng(2)
     p = lm.Weights.drawn(3)
     m = lm.Model(p, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 1, 0, 0, 0, 0)
@@ -138,12 +157,51 @@ def test_texts_abreast_score_as_alone():
     bounds = np.append(0, np.cumsum([len(t) for t in texts]))
     got = m.log10_texts(np.concatenate(texts), bounds)
     for t, x in zip(texts, got, strict=True):
-        h, before, s = np.zeros((1, lm.HIDDEN), np.float32), np.array([1]), 0.0
-        for i in t:
-            h, _ = lm.step(p, h, before)
-            s += float(lm.output_logp(p, h, np.array([i]))[0])
-            before = np.array([i])
-        assert x == pytest.approx(s / math.log(10), rel=1e-4)
+        assert x == pytest.approx(plain_log10(p, t.tolist(), 1), rel=1e-4)
+
+
+def test_lm_score_by_its_equations(spark, monkeypatch):
+    """score: known tokens, the shares of other tokens, and those whose counts come in by the join."""
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    monkeypatch.setattr(lm, "VISITS", 1)
+    r = random.Random(5)
+    say = lambda: " ".join(f"w{r.randint(0, 8000)}" for _ in range(r.randint(0, 90)))
+    rows = [(i, say()) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = lm.count(df.where("doc_id % 4 <> 1"))
+    model = lm.fit(df.where("doc_id % 4 <> 1"), counts)
+    c = {}
+    for d, t in rows:
+        if d % 4 != 1:
+            for w in [*t.split(), None]:
+                c[w] = c.get(w, 0) + 1
+    hashes = {w: int(lm.token_hashes([w.encode()])[0][0]) for w in {w for _, t in rows for w in t.split()}}
+    known = [None, *sorted((w for w in c if w is not None), key=lambda w: (-c[w], hashes[w]))][: 2048 - 1]
+    ids = {w: k + 1 for k, w in enumerate(known)}
+    assert len(c) > lm.HEAD > len(known) - 100 and model.end == 1
+    other = sum(n for w, n in c.items() if w not in ids), sum(w not in ids for w in c)
+    assert (model.other_tokens, model.other_distinct) == other
+    for x in lm.score(df, model, counts).collect():
+        w = [*x["text"].split(), None]
+        want = plain_log10(model.weights, [ids.get(t, 0) for t in w], 1) + sum(math.log10((c.get(t, 0) + 1) / (sum(other) + 1)) for t in w if t not in ids)
+        assert x["lm"]["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 4_000)
+    monkeypatch.setattr(lm, "FAN", 2)  # a tree of several levels
+    monkeypatch.setattr(lm, "VISITS", 1)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(1, 80)))) for i in range(500)] + [(1000 + i, "one text many times") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for x in (df.repartition(1), df.repartition(7), df.orderBy(F.rand(1)), df.repartition(3, "text")):
+        counts = lm.count(x)
+        model = lm.fit(x, counts)
+        assert model.trained == model.tokens
+        found.append({y["doc_id"]: y["lm"]["score"] for y in lm.score(x, model, counts).collect()})
+    for other in found[1:]:
+        assert all(found[0][d] == pytest.approx(other[d], rel=1e-9) for d in found[0])
 
 
 def test_lm_scores(spark, monkeypatch):
@@ -182,6 +240,7 @@ def test_lm_scores(spark, monkeypatch):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
     held = [x["lm"] for x in out if x["held"] and x["lm"]["n_tokens"] == 61]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
+    assert set(out[0].asDict()) == {"doc_id", "text", "lang", "_rid", "held", "lm"}
     assert rows0 == "w1 w2" and all(math.isfinite(x["lm"]["score"]) for x in out)
     nothing = lm.count(train.limit(0))
     assert lm.score(df.limit(3), lm.fit(train.limit(0), nothing), nothing).count() == 3
@@ -194,7 +253,7 @@ def test_lm_trains_on_every_shard(spark, monkeypatch):
     at = F.col("id") * 7
     word = F.transform(F.sequence(F.lit(0), F.lit(size - 2)), lambda i: F.concat(F.lit("c"), ((i + at) % 24).cast("int").cast("string")))
     rows = spark.range(n, numPartitions=8).select(F.concat_ws(" ", word, F.concat(F.lit("u"), "id")).alias("text"))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) >= 0.7 * 1_000_003).localCheckpoint()
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) >= 0.7 * 1_000_003).persist()
     counts = lm.count(rows)
     model = lm.fit(rows, counts)
     assert model.tokens == rows.count() * (size + 1) > 300_000 and model.trained == model.tokens
@@ -209,7 +268,7 @@ def test_lm_trains_on_copies_and_nulls(spark, monkeypatch):
     copies = [t for k in range(40) if (t := f"k{k} " + " ".join(f"m{(i * 7 + k) % 30}" for i in range(90)))]
     missed = spark.createDataFrame([(t,) for t in copies], "text string").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) >= 0.8 * 1_000_003).first()["text"]
     other = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(90)), lambda i: F.concat(F.lit("v"), F.pmod(F.xxhash64(F.col("id"), i), F.lit(300)).cast("string"))))
-    rows = spark.range(4500, numPartitions=8).select(F.when(F.col("id") % 3 == 0, F.lit(missed)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(other).alias("text")).localCheckpoint()
+    rows = spark.range(4500, numPartitions=8).select(F.when(F.col("id") % 3 == 0, F.lit(missed)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(other).alias("text")).persist()
     counts = lm.count(rows)
     model = lm.fit(rows, counts)
     nulls = rows.where("text is null").count()

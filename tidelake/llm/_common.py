@@ -41,34 +41,66 @@ def computed_once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows at once: a batch of very long texts must fit in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Python workers get at most so many rows, and about so many bytes, at once: a batch of very long texts must fit in
+    memory. These are settings of the session, as Spark has none for a single step; larger values are lowered, others stay."""
+    for key, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28, size)):
+        if not 0 < _bytes(spark.conf.get(key, str(usual))) <= most:
+            spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+def _bytes(value: str) -> int:
+    unit = value.strip().lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit[-1:], 1)
+    return int(float(unit[:-1] if scale > 1 else unit) * scale)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the cluster names, in local mode else one in /tmp."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def _hadoop_path(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the application ends."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop_path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def ready_for_checkpoints(spark: SparkSession) -> None:
     """checkpoint() writes to the folder that the cluster names, or to one for local tests where it names none."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(_shared(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, survives lost executors. by: a column to lay it out by."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd").mode("append")
+    (out.partitionBy(by) if by else out).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_folder"] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    fs, p = _hadoop_path(table.sparkSession, table.__dict__["_folder"])
+    fs.delete(p, True)
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -4,12 +4,17 @@ Tokens are words `[^\\x20\\x09-\\x0D]+` of texts whose A-Z are lowered, then one
 PER_CLASS most frequent training tokens, one of which stands for every other word; such a word's probability is that
 of its kind times its smoothed share among the other words' counts over the whole training corpus. Training is truncated
 backpropagation over all training tokens: windows of STEPS tokens over parallel streams, the state carried from window to
-window and cleared where a text begins. Each task trains on its shard of the texts, block by block; after each epoch the
-shards' weights are averaged. Scoring walks every text to its end in the same way, many texts abreast, and adds up the log-probabilities of
-all its tokens.
+window and cleared where a text begins. Scoring walks every text to its end in the same way, many texts abreast, and adds up
+the log-probabilities of all its tokens.
+
+Training is data-parallel. Equal texts are one row with their number of copies, dealt out in chunks of COPIES, so that no text
+loads one shard. A chunk's hash says to which shard and to which of ROUNDS rounds it belongs, so that each epoch goes over every token
+once, whatever the partitions of the input; within a shard chunks come in the order of their hashes. In a round every shard
+starts from the same weights; then the shards' weights are averaged by a tree of FAN shards a node on the executors, and one set of weights
+comes to the driver. A small corpus is gone over more often: until VISITS tokens, or MOST_EPOCHS epochs, have been seen.
 
 What is gathered from the corpus: the count of every training token (a distributed table, joined in by a shuffle; only its
-HEAD most frequent rows go to the workers), and the weights, in each epoch a set from every shard.
+HEAD most frequent rows go to the workers), the token ids of the training texts, and in each round a set of weights from every shard.
 
 Defined cases: a null text is empty, its only token is the end; repeated rows each get their score; without training rows
 the weights stay as they are drawn; an empty table gives an empty result; other columns stay.
@@ -27,23 +32,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_SEPARATORS, byte_texts, fresh, hashed, small_batches, written
+from ._common import SPACE_SEPARATORS, byte_texts, discard, fresh, hashed, small_batches, written
 
-CLASSES, PER_CLASS, HIDDEN = 32, 64, 24
-STREAMS, STEPS, EPOCHS, RATE = 64, 32, 4, 0.01
-#: Tokens that a training task holds, and the least number (on average) that a task trains on.
-BLOCK, SHARD_TOKENS = 1 << 18, 500_000
+CLASSES, PER_CLASS, HIDDEN = 32, 64, 32
+STREAMS, STEPS, RATE = 96, 32, 0.01
+#: Tokens that a training task holds, and about the number of tokens in a shard.
+BLOCK, SHARD_TOKENS = 1 << 18, 2_000_000
+#: Epochs over all tokens, each of so many rounds; more epochs where the corpus is small.
+EPOCHS, ROUNDS, VISITS, MOST_EPOCHS = 1, 4, 4_000_000, 8
+#: Copies of a text in one chunk, and shards averaged in one node of the tree.
+COPIES, FAN = 64, 64
 #: Tokens whose counts the workers hold.
 HEAD = 65_536
-#: Tokens scored abreast.
-ABREAST = 3_000_000
+#: Tokens scored in one go, and texts abreast (so many that a step's arrays stay in a core's cache).
+ABREAST, WIDTH = 3_000_000, 1024
 END = -(1 << 62) + 12345  # stands for the end of text among the word hashes
 OTHER = 0
 
 
 @dataclass
 class Weights:
-    x: np.ndarray  # [V, 3H] what an input token adds to update, reset and new state
+    e: np.ndarray  # [V, H] input tokens
+    x: np.ndarray  # [H, 3H] what an input adds to update, reset and new state
     u: np.ndarray  # [H, 3H]
     wc: np.ndarray  # [H, C]
     bc: np.ndarray
@@ -53,11 +63,11 @@ class Weights:
     @staticmethod
     def drawn(seed: int = 7, hidden: int = HIDDEN, classes: int = CLASSES, per: int = PER_CLASS) -> Weights:
         r = np.random.default_rng(seed)
-        n = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
-        return Weights(n(classes * per, 3 * hidden), n(hidden, 3 * hidden), n(hidden, classes), np.zeros(classes, np.float32), n(classes, hidden, per), np.zeros((classes, per), np.float32))
+        n = lambda *s: (r.standard_normal(s) * 0.2).astype(np.float32)
+        return Weights(n(classes * per, hidden), n(hidden, 3 * hidden), n(hidden, 3 * hidden), n(hidden, classes), np.zeros(classes, np.float32), n(classes, hidden, per), np.zeros((classes, per), np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.x, self.u, self.wc, self.bc, self.w, self.b]
+        return [self.e, self.x, self.u, self.wc, self.bc, self.w, self.b]
 
     def like(self, flat: np.ndarray) -> Weights:
         """Weights of the same shapes as views of one array."""
@@ -65,36 +75,61 @@ class Weights:
         return Weights(*(flat[i:j].reshape(a.shape) for a, i, j in zip(self.arrays(), cuts, cuts[1:], strict=False)))
 
 
-def sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-a))
+def sigmoid(a: np.ndarray, out: np.ndarray) -> np.ndarray:
+    np.multiply(a, 0.5, out=out)
+    np.tanh(out, out=out)
+    out += 1
+    out *= 0.5
+    return out
 
 
-def step(p: Weights, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The next state after the input tokens."""
-    k = h.shape[1]
-    x, g = p.x[ids], h @ p.u
-    zr = sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-    z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-    n = np.tanh(x[:, 2 * k :] + r * gn)
-    return n + z * (h - n), (h, ids, z, r, n, gn)
+class Cell:
+    """Steps of the recurrence for up to width rows, in arrays that are made once."""
+
+    def __init__(self, p: Weights, width: int):
+        k = p.u.shape[0]
+        self.p, self.k, kind = p, k, p.u.dtype
+        self.g, self.a, self.d = np.empty((width, 3 * k), kind), np.empty((width, 2 * k), kind), np.empty((width, k), kind)
+
+    def step(self, h: np.ndarray, x: np.ndarray, zr: np.ndarray | None = None, gn: np.ndarray | None = None, n: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+        """The next state, from the state and what the inputs add (their rows of e @ x); the parts go to zr, gn and n, if given."""
+        m, k = len(h), self.k
+        g, a, d = self.g[:m], self.a[:m] if zr is None else zr, self.d[:m]
+        np.dot(h, self.p.u, out=g)
+        np.add(g[:, : 2 * k], x[:, : 2 * k], out=a)
+        sigmoid(a, a)
+        if gn is not None:
+            gn[:] = g[:, 2 * k :]
+        n = np.empty((m, k), h.dtype) if n is None else n
+        np.multiply(a[:, k:], g[:, 2 * k :], out=n)
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=d)
+        d *= a[:, :k]
+        return np.add(n, d, out=out) if out is not None else n + d
 
 
 def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    own = logits[np.arange(len(at)), at]
+    np.minimum(logits, 80, out=logits)  # far above what trained weights give; keeps exp finite
+    np.exp(logits, out=logits)
+    return np.minimum(own, 80) - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 def output_logp(p: Weights, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln p(target | state): of its class, plus of the token within the class; rows are taken class by class."""
     per = p.b.shape[1]
+    order = np.argsort(target, kind="stable")
+    hs, target = hs[order], target[order]
     cls, own = target // per, target % per
-    out = log_softmax_at(hs @ p.wc + p.bc, cls)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(p.b) + 1))
+    got = log_softmax_at(hs @ p.wc + p.bc, cls)
+    cuts = np.searchsorted(cls, np.arange(len(p.b) + 1)).tolist()
     for c in range(len(p.b)):
-        i = order[cuts[c] : cuts[c + 1]]
-        if len(i):
-            out[i] += log_softmax_at(hs[i] @ p.w[c] + p.b[c], own[i])
+        i, j = cuts[c], cuts[c + 1]
+        if i < j:
+            got[i:j] += log_softmax_at(hs[i:j] @ p.w[c] + p.b[c], own[i:j])
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
@@ -103,78 +138,88 @@ def window_gradients(
 ) -> tuple[float, np.ndarray, list[np.ndarray]]:
     """Mean loss of a window [steps, streams], the state after it, and the gradients (into out, if given) cut off at its begin.
     clear: the input begins a text. counted: which targets count; all, if not given."""
-    k, per, steps = h.shape[1], p.b.shape[1], len(inputs)
+    k, per, steps, wide = p.u.shape[0], p.b.shape[1], *inputs.shape
     g = [np.zeros_like(a) for a in p.arrays()] if out is None else out
-    for a in g:
-        a.fill(0)
-    gx, gu, gwc, gbc, gw, gb = g
-    shape = (*inputs.shape, k)
-    x = p.x[inputs]
-    before, after, z, r, n, gn = (np.empty(shape, x.dtype) for _ in range(6))
-    keep = (~clear)[:, :, None].astype(x.dtype)
+    ge, gx, gu, gwc, gbc, gw, gb = g
+    kind = p.u.dtype
+    ids = inputs.ravel()
+    e = p.e[ids]
+    x = (e @ p.x).reshape(steps, wide, 3 * k)
+    before, after, gn, n = (np.empty((steps, wide, k), kind) for _ in range(4))
+    zr = np.empty((steps, wide, 2 * k), kind)
+    cell, any_clear = Cell(p, wide), clear.any(axis=1)
     for t in range(steps):
-        h = h * keep[t]
         before[t] = h
-        own = h @ p.u
-        zr = sigmoid(x[t, :, : 2 * k] + own[:, : 2 * k])
-        z[t], r[t], gn[t] = zr[:, :k], zr[:, k:], own[:, 2 * k :]
-        n[t] = np.tanh(x[t, :, 2 * k :] + r[t] * gn[t])
-        h = n[t] + z[t] * (h - n[t])
-        after[t] = h
+        if any_clear[t]:
+            before[t, clear[t]] = 0
+        h = cell.step(before[t], x[t], zr[t], gn[t], n[t], after[t])
     every = counted is None
     target = targets.ravel()
     m = len(target) if every else max(1, int(counted.sum()))
-    order = np.argsort(target // per, kind="stable")
+    order = np.argsort(target, kind="stable")
     if not every:
         order = order[counted.ravel()[order]]
     target, flat = target[order], after.reshape(-1, k)[order]
     cls, own = target // per, target % per
     row = np.arange(len(order))
-    logits = flat @ p.wc + p.bc
-    e = np.exp(logits - logits.max(axis=1)[:, None])
-    q = e / e.sum(axis=1)[:, None]
-    loss = -np.log(q[row, cls] + 1e-30).sum()
-    q[row, cls] -= 1
-    q /= m
-    gwc += flat.T @ q
-    gbc += q.sum(axis=0)
+
+    def errors(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+        """(probabilities - target) / m, and the loss."""
+        np.minimum(logits, 80, out=logits)
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], kind)
+        r = row[: len(at)]
+        lost = float(np.log(total).sum() - np.log(logits[r, at]).sum())
+        logits *= (1 / (m * total))[:, None].astype(kind)
+        logits[r, at] -= kind.type(1 / m)
+        return logits, lost
+
+    q, loss = errors(flat @ p.wc + p.bc, cls)
+    np.dot(flat.T, q, out=gwc)
+    gbc[:] = q.sum(axis=0)
     dh = q @ p.wc.T
     cuts = np.searchsorted(cls, np.arange(len(p.b) + 1)).tolist()
     for c in range(len(p.b)):
         i, j = cuts[c], cuts[c + 1]
         if i == j:
+            gw[c], gb[c] = 0, 0
             continue
-        logits = flat[i:j] @ p.w[c]
-        logits += p.b[c]
-        logits -= logits.max(axis=1)[:, None]
-        q = np.exp(logits, out=logits)
-        q /= q.sum(axis=1)[:, None]
-        at = row[: j - i]
-        loss -= np.log(q[at, own[i:j]] + 1e-30).sum()
-        q[at, own[i:j]] -= 1
-        q /= m
-        gw[c] += flat[i:j].T @ q
-        gb[c] += q.sum(axis=0)
+        q, lost = errors(flat[i:j] @ p.w[c] + p.b[c], own[i:j])
+        loss += lost
+        np.dot(flat[i:j].T, q, out=gw[c])
+        gb[c] = np.ones(j - i, kind) @ q
         dh[i:j] += q @ p.w[c].T
-    d_after = np.zeros((len(inputs) * inputs.shape[1], k), x.dtype)
+    d_after = np.zeros((steps * wide, k), kind)
     d_after[order] = dh
-    d_after = d_after.reshape(shape)
-    of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
-    dx, dg = np.empty((*inputs.shape, 3 * k), x.dtype), np.empty((*inputs.shape, 3 * k), x.dtype)
-    back, ut = np.zeros_like(h), np.ascontiguousarray(p.u.T)
+    d_after = d_after.reshape(steps, wide, k)
+    z, r = zr[:, :, :k], zr[:, :, k:]
+    of_n = (1 - z) * (1 - n * n)
+    of_z, of_r = (before - n) * z * (1 - z), gn * r * (1 - r)
+    dg, dn3 = np.empty((steps, wide, 3 * k), kind), np.empty((steps, wide, k), kind)
+    d, ut = np.zeros((wide, k), kind), np.ascontiguousarray(p.u.T)
+    back, held = np.zeros((wide, k), kind), np.empty((wide, k), kind)
     for t in range(steps - 1, -1, -1):
-        d = d_after[t] + back
-        dn = d * of_n[t]
-        one = dg[t]
-        one[:, :k], one[:, k : 2 * k], one[:, 2 * k :] = d * of_z[t], dn * of_r[t], dn * r[t]
-        dx[t, :, 2 * k :] = dn
-        back = (d * z[t] + one @ ut) * keep[t]
-    dx[:, :, : 2 * k] = dg[:, :, : 2 * k]
-    gu += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-    ids = inputs.ravel()
+        np.add(d_after[t], back, out=d)
+        dn, one = dn3[t], dg[t]
+        np.multiply(d, of_n[t], out=dn)
+        np.multiply(d, of_z[t], out=one[:, :k])
+        np.multiply(dn, of_r[t], out=one[:, k : 2 * k])
+        np.multiply(dn, r[t], out=one[:, 2 * k :])
+        np.dot(one, ut, out=back)
+        np.multiply(d, z[t], out=held)
+        back += held
+        if any_clear[t]:
+            back[clear[t]] = 0
+    flat_dg = dg.reshape(-1, 3 * k)
+    np.dot(before.reshape(-1, k).T, flat_dg, out=gu)
+    dx = flat_dg  # the same for update and reset; the new state's own part
+    dx[:, 2 * k :] = dn3.reshape(-1, k)
+    np.dot(e.T, dx, out=gx)
+    # rows of one token added up, along contiguous memory
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    gx[ids[order[first]]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
+    ge.fill(0)
+    ge[ids[order[first]]] = np.add.reduceat((p.x @ dx.T)[:, order], first, axis=1).T
     return loss / m, h, g
 
 
@@ -227,6 +272,7 @@ class Trainer:
     def update(self, rate: float) -> None:
         g, m, v = self.gradient, self.m, self.v
         self.t += 1
+        # Adam, after the gradient is cut to length one
         g *= np.float32(min(1.0, 1.0 / (math.sqrt(float(g @ g)) + 1e-9)))
         m += np.float32(0.1) * (g - m)
         g *= g
@@ -240,45 +286,77 @@ class Trainer:
         self.flat -= g
 
 
-def train(ids: DataFrame, weights: Weights, tokens: int, end: int, epochs: int = EPOCHS) -> tuple[Weights, int]:
-    """The weights after epochs over every text of ids (binary column ids), and how many tokens the last epoch went over. In
-    each epoch every shard starts from the same weights and trains on all its texts in one task; then the shards' weights are
-    averaged by their numbers of tokens, first in groups of shards, then on the driver, which holds about the root of their number."""
-    spark, trained = ids.sparkSession, 0
-    ids = ids.coalesce(max(1, tokens // SHARD_TOKENS))
-    shards = ids.rdd.getNumPartitions()
-    expected = max(1, tokens / max(1, shards))
-    for epoch in range(epochs):
+def train(texts: DataFrame, weights: Weights, tokens: int, end: int, epochs: int | None = None) -> tuple[Weights, int]:
+    """The weights after epochs over every text of texts (columns ids binary, n copies), and how many tokens each epoch went over."""
+    spark, trained = texts.sparkSession, 0
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-VISITS // max(1, tokens)))) if epochs is None else epochs
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+    expected = max(1.0, tokens / shards / ROUNDS)
+    spread = lambda lo, hi, by: F.explode(F.sequence(lo, hi - 1, F.lit(by).cast("long")))
+    cut = texts.select("ids", "n", spread(F.lit(0).cast("long"), F.col("n"), COPIES << 16).alias("lo"))  # in two steps: no long array
+    cut = cut.select("ids", "n", spread(F.col("lo"), F.least("n", F.col("lo") + (COPIES << 16)), COPIES).alias("at"))
+    cut = cut.select("ids", F.least(F.lit(COPIES), F.col("n") - F.col("at")).cast("int").alias("n"), F.xxhash64("ids", "at").alias("h"))
+    dealt = cut.select("ids", "n", "h", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("h"), F.lit(ROUNDS)).cast("int").alias("round"))
+    dealt = written(dealt.repartition(shards, "shard").sortWithinPartitions("round", "shard", "h", "ids"), "lm-shards", by="round")
+    for turn in range(epochs * ROUNDS):
         shipped = spark.sparkContext.broadcast(weights)
 
-        def shard(batches: Iterator[pa.RecordBatch], shipped=shipped, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            rate = lambda done: RATE * (1 - 0.95 * (epoch + min(1.0, done / expected)) / epochs)
-            trainer = Trainer(shipped.value, end, rate)
+        def shard(batches: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
+            rate = lambda done: RATE * (1 - 0.95 * (turn + min(1.0, done / expected)) / (epochs * ROUNDS))
+            key, trainer = None, None
+
+            def out() -> pa.RecordBatch:
+                trainer.finish()
+                return _weights_row(key, trainer.tokens, trainer.flat.astype(np.float64) * trainer.tokens)
+
             for b in batches:
-                for x in b.column(0):
-                    trainer.add(np.frombuffer(x.as_buffer(), "<u2").astype(np.int32))
-            trainer.finish()
-            if trainer.tokens:
-                whole = trainer.flat.astype(np.float64) * trainer.tokens
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["shard", "n", "w"])
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = sorted((r["shard"], r["n"], r["w"]) for b in batches for r in b.to_pylist())  # in one order, for the same sum each time
-            if rows:
-                w = sum(np.frombuffer(r[2]) for r in rows)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["shard", "n", "w"])
-
-        schema = "shard long, n long, w binary"
-        rows = ids.mapInArrow(shard, schema).repartition(math.ceil(math.sqrt(shards)) or 1, "shard").mapInArrow(summed, schema)
-        parts = sorted(rows.collect())
+                for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if k != key:
+                        if key is not None:
+                            yield out()
+                        key, trainer = k, Trainer(shipped.value, end, rate)
+                    for _ in range(n):
+                        trainer.add(np.frombuffer(x.as_buffer(), "<u2").astype(np.int32))
+            if key is not None:
+                yield out()
+
+        rows = dealt.where(F.col("round") == turn % ROUNDS).select("shard", "n", "ids", "h").repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "n", "ids").mapInArrow(shard, _ROW)
+        level = shards
+        while level > 1:  # a tree of sums; each node adds its rows one by one, in one order
+            level = -(-level // FAN)
+            rows = rows.select(F.floor(F.col("shard") / FAN).cast("int").alias("shard"), F.col("shard").alias("own"), "n", "w").repartition(level, "shard").sortWithinPartitions("shard", "own").select("shard", "n", "w").mapInArrow(_summed, _ROW)
+        top = rows.collect()  # one row: all are under shard 0
         shipped.unpersist()
-        trained = sum(r["n"] for r in parts)
-        if not trained:
-            break
-        weights = weights.like((sum(np.frombuffer(r["w"]) for r in parts) / trained).astype(np.float32))
+        seen = sum(r["n"] for r in top)
+        if turn < ROUNDS:
+            trained += seen
+        if seen:
+            weights = weights.like((sum(np.frombuffer(r["w"]) for r in top) / seen).astype(np.float32))
+    discard(dealt)
     return weights, trained
 
 
+_ROW = "shard int, n long, w binary"
+
+
+def _weights_row(shard: int, n: int, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of neighbouring rows of one shard."""
+    key, n, w = None, 0, None
+    for b in batches:
+        for k, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if k != key:
+                if key is not None:
+                    yield _weights_row(key, n, w)
+                key, n, w = k, 0, 0.0
+            n, w = n + c, w + np.frombuffer(x.as_buffer())
+    if key is not None:
+        yield _weights_row(key, n, w)
+
+
 @dataclass
 class Model:
     weights: Weights
@@ -290,15 +368,15 @@ class Model:
     distinct: int  # V
     other_tokens: int
     other_distinct: int
-    trained: int = 0  # tokens that each epoch of training went over
+    trained: int = 0  # tokens that each epoch of training goes over
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Model id, training count and whether the head has it, of every token hash."""
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Model id, training count, whether the head has it, and its place there, of every token hash."""
         if not len(self.head):
-            return np.zeros(len(h), np.int32), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            return np.zeros(len(h), np.int32), np.zeros(len(h), np.int64), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         i = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
         ok = self.head[i] == h
-        return np.where(ok, self.head_id[i], OTHER).astype(np.int32), np.where(ok, self.head_count[i], 0), ok
+        return np.where(ok, self.head_id[i], OTHER).astype(np.int32), np.where(ok, self.head_count[i], 0), ok, i
 
     def log10_texts(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of the id sequence of each text; ids of all texts, bounds where each begins (and the end)."""
@@ -308,27 +386,34 @@ class Model:
             return out
         length = np.diff(bounds)
         order = np.argsort(-length, kind="stable")
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        alive = m - np.searchsorted(np.sort(length), np.arange(1, length.max() + 1), "left")  # texts with a token at each step
-        at = np.append(0, np.cumsum(alive))
-        text = np.repeat(np.arange(m), length)
-        time = np.arange(len(ids)) - np.repeat(bounds[:-1], length)
-        by_time = np.empty(len(ids), np.int32)
-        by_time[at[time] + rank[text]] = ids
-        h, before = np.zeros((m, p.u.shape[0]), np.float32), np.full(m, self.end, np.int32)
-        hs, first = [], 0
-        for t, n in enumerate(alive.tolist()):
-            h, _ = step(p, h[:n], before[:n])
-            before = by_time[at[t] : at[t + 1]]
-            hs.append(h)
-            if at[t + 1] - first >= 16384 or t + 1 == len(alive):
-                flat = np.concatenate(hs) if len(hs) > 1 else hs[0]
-                logp = output_logp(p, flat, by_time[first : at[t + 1]])
-                who = np.concatenate([np.arange(len(x)) for x in hs])
+        table, cell = p.e @ p.x, Cell(p, WIDTH)
+        for first in range(0, m, WIDTH):
+            texts = order[first : first + WIDTH]
+            out[texts] = self._abreast(ids, bounds[texts], length[texts], table, cell)
+        return out / math.log(10)
+
+    def _abreast(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, table: np.ndarray, cell: Cell) -> np.ndarray:
+        """ln probability of texts with falling lengths, one step of all texts that last so long after another."""
+        p, m = self.weights, len(length)
+        alive = (m - np.searchsorted(length[::-1], np.arange(1, length[0] + 1), "left")).tolist()
+        out, room = np.zeros(m), 16384 + m
+        h, before = np.zeros((m, p.u.shape[0]), p.u.dtype), np.full(m, self.end, np.int32)
+        hs, targets, used = np.empty((room, h.shape[1]), h.dtype), np.empty(room, np.int32), 0
+        sizes: list[int] = []
+        x = np.empty((m, table.shape[1]), table.dtype)
+        for t, n in enumerate(alive):
+            np.take(table, before[:n], axis=0, out=x[:n], mode="clip")
+            h = cell.step(h[:n], x[:n], out=hs[used : used + n])
+            before = ids[begin[:n] + t]
+            targets[used : used + n] = before
+            sizes.append(n)
+            used += n
+            if used >= 16384 or t + 1 == len(alive):
+                logp = output_logp(p, hs[:used], targets[:used])
+                who = np.concatenate([np.arange(c) for c in sizes])
                 out += np.bincount(who, weights=logp, minlength=m)
-                hs, first = [], int(at[t + 1])
-        return out[rank] / math.log(10)
+                h, sizes, used = h.copy(), [], 0
+        return out
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -368,7 +453,7 @@ def count(train_rows: DataFrame, text: str = "text", limit: int = 1_000_000) ->
     return written(rows.groupBy("hash").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", epochs: int = EPOCHS) -> Model:
+def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", epochs: int | None = None) -> Model:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # the head: all tokens above a count that at most HEAD tokens reach (their ends apart), by a small histogram of the counts
     level = F.floor(F.log2("n") * 64).cast("long")
@@ -390,8 +475,9 @@ def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", epochs: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, _ = token_hashes(byte_texts(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([model.look_up(h)[0].astype("<u2").tobytes()], pa.binary())], names=["ids"])
+            h, at = token_hashes(byte_texts(b.column(0)))
+            offsets = pa.py_buffer((2 * at).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(model.look_up(h)[0].astype("<u2"))])], names=["ids"])
 
     # start from the frequencies: class and token biases are their logarithms
     freq = np.bincount(head_id, weights=n, minlength=size)
@@ -399,22 +485,22 @@ def fit(train_rows: DataFrame, counts: DataFrame, text: str = "text", epochs: in
     freq = freq.reshape(CLASSES, PER_CLASS) + 0.05
     model.weights.bc[:] = np.log(freq.sum(axis=1) / freq.sum())
     model.weights.b[:] = np.log(freq / freq.sum(axis=1)[:, None])
-    if epochs:
+    if epochs != 0:
         small_batches(train_rows.sparkSession)
-        rows = written(train_rows.select(F.col(text).alias("text")).mapInArrow(encode, "ids binary"), "lm-ids")
+        rows = written(train_rows.select(F.col(text).alias("text")).mapInArrow(encode, "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n")), "lm-ids")
         model.weights, model.trained = train(rows, model.weights, model.tokens, model.end, epochs)
+        discard(rows)
     return model
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", out: str = "lm") -> DataFrame:
+def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", out: str = "lm", keep_text: bool = True) -> DataFrame:
     """df with a struct column: n_tokens, n_known (counted in training), base_score (log10, add-one unigram) and score (log10
-    probability under the model). A column with that name is replaced."""
+    probability under the model). A column with that name is replaced. keep_text: without, the text itself isn't carried along."""
     spark = df.sparkSession
     small_batches(spark)
-    keep = [c for c in df.columns if c.lower() not in (out.lower(), text.lower())]
-    rid, own = fresh(df, "_rid", "_own")
-    src = df.select(*keep, F.col(text).alias("text")) if "text" not in keep else df.select(*keep, F.col(text))
-    last = src.columns[-1]
+    keep = [c for c in df.columns if c.lower() != out.lower() and (keep_text or c.lower() != text.lower())]
+    rid, own, given = fresh(df, "_rid", "_own", "_given")
+    src = df.select(*keep, F.col(text).alias(given))
     kind = "struct<n:bigint,known:bigint,head:double,model:double,other:double,n_other:bigint,tail:array<bigint>>"
     schema = src.select(*keep).withColumns({rid: F.lit(0).cast("long"), own: F.lit(None).cast(kind)}).schema
     shipped = spark.sparkContext.broadcast(model)
@@ -439,9 +525,8 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", ou
         held: list[tuple] = []
         tokens = 0
         for b in batches:
-            h, bounds = token_hashes(byte_texts(b.column(last)))
-            ids, c, ok = m.look_up(h)
-            i = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))
+            h, bounds = token_hashes(byte_texts(b.column(given)))
+            ids, c, ok, i = m.look_up(h)
             lc = np.where(ok, log_count[i], 0.0) if len(m.head) else np.zeros(len(h))
             sums = lambda v: np.diff(np.append(0, np.cumsum(v))[bounds])
             other = ids == OTHER

@@ -100,7 +100,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.where(~held_out(7, 2))
     counts = lm.count(rows)
     model = lm.fit(rows, counts)
-    x = lm.score(docs.withColumn("held_out", held_out(7, 2)), model, counts)
+    x = lm.score(docs.withColumn("held_out", held_out(7, 2)), model, counts, keep_text=False)
     f = F.col("lm")
     return x.select("doc_id", "held_out", f["n_tokens"].alias("n_tokens"), f["n_known"].alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), f["base_score"].alias("base_score"), f["score"].alias("score"))
 

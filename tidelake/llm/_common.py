@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def _one_thread_each() -> None:
+    """numpy's matrix products of a worker on its own thread: a task has one core, and waiting helpers burn others' time."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        with contextlib.suppress(OSError):
+            lib = ctypes.CDLL(str(path))
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+
+
+_one_thread_each()
+
 #: Bytes of text handled at once by the numpy code (about ten working arrays of eight bytes a byte).
 PIECE = 1 << 20
 

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from ._common import SPACE_SEPARATORS, byte_texts, discard, fresh, hashed, small_batches, written
 
 CLASSES, PER_CLASS, HIDDEN = 32, 64, 32
-STREAMS, STEPS, RATE = 96, 32, 0.01
+STREAMS, STEPS, RATE = 64, 32, 0.01
 #: Tokens that a training task holds, and about the number of tokens in a shard.
 BLOCK, SHARD_TOKENS = 1 << 18, 2_000_000
 #: Epochs over all tokens, each of so many rounds; more epochs where the corpus is small.
 EPOCHS, ROUNDS, VISITS, MOST_EPOCHS = 1, 4, 4_000_000, 8
 #: Copies of a text in one chunk, and shards averaged in one node of the tree.
-COPIES, FAN = 64, 64
+COPIES, FAN = 64, 8
 #: Tokens whose counts the workers hold.
 HEAD = 65_536
 #: Tokens scored in one go, and texts abreast (so many that a step's arrays stay in a core's cache).

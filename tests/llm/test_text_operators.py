@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from tidelake.llm import bpe, decontaminate, html_text, language, licenses, quality, token_counts, token_records
@@ -138,6 +139,30 @@ def test_bpe(spark):
         assert full[i]["ids"] == ids and full[i]["decoded"] == text
 
 
+def test_bpe_joins_on_ordinary_documents():
+    """Ids and decoded text of every document are the library's, and come through joins of halves."""
+    tok, codec = chunks.load(WORD), bpe.Codec(WORD)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    got = codec.digests(texts)
+    assert codec.joins > len(texts) / 2
+    for t, (n, ids, decoded) in zip(texts, got, strict=True):
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert n == len(want) and ids == " ".join(map(str, want)) and decoded == tok.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_joins_anywhere():
+    """Small leaves cut words, blanks in a row, unsplit runs, contractions and combining marks; odd texts by hypothesis' rules."""
+    tok, codec = chunks.load(WORD), bpe.Codec(WORD, leaf=8)
+    codec.tree.leaf = 4
+    r = random.Random(11)
+    parts = ["don't", "it''s", " ", "  ", "\n", "\t", "e\u0301", "\u0301", "x" * 30, "9" * 20, "<|endoftext|>", "\u00a0", "hello", "WORLD", "!?", "'ll", "\u4f60\u597d", "\U0001f600"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(400)] + ["a" * 200 + " b", "b " + "a" * 200, " " * 50, "ab " * 100]
+    for t, (n, ids, decoded) in zip(texts, codec.digests(texts), strict=True):
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert n == len(want) and ids == " ".join(map(str, want)) and decoded == tok.decode(want, skip_special_tokens=False), t
+    assert codec.joins > 400 and codec.tree.joins > 0
+
+
 def test_token_records(spark, tmp_path):
     tok = chunks.load(BYTE)
     texts = EDGE + odd_texts(60)

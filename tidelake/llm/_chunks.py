@@ -22,6 +22,8 @@ import numpy as np
 
 #: Entries that a worker keeps before it forgets those it learned (about 80 MB).
 CACHE_LIMIT = 400_000
+#: Characters of the longest run that is kept.
+KEPT = 4096
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f]")
 _TWO = re.compile(r"\s\s")
 #: Letters (no capital I with a dot, whose small form is two characters) with ASCII marks after them: two pre-tokens, the
@@ -189,6 +191,9 @@ class Memo(dict):
                 new = list({r for r in runs if r not in self})
             self.update(zip(new, self._encode(new), strict=True))
             out = list(map(self.__getitem__, runs))
+            for r in new:
+                if len(r) > KEPT:
+                    del self[r]
         return out
 
     def by_text(self, texts: list[str], how: str) -> list[list]:

@@ -1,11 +1,20 @@
 """BPE encoding and decoding: tree concatenation.
 
-A text is cut into the runs that its tokenizer treats one by one. A run without any cut that is longer than LONG is encoded
-by tree concatenation: its leaves are encoded in one parallel call of the library, then neighbours are joined level by
-level. At a join the last tokens of the left and the first of the right side are encoded anew in a growing window until both
+A text is halved at characters, wherever these stand, until no part has more than LEAF characters; the leaves of many texts
+are encoded in parallel, and neighbours are joined level by level. A join takes the last runs (what stands between white space) of the
+left and the first ones of the right part, encodes them anew from the text, and takes twice as many until the outermost run on
+both sides has just the tokens that its part gave it, or the part has no more. This holds for tokenizers whose tokens never
+hold white space, where runs stand alone ("dropped" in _chunks).
+
+A run of more than LEAF characters, such as unsplit text without any white space, is a tree of its own, joined by tokens:
+the last tokens of the left and the first of the right side are encoded anew in a growing window until both
 ends of the window agree with what stands beside them: two neighbouring tokens agree if the two, encoded together, give just
 these two. A sequence whose neighbours all agree is the encoding of the whole (merges of a trained vocabulary build on
-earlier merges), so the result is exactly what the library gives for the unsplit run.
+earlier merges), so the result is exactly what the library gives for the unsplit run. Texts of other tokenizers are cut into
+the runs that these treat one by one, and only their long runs are trees.
+
+Tokens of runs and of leaves' ends are kept in a memo. Leaves that are new to it are encoded by WORKERS threads, without the
+interpreter's lock.
 
 Defined cases: a null text is empty (no tokens, empty decoded text); repeated rows each get their result; an empty table
 gives an empty result; other columns stay. Work is row by row, without a shuffle.
@@ -17,6 +26,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +36,17 @@ from pyspark.sql import functions as F
 from ._chunks import Memo, Runs, load, mode
 from ._common import groups, small_batches, strings
 
-LONG = 1024
-LEAF = 512
+#: Characters in a leaf, of a text and of a run.
+LEAF = 1024
+#: Threads that encode leaves; and runs that a thread takes at least.
+WORKERS, SHARE = 2, 256
 _STATE: dict = {}
 
 
 class TreeEncoder:
     """Encodes long runs of one tokenizer file by tree concatenation."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF // 2):
         from tokenizers import Tokenizer, models
 
         self.tok, self.leaf = load(path), leaf
@@ -50,6 +62,7 @@ class TreeEncoder:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special, self.split = special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._agree: dict[tuple[str, str], bool] = {}
+        self.joins = 0
 
     def _encode(self, symbols: str, last: bool) -> list[str]:
         return (self.outer if last else self.inner).encode(symbols, add_special_tokens=False).tokens
@@ -70,6 +83,7 @@ class TreeEncoder:
         """The tokens of two neighbouring pieces together; last: b ends the word."""
         if not a or not b:
             return a + b
+        self.joins += 1
         k = 1
         while True:
             i, j = max(0, len(a) - k), min(len(b), k)
@@ -104,19 +118,23 @@ class TreeEncoder:
 
 
 class Codec:
-    """Encodes and decodes texts of one tokenizer file, run by run."""
+    """Encodes and decodes texts of one tokenizer file."""
 
-    def __init__(self, path: str):
-        self.tok, self.how, self.tree = load(path), mode(path), TreeEncoder(path)
+    def __init__(self, path: str, leaf: int = LEAF):
+        self.tok, self.how, self.tree, self.leaf = load(path), mode(path), TreeEncoder(path), leaf
         self.joined = self.tok.decoder is None  # then decode() joins the token strings with one blank
         self.names = [self.tok.decode([i], skip_special_tokens=False) for i in range(self.tok.get_vocab_size(with_added_tokens=True))] if self.joined else []
         self.ids, self.memo = Runs(self.tok, self.how, path), Memo({"": (0, "", "")} if self.how == "dropped" else {}, self._learn)
+        self.pool = ThreadPoolExecutor(WORKERS)
+        self.joins = 0
 
     def _learn(self, runs: list) -> list[tuple[int, str, str]]:
         """Number of tokens, ids and decoded text of each run."""
         size = lambda r: len(r[0]) if isinstance(r, tuple) else len(r)
-        short = [r for r in runs if size(r) <= LONG]
-        known = dict(zip(short, self.ids(short), strict=True)) if short else {}
+        short = [r for r in runs if size(r) <= self.leaf]
+        share = max(SHARE, -(-len(short) // WORKERS))
+        parts = [short[i : i + share] for i in range(0, len(short), share)]
+        known = dict(zip(short, (x for part in (self.pool.map(self.ids, parts) if len(parts) > 1 else map(self.ids, parts)) for x in part), strict=True))
         lead = " " if self.how == "leading" else ""
         out = []
         for r in runs:
@@ -124,10 +142,90 @@ class Codec:
             out.append((len(x), " ".join(map(str, x)), " ".join([self.names[i] for i in x]) if self.joined else ""))
         return out
 
+    def leaves(self, s: str) -> list[int]:
+        """Where the text is cut: each part is halved until it is a leaf. A long run is not cut, as it is a tree of its own."""
+        cuts, parts = [], [(0, len(s))]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo <= self.leaf:
+                continue
+            mid = (lo + hi) // 2
+            first, last = s.rfind(" ", lo, mid) + 1 or lo, s.find(" ", mid, hi)
+            last = hi if last < 0 else last
+            if last - first > self.leaf:
+                mid = first if first > lo else last
+                if mid >= hi:  # nothing but the run
+                    continue
+            cuts.append(mid)
+            parts += [(lo, mid), (mid, hi)]
+        return [0, *sorted(cuts), len(s)]
+
+    def _windows(self, joins: list[tuple], texts: list[str], k: int) -> list[tuple[int, int]]:
+        """The text of the k last runs of the left and the k first of the right part of each join."""
+        out = []
+        for t, lo, mid, hi, *_ in joins:
+            s, a, b = texts[t], mid, mid
+            for _ in range(k):
+                a = s.rfind(" ", lo, a)
+                if a < 0:
+                    break
+            at = mid
+            for _ in range(k):
+                b = s.find(" ", at, hi)
+                if b < 0:
+                    break
+                at = b + 1
+            out.append((lo if a < 0 else a + 1, hi if b < 0 else b))
+        return out
+
+    def join(self, joins: list[tuple], texts: list[str]) -> list[list]:
+        """The values of the runs of each join's two parts together; a join is (text, begin, cut, end, left, right)."""
+        out: list = [None] * len(joins)
+        self.joins += len(joins)
+        open_, k = list(range(len(joins))), 2
+        while open_:
+            todo = [joins[q] for q in open_]
+            bounds = self._windows(todo, texts, k)
+            runs = [texts[x[0]][a:b].split(" ") for x, (a, b) in zip(todo, bounds, strict=True)]
+            flat, at = self.memo.values_of([r for w in runs for r in w]), 0
+            rest = []
+            for q, (t, lo, mid, hi, left, right), (a, b), w in zip(open_, todo, bounds, runs, strict=True):
+                new, s = flat[at : at + len(w)], texts[t]
+                at += len(w)
+                i, j = len(left) - 1 - s.count(" ", a, mid), s.count(" ", mid, b) + 1
+                if (a == lo or new[0] == left[i]) and (b == hi or new[-1] == right[j - 1]):
+                    out[q] = left[:i] + new + right[j:]
+                else:
+                    rest.append(q)
+            open_, k = rest, 2 * k
+        return out
+
+    def values(self, texts: list[str]) -> list[list]:
+        """The values of the runs of each text."""
+        if self.how != "dropped":
+            return self.memo.by_text(texts, self.how)
+        for c in "\n\t\r":
+            texts = [t.replace(c, " ") if c in t else t for t in texts]
+        cuts = [self.leaves(t) if len(t) > self.leaf else [0, len(t)] for t in texts]
+        runs = [[t[i:j].split(" ") for i, j in zip(c, c[1:], strict=False)] for t, c in zip(texts, cuts, strict=True)]
+        flat, at = self.memo.values_of([r for parts in runs for leaf in parts for r in leaf]), 0
+        level: list[list] = []
+        for parts in runs:
+            level.append([])
+            for leaf in parts:
+                level[-1].append(flat[at : at + len(leaf)])
+                at += len(leaf)
+        while any(len(parts) > 1 for parts in level):
+            joins = [(t, cuts[t][q], cuts[t][q + 1], cuts[t][q + 2], parts[q], parts[q + 1]) for t, parts in enumerate(level) for q in range(0, len(parts) - 1, 2)]
+            done = iter(self.join(joins, texts))
+            level = [[next(done) if q + 1 < len(parts) else parts[q] for q in range(0, len(parts), 2)] for parts in level]
+            cuts = [c[:-1:2] + c[-1:] for c in cuts]
+        return [parts[0] for parts in level]
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids and decoded text of each text."""
         out = []
-        for known in self.memo.by_text(texts, self.how):
+        for known in self.values(texts):
             known = [x for x in known if x[0]]
             n, ids, decoded = zip(*known, strict=True) if known else ((), (), ())
             ids = " ".join(ids)

@@ -81,14 +81,56 @@ def test_ngram_join_equals_brute_force(spark):
 
 
 def test_prefixes_reach_the_recall():
-    d = ngram_join.prefix_length()
+    d = ngram_join.floor_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
 def test_thresholds_too_low_for_the_recall_are_refused():
-    assert ngram_join.prefix_length(0.4) == 1
+    assert ngram_join.floor_depth(0.4) == 1
     with pytest.raises(ValueError, match="recall"):
-        ngram_join.prefix_length(0.3)
+        ngram_join.floor_depth(0.3)
+
+
+def test_survivors_do_not_depend_on_files(spark):
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in near_rows(3)], SCHEMA)
+    kept = [sorted((r["doc_id"], r["text"] or "") for r in ngram_join.one_of_each(x).collect()) for x in (df.repartition(1), df.orderBy(F.rand(2)).repartition(5))]
+    assert kept[0] == kept[1]
+
+
+def test_forest_shortens_until_the_recall(spark, monkeypatch):
+    """Links near the threshold need shorter prefixes than links of near copies; what is measured is close to what is missed."""
+    floors, real = [], ngram_join.with_roots
+    monkeypatch.setattr(ngram_join, "with_roots", lambda c: floors.append(1) or real(c))
+    r = random.Random(9)
+    near, far = [], []
+    for g in range(150):
+        w = [f"g{g}w{i}" for i in range(100)]
+        near += [" ".join(w), " ".join([*w, "end"])]
+        v = list(w)
+        v[50:56] = [f"x{g}y{i}" for i in range(6)]  # ten of 96 shingles differ on each side
+        far += [" ".join(f"f{x}" for x in w), " ".join(f"f{x}" for x in v)]
+    r.shuffle(near), r.shuffle(far)
+    for texts, levels in ((near, 1), (far, 3)):
+        floors.clear()
+        df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+        linked = ngram_join.join(df).where("near.n_links = 1").count()
+        assert len(floors) == levels and linked == len(texts)  # recall 1, measured; at least 0.9999 by the model
+
+
+def test_chance_meetings_are_not_shipped_in_squares(spark, monkeypatch):
+    """Texts that share half their words (no link): candidates that met by chance are parted before pairs of blocks are built."""
+    shipped, real = [], ngram_join.written
+    def spy(df, name, by=None):  # noqa: E306
+        t = real(df, name, by)
+        if name == "ngram-links":
+            shipped.append(t.count())
+        return t
+    monkeypatch.setattr(ngram_join, "written", spy)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    half = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, half + " " + " ".join(f"u{i}x{j}" for j in range(60)), "x", 1) for i in range(600)]
+    out = ngram_join.join(spark.createDataFrame(rows, SCHEMA))
+    assert out.where("near.n_links > 0").count() == 0 and sum(shipped) < 600
 
 
 def test_components(spark):

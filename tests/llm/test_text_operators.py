@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidelake.llm import bpe, decontaminate, html_text, language, licenses, quality, token_counts, token_records
 from tidelake.llm import _chunks as chunks
@@ -202,15 +203,15 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 150])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, 8])  # eight bits: everything passes to the join
+def test_decontamination(spark, bits):
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(12)] + ["Üb", "É"]
     say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
     items = [(10, say(30)), (9, say(12)), (2, "w1 w2, W3"), (7, None), (8, ""), (None, say(15)), (10, say(11)), (4, "zz " * 14)]
     texts = [None, "", "w1 w2 w3", items[0][1], "x " + items[0][1][20:80] + " y", "w1-W2.w3 " + items[1][1], "zz " * 40, say(4000), *[say(60) for _ in range(20)]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = {x["doc_id"]: x["found"] for x in decontaminate.find(docs(spark, texts), bench, block_bytes=block).collect()}
+    rows = {x["doc_id"]: x["found"] for x in decontaminate.find(docs(spark, texts), bench, filter_bits=bits).collect()}
     for i, t in enumerate(texts):
         f = rows[i]
         assert (f["n_words"], f["n_hit"], f["items"]) == brute_hits(t, items), i
@@ -218,13 +219,30 @@ def test_decontamination(spark, block):
     clean = decontaminate.clean(docs(spark, ["zz " * 20, "fine text", None]), bench)
     assert clean.columns == ["doc_id", "text", "lang", "_words"] and {x["doc_id"] for x in clean.collect()} == {1, 2}
     assert decontaminate.clean(docs(spark, ["a"]), bench.limit(0)).count() == 1
-
-
-@pytest.mark.parametrize("block", [1 << 20, 20])
-def test_clean_searches_items_without_id(spark, block):
+    assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.find(docs(spark, texts).withColumn("_RID", F.lit(1)).withColumn("_met", F.lit(2)), bench).columns[-3:] == ["_RID", "_met", "found"]
+
+
+def test_decontamination_of_hot_passages_and_huge_items(spark):
+    """A passage in all documents and in many items, and an item of 70,000 words, of which a document holds a part."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"v{r.randint(0, 9999)}" for _ in range(n))
+    hot, huge = say(14), say(70_000)
+    items = [(i, f"{hot} {say(5)}") for i in range(60)] + [(100, huge)]
+    part = " ".join(huge.split()[65_530:65_545])  # across the pieces in which an item is read
+    texts = [f"{say(20)} x {hot} x {say(3)}" for _ in range(200)] + [f"{say(4)} {part} {say(4)}", say(50)]
+    got = {x["doc_id"]: x["found"] for x in decontaminate.find(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    every = sorted(str(i) for i in range(60))
+    assert all((got[i]["n_hit"], got[i]["items"]) == (14, every) for i in range(200))
+    assert (got[200]["n_hit"], got[200]["items"], got[201]["n_hit"]) == (15, ["100"], 0)
+    assert [(x["start"], x["end"]) for x in got[200]["spans"]] == [(4, 19)]
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 8])
+def test_clean_searches_items_without_id(spark, bits):
     bench = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (3, "p q r s t u v w x y z")], "item_id long, text string")
     texts = ["so A b c d e f g h i j it goes", "a b c d", "p q r s t u v w x y", None]
-    assert {x["doc_id"] for x in decontaminate.clean(docs(spark, texts), bench, block_bytes=block).collect()} == {1, 3}
+    assert {x["doc_id"] for x in decontaminate.clean(docs(spark, texts), bench, filter_bits=bits).collect()} == {1, 3}
 
 
 def test_html(spark):

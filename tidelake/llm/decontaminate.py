@@ -1,13 +1,15 @@
 """Benchmark decontamination by winnowing.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts whose A-Z are lowered. Of every run of ten words the smallest hash
-of its five-word grams is its fingerprint, so a shared span of ten words or more always shares a fingerprint. Fingerprints
-of documents are joined with those of the benchmark; each hit is extended to the ten-word windows that it stands for, and
-these are verified word by word. An item of fewer words than a window is one window of its own length.
+of its five-word grams is its fingerprint, so a shared span of ten words or more always shares a fingerprint. An item of fewer words than a window is one window of
+its own length, and its own fingerprint.
 
-The fingerprints of the benchmark go to the workers only in blocks of a checked size; a benchmark of more bytes than one block
-is taken block by block against all documents, and the hits of a document are then united. Documents are never shuffled by
-what they contain, so a passage that many documents share costs nothing more.
+Fingerprints of documents and of the benchmark are joined by a shuffle, each together with the hash of the window that it stands for. Before
+that, documents drop fingerprints that the benchmark surely lacks, by a bit map of a fixed size (FILTER_BITS), united on the executors;
+a benchmark of any size passes through it, only less is dropped. Documents without a fingerprint left are done; to the others come
+the windows that they met, and every occurrence is verified word by word, which extends a hit to the whole span shared. The benchmark is
+never on the driver, and documents are read once, whatever its size. A passage that many documents share gives each of them a row of the join; its
+hash has many rows on one side and one on the other, which Spark's skew handling divides.
 
 Defined cases: null or empty texts have no words and no hits; items without words hit nothing, nor do those without an id
 in find (as in its SQL), while clean searches them too; rows of one item_id count as one item; repeated documents each get
@@ -16,76 +18,23 @@ their result; an empty benchmark hits nothing; other columns stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_SEPARATORS, byte_texts, fresh, hash_words, hashed, mix, shingles, small_batches, written
+from ._common import ALNUM_SEPARATORS, byte_texts, fresh, hashed, shingles, small_batches, written
 
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark texts that go to the workers at once; their index takes about thirty times as much in a worker.
-BLOCK_BYTES = 4 << 20
+#: Bits of the map of the benchmark's fingerprints (2 MB, on the driver and in every worker).
+FILTER_BITS = 1 << 24
 FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
-
-
-class Index:
-    """Windows of items: winnowed fingerprints, and for each length the sorted window hashes with where they stand."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        self.ids = [i for i, _ in items]
-        self.words: list[list[bytes]] = []
-        tables: dict[int, list] = {}
-        prints = [np.empty(0, np.uint64)]
-        for k, (_, text) in enumerate(items):
-            text = text.lower()
-            h, s, e = hash_words(text, ALNUM_SEPARATORS)
-            self.words.append([text[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)])
-            if not len(h):
-                continue
-            w = shingles(h, window)
-            tables.setdefault(min(window, len(h)), []).append((w, np.full(len(w), k), np.arange(len(w))))
-            if len(h) >= window:
-                prints.append(minima(shingles(h, gram), window - gram + 1))
-        self.prints = np.unique(np.concatenate(prints))
-        self.tables = {}
-        for n, parts in sorted(tables.items()):
-            w, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(w, kind="stable")
-            self.tables[n] = (w[order], k[order], p[order])
-
-    def candidates(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Length of a window and first words of windows that may stand in the index, for each length. doc: row of each word."""
-        for n in self.tables:
-            if len(h) < n:
-                continue
-            inside = doc[: len(doc) - n + 1] == doc[n - 1 :]
-            if n == self.window:
-                low = minima(shingles(h, self.gram), n - self.gram + 1)
-                kept = np.flatnonzero(np.append(True, low[1:] != low[:-1]))  # what winnowing keeps: one print a run
-                hit = np.repeat(member(low[kept], self.prints), np.diff(np.append(kept, len(low))))
-                at = np.flatnonzero(hit & inside)
-            else:
-                at = np.flatnonzero(inside)
-            if len(at):
-                yield n, at
-
-    def windows(self, h: np.ndarray, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, item, place in the item) for every window hash that the index has."""
-        w, k, p = self.tables[n]
-        out = np.zeros(len(at), np.uint64)
-        for i in range(n):
-            out = out * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + i]
-        x = mix(out + np.uint64(n))
-        lo, hi = np.searchsorted(w, x, "left"), np.searchsorted(w, x, "right")
-        many = hi - lo
-        first = np.repeat(at, many)
-        entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        return first, k[entry], p[entry]
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)])
 
 
 def minima(g: np.ndarray, n: int) -> np.ndarray:
@@ -96,77 +45,152 @@ def minima(g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(table, x)
-    return table[np.minimum(i, len(table) - 1)] == x
-
-
-def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """n_words, n_hit, sorted ids of the items found, and runs of hit words [start, end) of each text."""
-    out = []
-    for i, j, h, bounds, joined, s, e in hashed([t.lower() for t in texts], ALNUM_SEPARATORS):
-        n_words = np.diff(bounds)
-        doc = np.repeat(np.arange(j - i), n_words)
-        cover = np.zeros(len(h) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        for n, at in index.candidates(h, doc):
-            for a, k, p in zip(*(x.tolist() for x in index.windows(h, n, at)), strict=True):
-                if [joined[s[a + q] : e[a + q]] for q in range(n)] == index.words[k][p : p + n]:
-                    cover[a] += 1
-                    cover[a + n] -= 1
-                    items.setdefault(int(doc[a]), set()).add(index.ids[k])
-        hit = np.cumsum(cover[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(hit)])
-        for r in range(j - i):
-            lo, hi = int(bounds[r]), int(bounds[r + 1])
-            spans: list[tuple[int, int]] = []
-            if r in items:
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]])))
-                spans = list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
-            out.append((hi - lo, int(total[hi] - total[lo]), sorted(items.get(r, ())), spans))
-    return out
+def prints(h: np.ndarray, n: int, window: int, gram: int) -> np.ndarray:
+    """The fingerprint of every run of n words of one text: winnowed for whole windows, the run's hash for shorter items."""
+    return minima(shingles(h, gram), window - gram + 1) if n == window else shingles(h, n)
 
 
-def _against(docs: DataFrame, index: Index, text: str, out: str) -> DataFrame:
-    keep = [c for c in docs.columns if c.lower() != out.lower()]
-    docs = docs.select(*keep, *([] if text in keep else [F.col(text)]))
-    schema = docs.select(*keep).withColumn(out, F.lit(None).cast(FOUND)).schema
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _place(fp: np.ndarray, size: int) -> np.ndarray:
+    """The bit of each fingerprint in a map of size (a power of two) bits."""
+    return fp >> np.uint64(65 - size.bit_length())
+
+
+def windows_of(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """items: id, text (strings). Windows: fp, wh (hashes of the fingerprint and of all words), n words, w (the words joined by
+    a blank), items (ids, each once)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for i, j, h, bounds, joined, s, e in hashed([t.lower() for t in byte_texts(b.column(1))], ALNUM_SEPARATORS):
+                for r in range(j - i):
+                    lo, hi = int(bounds[r]), int(bounds[r + 1])
+                    n = min(window, hi - lo)
+                    if not n:
+                        continue
+                    words = [joined[x:y].decode() for x, y in zip(s[lo:hi].tolist(), e[lo:hi].tolist(), strict=True)]
+                    for k in range(0, hi - lo - n + 1, 1 << 16):  # an item of any length, piece by piece
+                        part = h[lo + k : min(hi, lo + k + (1 << 16) + n - 1)]
+                        m = len(part) - n + 1
+                        text = [" ".join(words[k + q : k + q + n]) for q in range(m)]
+                        columns = [pa.array(prints(part, n, window, gram).view(np.int64)), pa.array(shingles(part, n).view(np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(text, pa.string()), pa.array([ids[i + r]] * m, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["fp", "wh", "n", "w", "id"])
+
+    rows = items.mapInArrow(run, "fp long, wh long, n int, w string, id string")
+    return written(rows.groupBy("fp", "wh", "n", "w").agg(F.collect_set("id").alias("items")), "decontaminate-windows")
+
+
+def bit_map(windows: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """Which fingerprints may be there: united in tasks, then in groups of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, bool)
+        for b in batches:
+            held[_place(b.column(0).to_numpy().view(np.uint64), size)] = True
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            found = search(index, byte_texts(b.column(text)))
-            column = pa.array([{"n_words": n, "n_hit": m, "items": x, "spans": [{"start": p, "end": q} for p, q in y]} for n, m, x, y in found], kind)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), column], names=[*keep, out])
+            for x in b.column(1):
+                x = np.frombuffer(x.as_buffer(), np.uint8)
+                held = x.copy() if held is None else np.bitwise_or(held, x, out=held)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["part", "bits"])
 
-    return docs.mapInArrow(run, schema)
+    rows, parts = windows.select("fp").mapInArrow(run, "part int, bits binary"), max(1, windows.rdd.getNumPartitions())
+    while parts > 1:
+        parts = math.ceil(parts / 16)
+        rows = rows.repartition(parts).mapInArrow(united, "part int, bits binary")
+    top = [np.frombuffer(r["bits"], np.uint8) for r in rows.collect()]
+    return np.bitwise_or.reduce(top) if top else np.zeros(size // 8, np.uint8)
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "found", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _may_hold(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    i = _place(fp, 8 * len(bits))
+    return (bits[i >> np.uint64(3)] >> (np.uint8(7) - (i & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "found", window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs with a struct column: n_words, n_hit (words inside windows of items), items (ids, sorted as strings), spans (runs of
     hit words). A column of docs with the name of the output is replaced."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id")), F.lit(0)).alias("n")).first()["n"]
-    blocks = -(-size // block_bytes) or 1
-
-    def index(k: int) -> Index:
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        return Index([(r["id"], r["text"].encode()) for r in rows.collect()], window, gram)
-
-    if blocks == 1:
-        return _against(docs, index(0), text, out)
-    rid, one = fresh(docs, "_rid", "_one")
-    docs = written(docs.withColumn(rid, F.monotonically_increasing_id()), "decontaminate")
-    hits = reduce(DataFrame.unionByName, (_against(docs.select(rid, text), index(k), text, one).select(rid, one) for k in range(blocks)))
-    merged = hits.groupBy(rid).agg(F.max(F.col(one)["n_words"]).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(one)["items"])))).alias("i"), F.array_sort(F.flatten(F.collect_list(F.col(one)["spans"]))).alias("s"))
-    grow = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["start"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x)))
-    merged = merged.withColumn("s", F.aggregate("s", F.array().cast("array<struct<start:int,end:int>>"), grow))
-    whole = F.struct(F.col("n").alias("n_words"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"), F.col("i").alias("items"), F.col("s").alias("spans")).cast(FOUND)
-    keep = [c for c in docs.columns if c not in (rid, out)]
-    return docs.join(merged.select(rid, whole.alias(one)), rid).select(*keep, F.col(one).alias(out))
+    bench = windows_of(items, window, gram)
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # window of them at most
+    shipped = spark.sparkContext.broadcast(bit_map(bench, filter_bits))
+    keep = [c for c in docs.columns if c.lower() != out.lower()]
+    rid, words, cand, met, given = fresh(docs, "_rid", "_words", "_cand", "_met", "_given")
+    src = docs.select(*keep, F.col(text).alias(given))
+    schema = src.withColumns({rid: F.lit(0).cast("long"), words: F.lit(0).cast("long"), cand: F.lit(None).cast("array<struct<fp:bigint,wh:bigint>>")}).schema
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, at = shipped.value, TaskContext.get().partitionId() << 40
+        for b in batches:
+            sizes, count, fps, whs = [], [], [], []
+            for i, j, h, bounds, *_ in hashed([t.lower() for t in byte_texts(b.column(given))], ALNUM_SEPARATORS):
+                doc = np.repeat(np.arange(j - i), np.diff(bounds))
+                found = []
+                for n in lengths:
+                    if len(h) < n:
+                        continue
+                    fp = prints(h, n, window, gram)
+                    k = np.flatnonzero(_may_hold(bits, fp) & (doc[: len(doc) - n + 1] == doc[n - 1 :]))
+                    if len(k):
+                        found.append(np.stack([doc[k].astype(np.int64), fp[k].view(np.int64), shingles(h, n)[k].view(np.int64)]))
+                found = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((3, 0), np.int64)
+                sizes.append(np.diff(bounds))
+                count.append(np.bincount(found[0], minlength=j - i))
+                fps.append(found[1]), whs.append(found[2])
+            cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(cat(fps), pa.int64()), pa.array(cat(whs), pa.int64())], names=["fp", "wh"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cat(count))).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + b.num_rows)), pa.array(cat(sizes), pa.int64()), lists], names=[*b.schema.names, rid, words, cand])
+            at += b.num_rows
+
+    table = written(src.mapInArrow(candidates, schema), "decontaminate-docs")
+    none = F.struct(F.col(words).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(FOUND)
+    done = table.where(F.size(cand) == 0).select(*keep, none.alias(out))
+
+    open_ = table.where(F.size(cand) > 0)
+    hits = open_.select(F.col(rid).alias("r"), F.explode(cand).alias("c")).select("r", "c.fp", "c.wh").join(bench, ["fp", "wh"])
+    hits = hits.groupBy("r").agg(F.collect_list(F.struct("wh", "n", "w", "items")).alias(met)).withColumnRenamed("r", rid)
+    open_ = open_.select(*keep, given, rid).join(hits, rid, "left").select(*keep, given, met)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = [_verified(t, m or [], lengths) for t, m in zip(byte_texts(b.column(given)), b.column(met).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(column, _FOUND)], names=[*keep, out])
+
+    return done.unionByName(open_.mapInArrow(verify, done.schema))
+
+
+def _verified(text: bytes, windows: list[dict], lengths: list[int]) -> dict:
+    """What of the text lies in occurrences of these windows, word by word."""
+    n_words, cover, items = 0, np.zeros(0, np.int64), set()
+    by = {n: {} for n in lengths}
+    for x in windows:
+        by[x["n"]].setdefault(x["wh"], []).append(x)
+    for _, _, h, _, joined, s, e in hashed([text.lower()], ALNUM_SEPARATORS):
+        n_words, cover = len(h), np.zeros(len(h) + 1, np.int64)
+        word = lambda a: joined[s[a] : e[a]].decode()
+        for n, known in by.items():
+            if not known or len(h) < n:
+                continue
+            wh = shingles(h, n).view(np.int64)
+            for a in np.flatnonzero(np.isin(wh, np.fromiter(known, np.int64, len(known)))).tolist():
+                own = " ".join(word(a + q) for q in range(n))
+                same = [x for x in known[int(wh[a])] if x["w"] == own]
+                if same:
+                    cover[a] += 1
+                    cover[a + n] -= 1
+                    items.update(i for x in same for i in x["items"])
+    hit = np.cumsum(cover[:-1]) > 0
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    spans = [{"start": p, "end": q} for p, q in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+    return {"n_words": n_words, "n_hit": int(hit.sum()), "items": sorted(items), "spans": spans}
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **how: object) -> DataFrame:

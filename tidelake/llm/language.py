@@ -6,8 +6,8 @@ column of log-probabilities and back-off weights a language. A text gets the lan
 character. Rejection is calibrated on training documents left out of the counts: a text is rejected if it has no letter or
 if its best cross-entropy lies beyond what such documents of that language show.
 
-The counts come from a bounded sample of labelled rows, SAMPLE documents a language (expected; drawn by a hash of the row);
-prediction reads every text whole. The model's size follows the sample, not the corpus.
+The counts come from a bounded sample of labelled rows, SAMPLE different texts a language (expected; drawn by a hash of the
+text; all, where a language has no more, and one of them at least is counted); prediction reads every text whole. The model's size follows the sample, not the corpus.
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; ties go to the first language in
 order; repeated rows get equal results; without any labelled row everything is `und`; an empty table gives an empty result;
@@ -22,14 +22,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, groups, mix, small_batches, strings
+from ._common import fresh, groups, mix, small_batches, strings, written
 
 ORDER = 4
 #: Labelled documents a language that are counted, and of these the share kept for calibration.
 SAMPLE, CALIBRATION = 400, 0.25
+#: Values of the language column whose counts are broadcast; more are joined as Spark sees fit.
+LANGUAGES = 10_000
 #: A text is rejected beyond the mean cross-entropy of calibration texts by so many deviations (widened for short texts) plus slack.
 DEVIATIONS, SLACK = 8.0, 0.9
 UNKNOWN = "und"
@@ -208,20 +210,27 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     """The model of labelled rows. Counts of the sample are added up on the executors; the driver gets the grams of the
     sample (bounded by it) and the calibration figures."""
     small_batches(rows.sparkSession)
-    x = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    many = {r["lang"]: r["count"] for r in rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").groupBy("lang").count().collect()}
-    if not many:
-        return Model([], order)
+    x = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    h = F.xxhash64("text")
+    many = x.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("many"))
+    many = written(many, "language-counts")
+    if many.count() <= LANGUAGES:
+        many = F.broadcast(many)
     # the hash of the text draws the sample: copies of one text come together, and count once
-    share: Column = F.element_at(F.create_map(*(F.lit(v) for k, n in sorted(many.items()) for v in (k, min(1.0, sample / n)))), F.col("lang"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    x = x.withColumn("u", draw / share).where("u < 1").dropDuplicates(["lang", "text"])
+    drawn = x.join(many, "lang").where(F.pmod(h, F.lit(1_000_003)) * F.col("many") < F.lit(1_000_003) * F.lit(sample)).select("lang", "text").dropDuplicates()
+    # of a language's texts in the order of their hashes the last are for calibration, but never all
+    own = Window.partitionBy("lang")
+    rank, size = F.row_number().over(own.orderBy(h, "text")), F.count(F.lit(1)).over(own)
+    x = drawn.withColumn("counted", rank <= F.greatest(F.lit(1), F.ceil(size * (1 - CALIBRATION))))
+    x = written(x, "language-sample")
+    if x.isEmpty():
+        return Model([], order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], int] = {}
         for b in batches:
-            for t, g, u in zip(strings(b.column("text")), b.column("lang").to_pylist(), b.column("u").to_pylist(), strict=True):
-                if u < 1 - CALIBRATION:
+            for t, g, u in zip(strings(b.column("text")), b.column("lang").to_pylist(), b.column("counted").to_pylist(), strict=True):
+                if u:
                     a = normal(t)
                     if len(a):
                         s = " " * (order - 1) + a.tobytes().decode("utf-32-le", "surrogatepass")
@@ -248,7 +257,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
             keep = [k for k in keep if not math.isnan(k[1])]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keep], pa.string()), "h": pa.array([k[1] for k in keep], pa.float64())})
 
-    for r in x.where(F.col("u") >= 1 - CALIBRATION).mapInArrow(calibrate, "lang string, h double").groupBy("lang").agg(F.percentile("h", 0.5).alias("m"), (F.percentile("h", 0.9) - F.percentile("h", 0.1)).alias("s")).collect():
+    for r in x.where(~F.col("counted")).mapInArrow(calibrate, "lang string, h double").groupBy("lang").agg(F.percentile("h", 0.5).alias("m"), (F.percentile("h", 0.9) - F.percentile("h", 0.1)).alias("s")).collect():
         k = model.languages.index(r["lang"])
         model.mean[k], model.spread[k] = r["m"], max(0.02, r["s"] / 2.563)
     return model

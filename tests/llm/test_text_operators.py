@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -315,3 +317,83 @@ def test_kneser_ney_sums_to_one():
             logp, inv = m.char_logp(a)
             p += 2.0 ** float(logp[inv[0], 0])
         assert 0.85 < p <= 1.0 + 1e-6  # the rest is kept for unseen characters
+
+
+def test_no_language_is_lost(spark):
+    """Neither beside copies that make up nearly all rows of a language, nor with a single text."""
+    r = random.Random(1)
+    say = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(30))
+    rows = [(say("abcde"), "aa") for _ in range(300)] + [(say("fghij"), "bb") for _ in range(300)] + [("kkl mmn ook lmn", "cc"), ("123 !!", "dd"), (None, "ee"), ("no label", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    hot = spark.range(20_000).selectExpr("'abc cde eab' as text", "'aa' as lang")
+    model = language.fit(df.unionByName(hot).repartition(4))
+    assert model.languages == ["aa", "bb", "cc"]
+    got = {x["text"]: x["language"]["lang"] for x in language.identify(spark.createDataFrame([(say("abcde"),), (say("fghij"),), ("kkl mmn",), ("9",)], "text string"), model).collect()}
+    assert sorted(got.values()) == ["aa", "bb", "cc", "und"] and got["kkl mmn"] == "cc" and got["9"] == "und"
+    clash = language.identify(df.withColumn("Language", F.lit(1)).limit(0), model)
+    assert clash.columns == ["text", "lang", "language"] and clash.count() == 0
+
+
+def test_kneser_ney_by_recursion():
+    r = random.Random(4)
+    grams = lambda t: [(" " * 3 + t)[i : i + 4] for i in range(len(t))]
+    counts = {}
+    for lang, letters in (("x", "abca"), ("y", "abddc")):
+        c = {}
+        for _ in range(60):
+            for g in grams(" " + "".join(r.choice(letters + " ") for _ in range(20)) + " "):
+                c[g] = c.get(g, 0) + 1
+        counts[lang] = c
+    model = language.estimate(counts)
+
+    def p(levels, h, c):
+        n = len(h) + 1
+        level = levels[n]
+        ones, twos = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = {g: v for g, v in level.items() if g[:-1] == h}
+        lower = (lambda: p(levels, h[1:], c)) if n > 1 else (lambda: 1 / (len(level) + 200))
+        if not after:
+            return lower()
+        total = sum(after.values())
+        return max(after.get(h + c, 0) - d, 0) / total + d * len(after) / total * lower()
+
+    texts = [" abcab ab ", " aab caa ", " a "]
+    h = model.cross_entropy([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts])
+    for k, lang in enumerate(model.languages):
+        levels = {4: counts[lang]}
+        for n in (3, 2, 1):
+            levels[n] = {}
+            for g in levels[n + 1]:
+                levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+        for t, row in zip(texts, h, strict=True):
+            want = -sum(math.log2(p(levels, g[:-1], g[-1])) for g in grams(t)) / len(t)
+            assert row[k] == pytest.approx(want, rel=1e-4)
+
+
+def test_html_keeps_headers_of_articles_and_survives_broken_tags():
+    said = "A paragraph of the article that is long enough to be taken for text by any reader of it, with a full stop."
+    for head in ('<div class="article-header"><h1>The title stands here</h1></div>', '<header class="entry-header"><h1>The title stands here</h1></header>', '<div class="header"><h1>The title stands here</h1></div>'):
+        assert html_text.extract_text(f"<body><div class=header>Shop of all things</div><article>{head}<p>{said}</p></article>") == f"The title stands here\n{said}"
+    for tag in ("<button>", "<select>", "<canvas>", "<object>", "<svg>", "<button><button>", "<video>"):
+        got = html_text.extract_text(f"<article><p>{said}</p>{tag}<p>Second: {said}</p></article>")
+        assert got.startswith(said) and got.endswith(f"Second: {said}"), tag
+    assert html_text.extract_text(f"<article><p>{said}</p><svg><svg><text>no</text></svg></svg><button>Press</button><select><option>One</select><p>{said}</p></article>") == f"{said}\n{said}"
+    assert html_text.extract_text(f"<article><p>{said}</p><script>var x = '<p>no</p>'") == said
+    assert html_text.extract_text(f"<article><p title='a > b' class=\"x\">{said}</p><p>1 < 2 and 3 > 2, as everybody knows who reads this sentence.</p>") == f"{said}\n1 < 2 and 3 > 2, as everybody knows who reads this sentence."
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '", "<div ", "<button>", "<svg>", "<!--", "<![CDATA[", "</p", "<p \"'"])
+def test_html_takes_linear_time(piece):
+    start = time.process_time()
+    html_text.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 30
+
+
+def test_html_rows(spark):
+    page = "<article><p>A paragraph of the article that is long enough to be taken for text.</p></article>"
+    rows = spark.createDataFrame([(1, "u", page, 5, 6)] * 3, "page_id long, url string, html string, _page int, _PAGE_ int")
+    out = html_text.extract(rows)
+    assert out.columns == ["page_id", "url", "_page", "_PAGE_", "text"] and [x["text"] for x in out.collect()] == ["A paragraph of the article that is long enough to be taken for text."] * 3
+    assert html_text.extract(rows.limit(0)).count() == 0
+    assert html_text.extract(rows.withColumn("TEXT", F.lit(1))).columns == ["page_id", "url", "_page", "_PAGE_", "text"]

@@ -6,7 +6,10 @@ terminal capacities: what it costs to call a block boilerplate (from the source)
 blocks, and siblings below one element, are joined by edges whose capacity falls with their distance in the tree. The
 minimum cut, found by maximum flow, separates content from boilerplate.
 
-Defined cases: null, empty and textless pages give an empty text; markup that is never closed ends with the page; repeated
+The classifier's odds are set by hand, from what elements and names mean; there are no labelled pages to fit them on.
+
+Defined cases: null, empty and textless pages give an empty text; markup that is never closed ends with the page, but for
+buttons and the like, whose start tag is then skipped; repeated
 rows each get their text; an empty table gives an empty result; other columns stay. Nothing of a content block is cut off.
 """
 
@@ -22,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, strings
+from ._common import fresh, small_batches, strings
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at > or, unfinished, before the next < or at the end. No part can be read in two ways, so the time is linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style template iframe svg canvas audio video select button textarea title head annotation annotation-xml".split())
+#: Of these, those whose content is no markup: without an end tag they go on to the end of the page. Others then count as absent.
+RAW = frozenset("script style iframe textarea title".split())
 #: Elements with text for readers without what they show; it counts inside an article only.
 FALLBACK = frozenset(("noscript", "object"))
 BLOCKS = frozenset(
@@ -48,6 +54,10 @@ AGAINST = frozenset(
 FOR = frozenset("article content main post entry story body text".split())
 #: Elements around the whole page or all its content, whose names tell of its layout and so don't speak against it.
 WHOLE = frozenset(("html", "body", "main"))
+#: A header of an article (inside one, or named so) is no header of the page.
+HEADERS = frozenset(("header", "masthead"))
+#: Elements below so many others are taken as children of the last of these.
+DEEPEST = 512
 FORBIDDING = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0}
 OWN = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "blockquote": 0.7, "pre": 0.7, "li": -0.3, "td": -0.3, "th": -0.3, "dt": -0.3, "dd": 0.0}
 NEIGHBOUR, SIBLING = 0.8, 0.6
@@ -65,7 +75,9 @@ def around(tag: str, attributes: str, inside: bool) -> float:
         for k, a, b, c in _ATTRIBUTE.findall(attributes):
             k, value = k.lower(), a or b or c
             if k in ("class", "id", "role", "itemprop"):
-                names.update(x.lower() for x in _NAME.findall(value))
+                for one in value.split():
+                    words = {x.lower() for x in _NAME.findall(one)}
+                    names |= words - HEADERS if inside or words & FOR else words
             elif k == "hidden" or k == "aria-hidden" and value == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 v = min(v, -9.0)
         if names & AGAINST and tag not in WHOLE:
@@ -92,6 +104,7 @@ def blocks(page: str) -> list[Block]:
     linked = depth_a = 0
     serial = at = 0
     n = len(page)
+    unclosed: set[str] = set()  # elements without an end tag further on
 
     def flush() -> None:
         nonlocal linked
@@ -120,10 +133,14 @@ def blocks(page: str) -> list[Block]:
         closing = m.group(1) == "/"
         if name in DROPPED or name in FALLBACK and not stack[-1][2]:
             if not closing and not m.group(3).endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if name == "head" and not close:
-                    continue
-                at = close.end() if close else n
+                close = None if name in unclosed else re.compile(rf"<(/?){name}(?![\w-])[^>]*>?", re.I).search(page, at)
+                if name in RAW or close and not close.group(1) and name not in ("button", "select", "head"):  # raw text, or one in another
+                    close = None if name in unclosed else re.compile(rf"</{name}(?![\w-])[^>]*>?", re.I).search(page, at)
+                if not close:
+                    unclosed.add(name)
+                    at = n if name in RAW else at
+                elif close.group(0).startswith("</"):
+                    at = close.end()
             continue
         if name == "a":
             depth_a = 0 if closing else 1
@@ -142,7 +159,11 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                 serial += 1
                 _, context, inside, path = stack[-1]
-                stack.append((name, max(-20.0, min(6.0, context + around(name, m.group(3), inside))), inside or name in ("article", "main"), (*path, serial)))
+                if len(stack) <= DEEPEST:
+                    path = (*path, serial)
+                elif len(stack) > 4 * DEEPEST:  # far deeper than any page: not kept open
+                    continue
+                stack.append((name, max(-20.0, min(6.0, context + around(name, m.group(3), inside))), inside or name in ("article", "main"), path))
     flush()
     return out
 
@@ -238,7 +259,7 @@ def extract(df: DataFrame, source: str = "html", out: str = "text") -> DataFrame
     """df with the main text of each page, without the column of the page. A column with the output's name is replaced."""
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c.lower() not in (out.lower(), source.lower())]
-    src = df.select(*keep, F.col(source).alias("_page" if "_page" not in keep else "_page_"))
+    src = df.select(*keep, F.col(source).cast("string").alias(fresh(df, "_page", out)[0]))
     schema = src.select(*keep).withColumn(out, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,7 @@ def test_token_records(spark, tmp_path):
     data, offsets, code = token_records.load_shard(file)
     random.Random(1).shuffle(order := list(range(len(offsets) - 1)))
     assert all(token_records.record(data, int(offsets[i]), code)[1][-1] == 2 for i in order)
+    assert [(d, x.tolist()) for d, x in token_records.stream_shard(file)] == [(d, x.tolist()) for d, x in (token_records.record(data, int(o), code) for o in offsets[:-1])]
     broken = bytearray(data)
     broken[int(offsets[0]) + 15] ^= 1
     with pytest.raises(ValueError):

@@ -5,7 +5,8 @@ masked checksum of the payload (4), all little-endian. A payload is one flag byt
 the token ids, two bytes each where the vocabulary allows, else four (the shard's first record is a header that says which).
 Beside each shard an index file holds the offset of every record and the file's end, for reads in any order.
 
-Shards hold ascending, disjoint ranges of doc_id. They lie in the shared folder; a task writes under a name of its own and
+Shards hold ascending, disjoint ranges of doc_id and text (the first 64 characters of it, so that many rows with one doc_id
+are many shards). They lie in the shared folder; a task writes under a name of its own and
 renames the complete file, so a lost executor or a second attempt leaves whole files only. The driver gets one manifest row
 a shard, never one a document.
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._chunks import CACHE_LIMIT, Memo, Runs, load, mode, spaced, trim
 from ._common import groups, hash_words, shared_folder, small_batches, strings
@@ -154,7 +156,8 @@ def write(df: DataFrame, path: str, folder: str | None = None, end_id: int = 2,
     folder = folder or shared_folder(spark, "records")
     fs, at = _open(folder)
     fs.create_dir(at, recursive=True)
-    docs = df.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = df.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
+    docs = docs.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _STATE:
@@ -209,6 +212,25 @@ def load_shard(file: str) -> tuple[memoryview, np.ndarray, str]:
     return data, offsets, bytes(head[-1:]).decode()
 
 
+def stream_shard(file: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids of every record of a shard, in order; one record is in memory at a time."""
+    fs, at = _open(file)
+    code = None
+    with fs.open_input_stream(at + ".rec", buffer_size=1 << 20) as f:
+        while head := f.read(12):
+            n, check = struct.unpack("<QI", head)
+            if masked(head[:8]) != check:
+                raise ValueError(f"damaged length in {file}")
+            data = memoryview(head + f.read(n + 4))
+            payload, _ = unframe(data, 0)
+            if code is None:
+                if bytes(payload[:-1]) != HEADER:
+                    raise ValueError(f"not a record file: {file}")
+                code = bytes(payload[-1:]).decode()
+            else:
+                yield record(data, 0, code)
+
+
 def record(data: memoryview, at: int, code: str) -> tuple[int | None, np.ndarray]:
     """doc_id and the ids (unsigned 32 bits) of the record at an offset."""
     payload, _ = unframe(data, at)
@@ -225,17 +247,20 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     starts = np.cumsum([0] + [r["n_tokens"] for r in rows])
     work = spark.createDataFrame([(r["file"], int(s)) for r, s in zip(rows, starts[:-1], strict=True)], "file string, start long")
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
-                data, offsets, code = load_shard(file)
-                for i in range(0, len(offsets) - 1, 4096):
-                    out: list[tuple] = []
-                    for at in offsets[i : min(i + 4096, len(offsets) - 1)]:
-                        d, ids = record(data, int(at), code)
-                        out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start += len(ids)
-                    c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                out: list[tuple] = []
+                for d, ids in stream_shard(file):
+                    out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+                    start += len(ids)
+                    if len(out) == 4096:
+                        yield table(out)
+                        out = []
+                if out:
+                    yield table(out)
 
     return work.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

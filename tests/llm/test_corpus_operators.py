@@ -110,7 +110,7 @@ def test_forest_shortens_until_the_recall(spark, monkeypatch):
         v[50:56] = [f"x{g}y{i}" for i in range(6)]  # ten of 96 shingles differ on each side
         far += [" ".join(f"f{x}" for x in w), " ".join(f"f{x}" for x in v)]
     r.shuffle(near), r.shuffle(far)
-    for texts, levels in ((near, 1), (far, 3)):
+    for texts, levels in ((near, 1), (far, 2)):
         floors.clear()
         df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
         linked = ngram_join.join(df).where("near.n_links = 1").count()
@@ -133,7 +133,9 @@ def test_chance_meetings_are_not_shipped_in_squares(spark, monkeypatch):
     assert out.where("near.n_links > 0").count() == 0 and sum(shipped) < 600
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [500_000, 30])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 160)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)] + [(7, 7)]
     got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

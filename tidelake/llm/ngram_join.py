@@ -9,10 +9,11 @@ as a prefix trie: the texts under a node are neighbours, and the prefix that a t
 which depth they part. The sort is by ranges that include the text, so a node with most of the texts is spread over many
 tasks; partitions are linked by their first and last rows.
 
-Prefixes are shortened level by level, from DEPTH on. At a level, texts that share a prefix of its length in some tree are
+Prefixes are shortened from DEPTH on. At a level, texts that share a prefix of its length in some tree are
 chained, connected chains are the candidate components, and within each all pairs are verified exactly. From the
 similarities of all links found, the recall of the level is measured: a link of similarity s is found with probability
-1 - (1 - s^d)^TREES, so that each stands for the inverse of it. Shortening ends when the recall so measured reaches the target,
+1 - (1 - s^d)^TREES, so that each stands for the inverse of it. Prefixes are then shortened to the depth at which the recall so
+measured reaches the target, where it is measured again; shortening ends when it does,
 or at the depth at which texts just at the threshold meet with that probability whatever the data (floor_depth). At a further level
 only components that grew are verified again. A threshold too low for the target is refused.
 
@@ -269,7 +270,8 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
             yield done(rows)
 
     checked = comp = None
-    for depth in range(DEPTH, floor - 1, -1):
+    depth = DEPTH
+    while True:
         now = with_roots(components(met.where(F.col("shared") > depth).select("a", "b")))
         grown = now
         if comp is not None:
@@ -278,9 +280,12 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
         new = written(pairs_of(divided(grown.select("node", "root"))).mapInArrow(verify, "node long, links long, root long, found long, beside array<double>"), "ngram-links")
         checked = new if checked is None else checked.join(grown.select("node"), "node", "left_anti").unionByName(new)
         comp = now
-        x = checked.agg(F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.coalesce(F.sum(F.element_at("beside", depth)), F.lit(0.0)).alias("beside")).first()
-        if x["found"] and x["found"] >= recall * (x["found"] + x["beside"]):
+        sums = [F.coalesce(F.sum(F.element_at("beside", d)), F.lit(0.0)).alias(f"d{d}") for d in range(floor, depth + 1)]
+        x = checked.agg(F.coalesce(F.sum("found"), F.lit(0)).alias("found"), *sums).first()
+        reached = [d for d in range(floor, depth + 1) if x["found"] and x["found"] >= recall * (x["found"] + x[f"d{d}"])]
+        if depth in (floor, *reached):
             break
+        depth = max(reached, default=floor)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

@@ -227,7 +227,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
 
     def divided(comp: DataFrame) -> DataFrame:
         """comp, its components of more than BLOCK texts divided by the rarest shingles of these."""
-        large = comp.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
+        large = written(comp.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("root"), "ngram-roots")
         if large.isEmpty():
             return comp
         inside = written(comp.join(large.select("root"), "root").join(texts.select("node", "text"), "node").select("root", "node", "text").mapInArrow(exploded, "root long, node long, n int, s long"), "ngram-large")
@@ -237,7 +237,7 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
         word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
         linked = neighbours(rare.select(F.concat(word("root"), word("s")).alias("key"), F.col("node").alias("r")), 4, "ngram-rare")
         parts = with_roots(components(linked.select("a", "b")))
-        return comp.join(large.select("root"), "root", "left_anti").select("node", "root").unionByName(parts.select("node", "root"))
+        return written(comp.join(large.select("root"), "root", "left_anti").select("node", "root").unionByName(parts.select("node", "root")), "ngram-parts")
 
     def pairs_of(comp: DataFrame) -> DataFrame:
         """Pairs of blocks of each component."""
@@ -272,12 +272,13 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
     checked = comp = None
     depth = DEPTH
     while True:
-        now = with_roots(components(met.where(F.col("shared") > depth).select("a", "b")))
+        # tables between the steps keep plans, and what the driver holds of them, small
+        now = written(with_roots(components(met.where(F.col("shared") > depth).select("a", "b"))).select("node", "root"), "ngram-components")
         grown = now
         if comp is not None:
             old = now.join(comp.withColumnRenamed("root", "old"), "node", "left").withColumn("old", F.coalesce("old", "node"))
-            grown = now.join(old.groupBy("root").agg(F.min("old").alias("p"), F.max("old").alias("q")).where("p <> q").select("root"), "root")
-        new = written(pairs_of(divided(grown.select("node", "root"))).mapInArrow(verify, "node long, links long, root long, found long, beside array<double>"), "ngram-links")
+            grown = written(now.join(old.groupBy("root").agg(F.min("old").alias("p"), F.max("old").alias("q")).where("p <> q").select("root"), "root").select("node", "root"), "ngram-grown")
+        new = written(pairs_of(divided(grown)).mapInArrow(verify, "node long, links long, root long, found long, beside array<double>"), "ngram-links")
         checked = new if checked is None else checked.join(grown.select("node"), "node", "left_anti").unionByName(new)
         comp = now
         sums = [F.coalesce(F.sum(F.element_at("beside", d)), F.lit(0.0)).alias(f"d{d}") for d in range(floor, depth + 1)]
@@ -287,11 +288,11 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "
             break
         depth = max(reached, default=floor)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    final = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    final = written(components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "ngram-final")
 
     known = groups.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = known.groupBy("root").agg(F.min("low").alias("class_id"), F.min("first").alias("one"))
-    known = known.join(classes, "root").select(F.col(k1).alias("x"), F.col(k2).alias("y"), F.col(n).alias("z"), "class_id", F.col("one")["rid"].alias("one"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = written(known.join(classes, "root").select(F.col(k1).alias("x"), F.col(k2).alias("y"), F.col(n).alias("z"), "class_id", F.col("one")["rid"].alias("one"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "ngram-classes")
     info = fresh(docs, "_info")[0]
     known = known.select(F.col("x").alias(k1), F.col("y").alias(k2), F.col("z").alias(n), F.struct("class_id", "one", "links").alias(info))
     x = F.col(info)

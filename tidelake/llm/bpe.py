@@ -37,16 +37,16 @@ from ._chunks import Memo, Runs, load, mode
 from ._common import groups, small_batches, strings
 
 #: Characters in a leaf, of a text and of a run.
-LEAF = 1024
+LEAF = 2048
 #: Threads that encode leaves; and runs that a thread takes at least.
-WORKERS, SHARE = 2, 256
+WORKERS, SHARE = 2, 8192
 _STATE: dict = {}
 
 
 class TreeEncoder:
     """Encodes long runs of one tokenizer file by tree concatenation."""
 
-    def __init__(self, path: str, leaf: int = LEAF // 2):
+    def __init__(self, path: str, leaf: int = LEAF // 4):
         from tokenizers import Tokenizer, models
 
         self.tok, self.leaf = load(path), leaf

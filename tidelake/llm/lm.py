@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ._common import SPACE_SEPARATORS, byte_texts, discard, fresh, hashed, small_batches, written
 
-CLASSES, PER_CLASS, HIDDEN = 32, 64, 32
-STREAMS, STEPS, RATE = 64, 32, 0.01
+CLASSES, PER_CLASS, HIDDEN = 32, 64, 24
+STREAMS, STEPS, RATE = 128, 32, 0.01
 #: Tokens that a training task holds, and about the number of tokens in a shard.
 BLOCK, SHARD_TOKENS = 1 << 18, 2_000_000
 #: Epochs over all tokens, each of so many rounds; more epochs where the corpus is small.

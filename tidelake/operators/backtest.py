@@ -52,7 +52,9 @@ def basket_pnl(returns: DataFrame, snapshots: DataFrame, cost_rate: float = 0.00
     """Signed weights: pnl of the long and of the short side, gross exposure, and cost (the whole of the changes, not half)."""
     cost = W.turnover(snapshots, halve=False).select("rebalance_date", (F.col("turnover") * cost_rate).alias("cost"))
     dates = snapshots.select("rebalance_date").distinct().withColumn("_next", F.lead("rebalance_date").over(Window.orderBy("rebalance_date")))
-    held = returns.join(F.broadcast(dates), (F.col("date") > F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
+    # the range holds days, not facts: these come in by their day
+    days = returns.select("date").distinct().join(F.broadcast(dates), (F.col("date") > F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
+    held = returns.join(days.select("date", "rebalance_date"), "date")
     x = held.join(snapshots, ["rebalance_date", "asset_id"])
     p = F.col("weight") * F.col("r")
     g = x.groupBy("date", "rebalance_date").agg(F.coalesce(F.sum(F.when(F.col("weight") > 0, p)), F.lit(0.0)).alias("long_pnl"), F.coalesce(F.sum(F.when(F.col("weight") < 0, p)), F.lit(0.0)).alias("short_pnl"), F.sum(F.abs("weight")).alias("gross"))
@@ -86,7 +88,8 @@ def chained_index(prices: DataFrame, weights: DataFrame, start: float = 1000.0,
     p0 = prices.select(F.col("date").alias("rebalance_date"), "asset_id", F.col("close").alias("_p0"))
     w = weights.join(p0, ["rebalance_date", "asset_id"]).where("_p0 > 0")
     w = w.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("rebalance_date")))
-    seg = prices.join(F.broadcast(dates), (F.col("date") >= F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
+    days = prices.select("date").distinct().join(F.broadcast(dates), (F.col("date") >= F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
+    seg = prices.join(days.select("date", "rebalance_date"), "date")
     rel = seg.join(w, ["rebalance_date", "asset_id"]).withColumn("_r", F.greatest(F.lit(1 - bound), F.least(F.lit(1 + bound), F.col("close") / F.col("_p0"))))
     # a member without a price on a day keeps its last relative of the segment
     grid = rel.select("rebalance_date", "date").distinct().join(w.select("rebalance_date", "asset_id", "weight"), "rebalance_date")

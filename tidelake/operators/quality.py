@@ -60,9 +60,12 @@ def silver_funding(df: DataFrame, cutover: str, least_assets: int = 25, limit: i
     keys = ["asset_id", "instrument_id", "exchange"]
     d = unit_cutover(df.where("instrument_id is not null"), "rate", cutover).groupBy(*keys, "date").agg(F.avg("rate").alias("rate"))
     d = d.withColumn("is_capped", F.abs("rate") > bound).withColumn("rate", F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("rate"))))
-    days = d.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias("date"))
-    x = days.join(d, [*keys, "date"], "left").withColumn("_v", W.ffill("rate", W.by(keys), limit))
-    return x.select(*keys, "date", F.col("_v").alias("rate"), (F.col("rate").isNull() & F.col("_v").isNotNull()).alias("is_ffilled"), F.coalesce("is_capped", F.lit(False)).alias("is_capped")).where("rate is not null")
+    # on the sparse rows: each value reaches to the next one, to `limit` days later, or to the key's last day
+    own = Window.partitionBy(*keys)
+    x = d.withColumn("_end", F.max("date").over(own)).where("rate is not null").withColumn("_next", F.lead("date").over(own.orderBy("date")))
+    until = F.least(F.date_add("date", limit), F.date_sub("_next", 1), F.col("_end"))  # a null _next doesn't count
+    x = x.select(*keys, F.explode(F.sequence(F.col("date"), until)).alias("_day"), "date", "rate", "is_capped")
+    return x.select(*keys, F.col("_day").alias("date"), "rate", (F.col("_day") > F.col("date")).alias("is_ffilled"), (F.col("is_capped") & (F.col("_day") == F.col("date"))).alias("is_capped"))
 
 
 def rules(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:

@@ -121,16 +121,35 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then renames: readers see the old table or the new one. df may read the target."""
+    """Writes beside the target, renames the old table, then the new one; the old one goes last. df may read the target.
+
+    A crash between the two renames leaves the old table under the name `<path>.replaced`; the next call puts it back first
+    (as does `restore`), so no state loses the table. Readers meet the old table, the new one, or for a moment none."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    top = path.rstrip("/")
+    restore(spark, path)
+    staged, replaced = f"{top}.{uuid.uuid4().hex}", f"{top}.replaced"
     df.write.parquet(staged)
     Path_ = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path_(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(Path_(path)):
-        fs.delete(Path_(path), True)
-    if not fs.rename(Path_(staged), Path_(path)):
+    fs = Path_(top).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(Path_(top)) and not fs.rename(Path_(top), Path_(replaced)):
+        raise OSError(f"cannot rename {top}")
+    if not fs.rename(Path_(staged), Path_(top)):
+        fs.rename(Path_(replaced), Path_(top))
         raise OSError(f"cannot rename {staged}")
+    fs.delete(Path_(replaced), True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Brings a table back that a crashed `replace_atomically` left renamed, or removes what it left of a replaced one."""
+    Path_ = spark._jvm.org.apache.hadoop.fs.Path
+    target, replaced = Path_(path.rstrip("/")), Path_(f"{path.rstrip('/')}.replaced")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(replaced):
+        if fs.exists(target):
+            fs.delete(replaced, True)
+        elif not fs.rename(replaced, target):
+            raise OSError(f"cannot rename {replaced}")
 
 
 def replace_partitions(df: DataFrame, path: str, column: str = "date") -> None:

@@ -59,10 +59,21 @@ def state_changes(events: DataFrame, edge: float = 100.0) -> DataFrame:
 
 
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Processes all that is there into an in-memory table and returns it."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Processes all that is there into a parquet table beside the checkpoint and returns it. Each micro-batch has a folder of
+    its own, which a second attempt overwrites; in complete mode the last one is the table."""
+    spark, path = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+
+    def save(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{k:09d}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(table)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(s.getPath().toString() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(batches[-1:] if mode == "complete" else batches))
 
 
 def merge_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str) -> None:
@@ -72,6 +83,7 @@ def merge_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = panel.dedup(batch, keys, [F.desc(order)])
+        catalog.restore(spark, path)
         if catalog._exists(spark, path):
             new = panel.dedup(spark.read.parquet(path).unionByName(new), keys, [F.desc(order)])
         catalog.replace_atomically(new, path)

@@ -243,3 +243,20 @@ def test_portfolio(spark):
     assert portfolio.close_trade(o, 8.0).first()["pnl_usd"] == pytest.approx(20.0)
     with pytest.raises(ValueError):
         portfolio.pick_single_open(portfolio.trade_rows(o.union(o), 0.5, 30), "x")
+
+
+def test_replacing_survives_a_crash_between_renames(spark, tmp_path):
+    import os
+
+    from tidelake.sources import catalog
+
+    path = str(tmp_path / "t")
+    catalog.replace_atomically(spark.range(3), path)
+    catalog.replace_atomically(spark.read.parquet(path).selectExpr("id + 1 as id"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    os.rename(path, f"{path}.replaced")  # as a crash leaves it
+    catalog.restore(spark, path)
+    assert spark.read.parquet(path).count() == 3 and not os.path.exists(f"{path}.replaced")
+    os.rename(path, f"{path}.replaced")
+    catalog.replace_atomically(spark.range(1), path)
+    assert spark.read.parquet(path).count() == 1 and not os.path.exists(f"{path}.replaced")

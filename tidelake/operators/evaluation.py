@@ -103,3 +103,20 @@ def smoothed_peak(df: DataFrame, key: str, x: str, y: str, frac: float = 0.3) ->
         return pd.DataFrame({key: [pdf[key].iloc[0]], "at": [float(pdf[x].iloc[i])], "peak": [float(s[i])]})
 
     return df.select(key, x, y).groupBy(key).applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, at double, peak double")
+
+
+def full_join(left: DataFrame, right: DataFrame, key: str, coalesced: bool = True) -> DataFrame:
+    """Every row of both sides. Without coalescing, the key stays the left side's (null where that has no row) and the right
+    side's stands in `<key>_right`, so that nothing is lost but a filter on the key drops rows of the right side only."""
+    if coalesced:
+        return left.join(right, key, "full")
+    r = right.withColumnRenamed(key, f"{key}_right")
+    return left.join(r, left[key] == r[f"{key}_right"], "full")
+
+
+def last_common(panels: Sequence[DataFrame], rows: int, date: str = "date") -> DataFrame:
+    """Panels joined on the dates that all have, the last rows of these in rising order."""
+    out = panels[0]
+    for p in panels[1:]:
+        out = out.join(p, date)
+    return out.orderBy(F.desc(date)).limit(rows).orderBy(date)

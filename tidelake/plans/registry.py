@@ -85,6 +85,6 @@ def mkt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import aggregates, backtests, evaluations, features, lake, quality_gates, rolling, sql_book, statistics, streams, universes  # noqa: F401
+    from . import aggregates, backtests, evaluations, features, lake, operations, quality_gates, rolling, sql_book, statistics, streams, universes  # noqa: F401
 
 load()

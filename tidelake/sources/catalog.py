@@ -244,3 +244,11 @@ def run_metadata(tables: Mapping[str, DataFrame], config: Mapping) -> dict:
     """Row counts of the tables and a hash of the configuration."""
     text = repr(sorted(config.items()))
     return {"rows": {k: v.count() for k, v in tables.items()}, "config_hash": hashlib.sha256(text.encode()).hexdigest()[:16]}
+
+
+def facts_from_payloads(payloads: DataFrame, key: str = "asset_id", payload: str = "payload", value: str = "value") -> DataFrame:
+    """Facts (key, date, value) from API payloads [[unix ms, value], ...]: UTC days, of several points a day the last one."""
+    points = payloads.select(key, F.explode(F.from_json(payload, "array<array<double>>")).alias("_p")).where(F.size("_p") >= 2)
+    ms = F.element_at("_p", 1).cast("long")
+    x = points.select(key, F.to_date(F.timestamp_millis(ms)).alias("date"), ms.alias("_ms"), F.element_at("_p", 2).alias(value))
+    return x.groupBy(key, "date").agg(F.max_by(value, "_ms").alias(value))

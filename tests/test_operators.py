@@ -236,6 +236,54 @@ def test_statistics():
     np.testing.assert_allclose(T.lowess(t, 2 * t + 1), 2 * t + 1, atol=1e-9)
 
 
+def _least_pair(cov, longs, shorts, left):
+    def variance(w):
+        return w @ cov @ w
+
+    best = None
+    for a in left:
+        for b in left:
+            if a != b:
+                w = np.zeros(len(cov))
+                w[longs + [a]] = 1 / (len(longs) + 1)
+                w[shorts + [b]] = -1 / (len(shorts) + 1)
+                if best is None or variance(w) < best[0]:
+                    best = variance(w), a, b
+    return best[1:]
+
+
+def test_long_short_baskets(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 9)) + rng.normal(size=(40, 1)) * rng.uniform(0, 2, 9)
+    cov = T.shrunk_covariance(x)[0]
+    longs, shorts, left = [], [], list(range(9))
+    for _ in range(3):
+        a, b = _least_pair(cov, longs, shorts, left)
+        longs, shorts, left = longs + [a], shorts + [b], [i for i in left if i not in (a, b)]
+    assert T.greedy_sides(cov, 3) == (longs, shorts)
+    at = longs + shorts
+    w = T.long_short_variance(cov[np.ix_(at, at)], 3, 0.3)
+    assert w[:3].sum() == pytest.approx(0.5) and w[3:].sum() == pytest.approx(-0.5) and np.abs(w).max() <= 0.3 + 1e-6
+    sub, equal = cov[np.ix_(at, at)], np.array([1 / 6] * 3 + [-1 / 6] * 3)
+    assert w @ sub @ w <= equal @ sub @ equal
+    load = T.first_component(cov)[1]
+    low, high = T.factor_neutral_sides(cov, 3)
+    assert load[low].max() <= load[[i for i in range(9) if i not in low]].min() and load[high].min() >= load[[i for i in range(9) if i not in high]].max()
+    rows = [("g", i, D[0] + dt.timedelta(days=t), float(x[t, i])) for t in range(40) for i in range(9)] + [("few", 1, D[0], 0.1)]
+    df = spark.createDataFrame(rows, "g string, asset_id long, date date, r double")
+    got = T.long_short_baskets(df, "g", "asset_id", "date", "r", n=3).collect()
+    assert len(got) == 4 * 6 and {r["g"] for r in got} == {"g"}
+    assert [r["asset_id"] for r in got if r["method"] == "greedy" and r["weighting"] == "equal"] == at
+    assert T.long_short_baskets(df.limit(0), "g", "asset_id", "date", "r").count() == 0
+
+
+def test_bucket_curves_trim_and_leave_out_assets_without_a_start(spark):
+    rows = [(i, D[0], 10.0) for i in range(9)] + [(i, D[1], 10.0 + i) for i in range(9)] + [(99, D[1], 1e6), (3, D[0] + dt.timedelta(days=40), 1.0)]
+    p = spark.createDataFrame(rows, "asset_id long, date date, close double")
+    got = stats.bucket_curves(p, p.select("asset_id", F.lit(1).alias("bucket")).distinct(), F.lit(D[0]), 20).orderBy("date").collect()
+    assert [(r["date"], r["n"]) for r in got] == [(D[0], 9), (D[1], 9)] and got[1]["mean"] == pytest.approx(0.4)
+
+
 def test_portfolio(spark):
     o = spark.createDataFrame([("x", "SHORT", 10.0, 100.0, D[0])], "ticker string, side string, entry_price_usd double, notional_usd double, entry_date_utc date")
     t = portfolio.trade_rows(o, 0.5, 30).first()

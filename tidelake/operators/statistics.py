@@ -187,22 +187,64 @@ def first_component(cov: np.ndarray) -> tuple[float, np.ndarray]:
     return float(values[-1] / values.sum()), v * np.sign(v[np.argmax(np.abs(v))])
 
 
+def onto_simplex(v: np.ndarray, total: float, cap: float) -> np.ndarray:
+    """The nearest weights from 0 to cap that add up to total."""
+    cap = max(cap, total / len(v))
+    lo, hi = v.min() - cap, v.max()
+    for _ in range(60):  # the shift that makes the clipped weights add up
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > total else (lo, mid)
+    w = np.clip(v - hi, 0, cap)
+    return w * (total / w.sum())
+
+
 def min_variance(cov: np.ndarray, cap: float = 0.2, rounds: int = 500) -> np.ndarray:
     """Long-only weights that add up to one, each at most cap, of least variance, by projected gradient."""
-    p = len(cov)
-    cap = max(cap, 1.0 / p)
-    w, step = np.full(p, 1.0 / p), 1.0 / (2 * np.linalg.eigvalsh(cov)[-1] + 1e-12)
+    w, step = np.full(len(cov), 1.0 / len(cov)), 1.0 / (2 * np.linalg.eigvalsh(cov)[-1] + 1e-12)
     for _ in range(rounds):
-        v = w - step * 2 * cov @ w
-        lo, hi = v.min() - cap, v.max()
-        for _ in range(60):  # the shift that makes the clipped weights add up to one
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > 1 else (lo, mid)
-        w = np.clip(v - hi, 0, cap)
-        w /= w.sum()
+        w = onto_simplex(w - step * 2 * cov @ w, 1.0, cap)
     return w
 
 
+def long_short_variance(cov: np.ndarray, longs: int, cap: float = 0.1, rounds: int = 500) -> np.ndarray:
+    """Weights of least variance of a dollar-neutral basket with gross one: the first `longs` members add up to one half, the
+    others to minus one half, none is beyond cap. (Without fixed sides the least variance is that of no position at all.)"""
+    sign = np.where(np.arange(len(cov)) < longs, 1.0, -1.0)
+    signed = cov * np.outer(sign, sign)
+    w = np.where(sign > 0, 0.5 / longs, 0.5 / (len(cov) - longs))
+    step = 1.0 / (2 * np.linalg.eigvalsh(cov)[-1] + 1e-12)
+    for _ in range(rounds):
+        v = w - step * 2 * signed @ w
+        w = np.concatenate([onto_simplex(v[:longs], 0.5, cap), onto_simplex(v[longs:], 0.5, cap)])
+    return w * sign
+
+
+def greedy_sides(cov: np.ndarray, n: int, pool: int = 60) -> tuple[list[int], list[int]]:
+    """n longs and n shorts, taken in pairs: each time the pair (the first in order, of the first `pool` members left) after which the
+    equal-weighted basket varies least. All pairs of a step are one matrix."""
+    longs: list[int] = []
+    shorts: list[int] = []
+    left = np.arange(len(cov))
+    own = np.diag(cov)
+    for k in range(1, n + 1):
+        c = left[:pool]
+        side = lambda held: cov[np.ix_(held, held)].sum() + 2 * cov[np.ix_(c, held)].sum(axis=1) + own[c]
+        across = cov[np.ix_(longs, shorts)].sum() + cov[np.ix_(c, shorts)].sum(axis=1)[:, None] + cov[np.ix_(c, longs)].sum(axis=1)[None, :] + cov[np.ix_(c, c)]
+        variance = (side(longs)[:, None] + side(shorts)[None, :] - 2 * across) / k**2
+        np.fill_diagonal(variance, np.inf)
+        a, b = divmod(int(np.argmin(variance)), len(c))
+        longs.append(int(c[a]))
+        shorts.append(int(c[b]))
+        left = left[(left != c[a]) & (left != c[b])]
+    return longs, shorts
+
+
+def factor_neutral_sides(cov: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """The n members with the lowest loadings on the first principal component long, the n with the highest short."""
+    order = np.argsort(first_component(cov)[1], kind="stable").tolist()
+    return order[:n], order[-n:]
+
+
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
     """Cluster numbers (from 0, by smallest member) of agglomerative clustering with average linkage."""
     n = len(distance)
@@ -258,6 +300,31 @@ def basket_matrix(df: DataFrame, group: str, key: str, date: str, ret: str, meth
     return df.select(group, key, date, ret).groupBy(group).applyInPandas(run, schema)
 
 
+def long_short_baskets(df: DataFrame, group: str, key: str, date: str, ret: str, n: int = 15, least: int = 30, pool: int = 60, cap: float = 0.1) -> DataFrame:
+    """group, method, weighting, key, weight: for each group (a rebalance date with the returns of its lookback), the baskets of
+    the methods "greedy" and "factor_neutral", each with weighting "equal" and "optimised" (gross one, dollar-neutral).
+
+    Members are ordered by key; a missing return counts as 0. Groups of fewer than `least` days or 2 n members give no rows. A
+    group is one universe over one lookback in one task, so it is bounded by these, not by the length of the history.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=date, columns=key, values=ret).fillna(0.0).sort_index(axis=1)
+        rows = []
+        if wide.shape[0] >= least and wide.shape[1] >= 2 * n:
+            cov, names = shrunk_covariance(wide.to_numpy())[0], list(wide.columns)
+            for method, (longs, shorts) in (("greedy", greedy_sides(cov, n, max(pool, 2))), ("factor_neutral", factor_neutral_sides(cov, n))):
+                at = longs + shorts
+                equal = [0.5 / n] * n + [-0.5 / n] * n
+                best = long_short_variance(cov[np.ix_(at, at)], n, cap)
+                for weighting, w in (("equal", equal), ("optimised", best)):
+                    rows += [(pdf[group].iloc[0], method, weighting, names[i], float(x)) for i, x in zip(at, w, strict=True)]
+        return pd.DataFrame(rows, columns=[group, "method", "weighting", key, "weight"])
+
+    schema = f"`{group}` {df.schema[group].dataType.simpleString()}, method string, weighting string, `{key}` {df.schema[key].dataType.simpleString()}, weight double"
+    return df.select(group, key, date, ret).groupBy(group).applyInPandas(run, schema)
+
+
 def select_basket(df: DataFrame, group: str, key: str, method: str, n: int = 15) -> DataFrame:
     """n members of each group: "minvar" (lowest vol), "momentum" (highest), "random" (seeded hash), "diverse" (lowest corr)."""
     order = {"minvar": F.col("vol").asc(), "momentum": F.col("momentum").desc(), "random": F.xxhash64(key, F.lit(42)).asc(), "diverse": F.col("corr").asc()}[method]

@@ -30,6 +30,17 @@ def bucket_trim(n: Column) -> Column:
     return F.when(n >= 15, 2).when(n >= 9, 1).otherwise(0)
 
 
+def bucket_curves(prices: DataFrame, members: DataFrame, start: Column, days: int) -> DataFrame:
+    """date, bucket, mean, n: the trimmed mean over a bucket's assets of price / price on the start day - 1, on each day up to
+    `days` after it. Assets without a price on the start day are left out. prices: asset_id, date, close; members: asset_id, bucket."""
+    first = prices.where(F.col("date") == start).select("asset_id", F.col("close").alias("_p0")).where("_p0 <> 0")
+    x = prices.where((F.col("date") >= start) & (F.col("date") <= F.date_add(start, days)) & F.col("close").isNotNull())
+    x = x.join(first, "asset_id").join(members, "asset_id").withColumn("_r", F.col("close") / F.col("_p0") - 1)
+    cut = bucket_trim(F.col("_n"))
+    kept = (F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut)
+    return _ranked(x, ["date", "bucket"], "_r").groupBy("date", "bucket").agg(F.avg(F.when(kept, F.col("_r"))).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def floor_spread(df: DataFrame, group: Sequence[str], value: str, out: str = "spread") -> DataFrame:
     """x[floor(.75 n)] - x[floor(.25 n)] of the sorted values (from 0); null below four."""
     at = lambda q: F.max(F.when(F.col("_k") - 1 == F.floor(F.col("_n") * q), F.col(value)))

@@ -95,6 +95,15 @@ def trimmed_bucket(spark, sf):
     return S.trimmed_mean(b, ["date", "bucket"], "r", S.bucket_trim(F.col("_n"))).withColumn("mean", rnd("mean"))
 
 
+@query(f"""WITH {P1}, s AS (SELECT CAST('2024-01-10' AS DATE) AS d), b AS (SELECT asset_id, close AS p0 FROM p1, s WHERE date = d AND close <> 0),
+x AS (SELECT date, asset_id % 3 AS bucket, close / p0 - 1 AS r FROM p1 JOIN b USING (asset_id), s WHERE date BETWEEN d AND d + 20), k AS (SELECT *, row_number() OVER (PARTITION BY date, bucket ORDER BY r) AS k, count(*) OVER (PARTITION BY date, bucket) AS n FROM x WHERE r IS NOT NULL),
+t AS (SELECT *, CASE WHEN n >= 15 THEN 2 WHEN n >= 9 THEN 1 ELSE 0 END AS cut FROM k) SELECT date, bucket, round(avg(r) FILTER (WHERE k > cut AND k <= n - cut), 6) AS mean, count(*) AS n FROM t GROUP BY 1, 2""")
+def forward_bucket_curves(spark, sf):
+    p = p1(spark, sf)
+    members = p.select("asset_id", (F.col("asset_id") % 3).alias("bucket")).distinct()
+    return S.bucket_curves(p.select("asset_id", "date", "close"), members, F.lit("2024-01-10").cast("date"), 20).withColumn("mean", rnd("mean"))
+
+
 @query(f"WITH {R1}, {_K.format('r', 'r1')} SELECT a.date, round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(avg(r) FILTER (WHERE k > floor(0.1 * n) AND k <= n - floor(0.1 * n)), 6) AS trimmed FROM k a GROUP BY a.date")
 def trim_mean_10(spark, sf):
     r = r1(spark, sf)

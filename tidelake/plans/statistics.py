@@ -123,6 +123,13 @@ for _name, _method in (("cov_shrink", "cov"), ("pca1", "pca"), ("minvar_qp", "mi
     query(None, _name)(_matrix(_method))
 
 
+@query()
+def long_short_baskets(spark, sf):
+    """One basket a quarter: the quarter's returns are the lookback."""
+    d = r1(spark, sf).where("r is not null").select(F.to_date(F.date_trunc("quarter", "date")).alias("rebalance_date"), "asset_id", "date", "r")
+    return T.long_short_baskets(d, "rebalance_date", "asset_id", "date", "r", n=5, least=10, cap=0.2).withColumn("weight", rnd("weight"))
+
+
 @query(f"""WITH {R1}, s AS (SELECT asset_id, stddev_samp(r) AS vol FROM r1 GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY vol NULLS FIRST, asset_id) AS k FROM s WHERE vol IS NOT NULL) SELECT asset_id, CAST(k AS INTEGER) AS rank FROM k WHERE k <= 15""")
 def basket_minvar_rank(spark, sf):
     s = r1(spark, sf).groupBy("asset_id").agg(F.stddev_samp("r").alias("vol")).where("vol is not null").withColumn("b", F.lit("all"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, licenses, lm, ngram_join, quality, token_counts, token_records
+from . import bpe, collocations, decontaminate, html_text, language, licenses, lm, merkle, ngram_join, quality, simhash, token_counts, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,6 +194,100 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048).drop("text")
 
 
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*MANIFEST_COLUMNS)
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    x = merkle.manifest(docs, MANIFEST_COLUMNS, "doc_id", "lang", (changed, {"n_chars": F.col("n_chars") + 1}), drop=["source", "lang", "n_chars", "text"])
+    f = F.col("merkle")
+    return x.select("doc_id", f["leaf"].alias("leaf"), f["subroot"].alias("subroot"), f["root"].alias("root"), f["proof"].alias("proof_sha256"), f["folded"].alias("folded_root"), f["verified"].alias("verified"))
+
+
+#: DuckDB has no crc32, so its table is built bit by bit and run over the digits of each id.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT 0 AS step, i, i::UBIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT step + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM crc_table WHERE step < 8
+), crc_list AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_table WHERE step = 8
+), ids AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL
+), crc AS (
+  SELECT doc_id, s, 1 AS i, 4294967295::UBIGINT AS c FROM ids
+  UNION ALL SELECT doc_id, s, i + 1, xor(c >> 8, t[CAST(xor(c, ord(s[i])::UBIGINT) & 255 AS INTEGER) + 1]) FROM crc, crc_list WHERE i <= len(s)
+), chosen AS (
+  SELECT doc_id, xor(c, 4294967295::UBIGINT) % 7 = 0 AS changed FROM crc WHERE i = len(s) + 1
+), field AS (
+  SELECT d.*, row_number() OVER () AS row, coalesce(changed, false) AS changed FROM documents d LEFT JOIN chosen USING (doc_id)
+), leaves AS (
+  SELECT row, doc_id, coalesce('=' || lang, '') AS g, sha256(p || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || q) AS leaf,
+         sha256(p || coalesce(strlen(CAST(n_chars + changed::INTEGER AS VARCHAR)) || ':' || (n_chars + changed::INTEGER), '-') || q) AS seen
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS p, coalesce(strlen(text) || ':' || text, '-') AS q FROM field)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS pos FROM leaves
+), tree AS (
+  SELECT g, 0 AS k, list(leaf ORDER BY pos) AS l FROM placed GROUP BY g
+  UNION ALL SELECT g, k + 1, list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM tree WHERE len(l) > 1
+), subroots AS (
+  SELECT g, l[1] AS subroot, k AS height, row_number() OVER (ORDER BY g) - 1 AS pos FROM tree WHERE len(l) = 1
+), upper AS (
+  SELECT 0 AS k, list(subroot ORDER BY pos) AS l FROM subroots
+  UNION ALL SELECT k + 1, list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM upper WHERE len(l) > 1
+), top AS (
+  SELECT l[1] AS root FROM upper WHERE len(l) = 1
+), siblings AS (
+  SELECT row, k AS step, (pos >> k) & 1 AS side, coalesce(l[xor(pos >> k, 1) + 1], '') AS h FROM placed JOIN tree USING (g) WHERE len(l) > 1
+  UNION ALL SELECT row, height + k, (s.pos >> k) & 1, coalesce(l[xor(s.pos >> k, 1) + 1], '') FROM placed JOIN subroots s USING (g), upper WHERE len(l) > 1
+), path AS (
+  SELECT row, list(side ORDER BY step) AS sides, list(h ORDER BY step) AS hs FROM siblings GROUP BY row
+), folded AS (
+  SELECT row, seen AS h, 1 AS i FROM placed
+  UNION ALL SELECT f.row, CASE WHEN sides[i] = 1 THEN sha256(hs[i] || h) ELSE sha256(h || hs[i]) END, i + 1 FROM folded f JOIN path ON path.row = f.row WHERE i <= len(hs)
+), ends AS (
+  SELECT f.row, h FROM folded f LEFT JOIN path ON path.row = f.row WHERE i = coalesce(len(hs), 0) + 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(hs, ''), '')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN subroots USING (g) JOIN ends ON ends.row = placed.row LEFT JOIN path ON path.row = placed.row, top
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 4) t(k) WHERE len(w) >= k)) GROUP BY ALL
+), cand AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT lang, phrase, w, a, j, array_to_string(w[:j], ' ') AS p, array_to_string(w[j+1:], ' ') AS q FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, j, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.p JOIN f y ON y.lang = cut.lang AND y.phrase = cut.q
+), low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[i:i+1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM cand WHERE k = 3)) GROUP BY ALL
+), best AS (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank FROM low LEFT JOIN inside i ON i.lang = low.lang AND i.phrase = low.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT best.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
+"""
+
+
+def op13_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = simhash.near(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    f = F.col("simhash")
+    return x.select("doc_id", f["fingerprint"].alias("fingerprint"), f["component_id"].alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_join": op10_ngram_join,
@@ -205,5 +299,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_collocations": op12_collocations,
+    "op13_simhash_near": op13_simhash_near,
 }
-ORACLES: dict[str, str] = {"op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_ngram_join": OP10_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_ngram_join": OP10_SQL, "op8_quality_rules": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_collocations": OP12_SQL}

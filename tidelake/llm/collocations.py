@@ -172,5 +172,5 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MO
     c = F.col("cut")
     best = scored.select("lang", "phrase", "a", c["l"].alias("l"), c["r"].alias("r"), c["score"].alias("score"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = best.withColumn("rank", rank).where(F.col("rank") <= top)  # on the bare number, so that tasks drop all but their own best before the shuffle
+    return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

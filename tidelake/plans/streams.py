@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources import panel
+from ..sources import panel, shared
 from ..streaming import events as E
+from ..streaming import notices as N
 from .registry import query, rnd
 
 
 def _run(spark, sf, build, mode):
-    name = f"stream_{uuid.uuid4().hex}"
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return E.run_available(build(E.read(spark, f"{sf}/events.parquet")), name, f"{top}/{name}", mode)
+    path = shared.folder(spark, "stream")
+    return E.run_available(build(E.read(spark, f"{sf}/events.parquet")), path.rpartition("/")[2], f"{path}/checkpoint", mode)
+
+
+def _notices(spark, sf, idle_days=30):
+    """What the stream has settled, and what still waits for the watermark in its checkpoint."""
+    path = f"{shared.folder(spark, 'stream')}/checkpoint"
+    settled = E.run_available(N.notices(E.read(spark, f"{sf}/events.parquet"), idle_days=idle_days), path.split("/")[-2], path, "append")
+    return settled.unionByName(N.unsettled(spark, path, idle_days))
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -42,7 +47,20 @@ def stream_session(spark, sf):
 
 @query("WITH s AS (SELECT user_id, event_id, CASE WHEN value > 100 THEN 'HIGH' ELSE 'LOW' END AS state, lag(CASE WHEN value > 100 THEN 'HIGH' ELSE 'LOW' END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, event_id, state FROM s WHERE p IS NULL OR p <> state")
 def stream_state_change(spark, sf):
-    return _run(spark, sf, E.state_changes, "append")
+    """Changes of a user's state and its first state, whatever the pauses between events."""
+    x = _notices(spark, sf, idle_days=36500)
+    return x.where("kind = 'change' or before is null").select(F.col("key").alias("user_id"), "event_id", F.col("now").alias("state"))
+
+
+_STATES = "CASE WHEN value > 100 THEN 'HIGH' ELSE 'LOW' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, ts, {_STATES} AS now, lag({_STATES}) OVER w AS p, lag(ts) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT user_id, event_id, ts, now, t IS NULL OR ts - t > INTERVAL 2 DAY AS fresh, CASE WHEN ts - t <= INTERVAL 2 DAY THEN p END AS before, t FROM s)
+SELECT user_id AS key, 'daily' AS kind, event_id, ts AS at, before, now FROM n WHERE fresh OR CAST(ts AS DATE) <> CAST(t AS DATE)
+UNION ALL SELECT user_id, 'change', event_id, ts, before, now FROM n WHERE before <> now""")
+def stream_notices(spark, sf):
+    return _notices(spark, sf, idle_days=2).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id AS asset_id, CAST(ts AS DATE) AS date, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS long_usd, round(sum(CASE WHEN event_type <> 'purchase' THEN value ELSE 0 END), 4) AS short_usd FROM events GROUP BY 1, 2")

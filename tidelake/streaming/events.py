@@ -1,4 +1,4 @@
-"""Structured Streaming over event time: windows with watermarks, deduplication, keyed state, merges of micro-batches.
+"""Structured Streaming over event time: windows with watermarks and deduplication (keyed state: `notices`; merges of micro-batches: `sources.versioned`).
 
 `run_available` reads what there is, writes with a checkpoint to a table, and stops: the same query as a daily job that catches
 up where it left off, or, with another trigger, a continuous one.
@@ -6,7 +6,7 @@ up where it left off, or, with another trigger, a continuous one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,24 +40,6 @@ def dedup(events: DataFrame, keys: Sequence[str], late: str = "1 day") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def state_changes(events: DataFrame, edge: float = 100.0) -> DataFrame:
-    """user_id, event_id, state whenever a user's state (value above the edge or not) differs from the last seen one."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for pdf in frames:
-            for e, v in pdf.sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
-                now = "HIGH" if v > edge else "LOW"
-                if now != last:
-                    rows.append((key[0], int(e), now))
-                    last = now
-        state.update((last or "",))
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "state"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "last string", "append", "NoTimeout")
-
-
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Processes all that is there into a parquet table beside the checkpoint and returns it. Each micro-batch has a folder of
     its own, which a second attempt overwrites; in complete mode the last one is the table."""
@@ -76,21 +58,6 @@ def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "c
     return spark.read.schema(stream.schema).parquet(*(batches[-1:] if mode == "complete" else batches))
 
 
-def merge_batches(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str) -> None:
-    """Micro-batches merged into a parquet table by key, the row with the largest order kept."""
-    from ..sources import catalog, panel
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = panel.dedup(batch, keys, [F.desc(order)])
-        catalog.restore(spark, path)
-        if catalog._exists(spark, path):
-            new = panel.dedup(spark.read.parquet(path).unionByName(new), keys, [F.desc(order)])
-        catalog.replace_atomically(new, path)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def due(last_success: str | None, now: pd.Timestamp, hour: int = 0, minute: int = 5) -> bool:
     """A daily run is due: after the time of day, and not yet today."""
     today = now.strftime("%Y-%m-%d")

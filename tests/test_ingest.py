@@ -217,3 +217,92 @@ def test_bad_payloads_are_kept_apart(spark):
         ("a", "not json", False), ("b", "error: rate limit", True), ("c", "error: pair not found", False), ("d", "no data", False), ("e", "no data", False), ("f", "no data", False), ("g", "unknown kind", False), ("h", "unknown kind", False), ("i", "not json", False), ("j", "no data", False),
     ]
     assert all(payloads.facts(x, k).count() == 0 for k in payloads.SHAPES)
+
+
+# State files
+
+
+def state_db(path, n=1000):
+    from tidelake.sources import state_files as S
+
+    rows = [(f"2024-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}-{i}", i, i / 2 if i % 7 else None, ("a", "b")[i % 2], i % 3 == 0) for i in range(n)]
+    S.upsert_rows(path, "macro", ["decision_date", "n", "apr", "regime", "gate"], rows, "decision_date")
+    return rows
+
+
+def test_state_files_are_split_and_filtered_in_the_file(spark, tmp_path):
+    from tidelake.sources import state_files as S
+
+    path = f"{tmp_path}/s.db"
+    rows = state_db(path)
+    df = S.read(spark, path, "macro", rows=100)
+    assert df.dtypes == [("decision_date", "string"), ("n", "bigint"), ("apr", "double"), ("regime", "string"), ("gate", "boolean")]
+    assert df.rdd.getNumPartitions() == 10 and rows_of(df) == sorted(rows, key=repr)
+    want = sorted((r for r in rows if r[1] > 900 and r[3] == "a" and r[2] is not None and r[4]), key=repr)
+    conditions = [("n", ">", 900), ("regime", "=", "a"), ("apr", "not null")]
+    assert rows_of(S.read(spark, path, "macro", where=conditions).where("gate")) == want
+    assert rows_of(df.where("n > 900 and regime = 'a' and apr is not null and gate")) == want and df.count() == 1000  # a filtered read leaves the next one alone
+    reader = S.SqliteReader(df.schema, {"path": path, "table": "macro", "rows": "100", "where": '[["n", "in", [1, 250, 251]], ["regime", "=", "a"]]'})
+    assert [len(list(reader.read(p))) for p in reader.partitions()] == [0, 0, 1, 0, 0, 0, 0, 0, 0, 0]  # only one row leaves the file
+    top = S.SqliteReader(df.schema, {"path": path, "table": "macro", "rows": "100", "newest": '["n", 2]'})
+    assert [sum(b.num_rows for b in top.read(p)) for p in top.partitions()] == [2] * 10
+    assert S.latest(spark, path, "macro", "n", 100).first()["n"] == 999 and [r["n"] for r in S.last_rows(spark, path, "macro", "n", 3, 100).collect()] == [997, 998, 999]
+    assert [r["n"] for r in S.series(spark, path, "macro", "n", "apr", 980).collect()] == [i for i in range(980, 1000) if i % 7]
+    for bad in ([("absent", "=", 1)], [("n", "like", 1)]):
+        with pytest.raises(ValueError, match="no column|no operator"):
+            S.clauses(df.schema, bad)
+
+
+def test_state_files_upsert_by_key_and_grow(spark, tmp_path):
+    import sqlite3
+
+    from tidelake.sources import state_files as S
+
+    path = f"{tmp_path}/s.db"
+    S.upsert_rows(path, "t", ["d", "x"], [("2024-01-01", 1), ("2024-01-02", 2)], "d")
+    S.upsert_rows(path, "t", ["d", "x", "y"], [("2024-01-02", 5, 0.5), ("2024-01-03", 6, None)], "d")
+    assert rows_of(S.read(spark, path, "t")) == [("2024-01-01", 1, None), ("2024-01-02", 5, 0.5), ("2024-01-03", 6, None)]
+    with sqlite3.connect(path) as con, pytest.raises(sqlite3.IntegrityError):
+        con.execute("INSERT INTO t (d) VALUES ('2024-01-01')")
+    assert [S.declared(map(S.parsed_value, c)) for c in (["1", "", "3"], ["1", "2.5"], ["true", "False"], ["x", "1"], ["", None])] == ["INTEGER", "REAL", "BOOLEAN", "TEXT", "TEXT"]
+    S.upsert_rows(path, "none", ["d", "x"], [], "d")
+    assert S.read(spark, path, "none").count() == 0 and S.latest(spark, path, "none", "d").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        S.read(spark, path, "absent").count()
+
+
+def test_several_state_files_are_one_source(spark, tmp_path):
+    from tidelake.sources import state_files as S
+
+    for k in range(3):
+        S.upsert_rows(f"{tmp_path}/{k}.db", "t", ["d", "x"], [(f"{k}-{i}", i) for i in range(5)], "d")
+    df = S.read(spark, f"{tmp_path}/*.db", "t", rows=2)
+    assert df.count() == 15 and df.rdd.getNumPartitions() == 9
+
+
+# Sketches
+
+
+def test_sketches_of_any_range_keep_their_bounds(spark):
+    from tidelake.operators import sketches as K
+
+    n = 200_000
+    facts = spark.range(n).select((F.col("id") % 30).alias("date"), (F.xxhash64("id") % 90_000).alias("who"), F.pow(F.col("id") / n, 3).alias("v"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"))
+    daily = K.daily_sketches(facts, ["g"], "date", "who", "v").cache()
+    assert daily.count() == 30
+    for a, b in ((0, 29), (3, 3), (10, 19)):
+        inside = facts.where(F.col("date").between(a, b))
+        x = K.united(daily.where(F.col("date").between(a, b)), []).first()
+        exact = inside.agg(F.count_distinct("who").alias("d"), F.avg((F.col("v") <= x["median"]).cast("double")).alias("m"), F.avg((F.col("v") <= x["p90"]).cast("double")).alias("p")).first()
+        assert abs(x["hll"] - exact["d"]) <= K.HLL_BOUND * exact["d"] and abs(x["customers"] - exact["d"]) <= 2 / 2 ** (K.THETA / 2) * exact["d"]
+        assert abs(exact["m"] - 0.5) <= K.KLL_BOUND and abs(exact["p"] - 0.9) <= K.KLL_BOUND
+    o = K.overlap(daily.where("date < 3"), F.col("g") == "a", F.col("g") == "b").first()
+    a, b = ({r["who"] for r in facts.where(f"date < 3 and g = '{g}'").select("who").distinct().collect()} for g in "ab")
+    assert (o["a"], o["b"], o["both_"], o["only_a"]) == (len(a), len(b), len(a & b), len(a - b))  # exact below 2^16
+
+
+def test_theta_sketches_beyond_their_entries(spark):
+    from tidelake.operators import sketches as K
+
+    x = K.united(K.daily_sketches(spark.range(300_000).select(F.lit(1).alias("date"), "id", F.rand(1).alias("v")), [], "date", "id", "v"), []).first()
+    assert abs(x["customers"] - 300_000) <= 300_000 * 2 / 2 ** (K.THETA / 2) and abs(x["hll"] - 300_000) <= K.HLL_BOUND * 300_000

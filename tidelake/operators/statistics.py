@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .windows import ratio
 
 
-def average_rank(value: str, group: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*(group or [F.lit(0)]))
-    same = Window.partitionBy(*(list(group) or [F.lit(0)]), value)
+def average_rank(value: str, group: Sequence[str]) -> Column:
+    """Within a group. (Of a whole table: `selection.ranked`.)"""
+    w = Window.partitionBy(*group)
+    same = Window.partitionBy(*group, value)
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2.0
 
 
@@ -120,7 +122,7 @@ def edges(df: DataFrame, group: str, value: str, best: str, worst: str) -> DataF
 def wilcoxon(df: DataFrame, value: str) -> DataFrame:
     """Sum of the signed ranks of |x| (zeros left out), and its normal score."""
     d = df.where(F.col(value) != 0).select(F.abs(value).alias("_x"), F.signum(value).alias("_s"))
-    d = d.withColumn("_r", average_rank("_x"))
+    d = selection.ranked(d, "_x", "_r", average=True)
     g = d.agg(F.sum(F.col("_r") * F.col("_s")).alias("w"), F.sum(F.col("_r") ** 2).alias("_v"), F.count(F.lit(1)).alias("n"))
     return g.select("w", (F.col("w") / F.sqrt("_v")).alias("z"), "n")
 
@@ -144,12 +146,17 @@ def bootstrap_interval(means: DataFrame, observed: float) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, signal: str, ret: str, thresholds: int = 50) -> DataFrame:
-    """For each quantile of the signal: compounded log return of the rows above it, below it, and their counts. The thresholds
-    are one broadcast row of known length."""
-    q = df.agg(F.percentile(signal, F.array(*(F.lit(i / thresholds) for i in range(thresholds + 1)))).alias("_q")).select(F.posexplode("_q").alias("i", "threshold"))
-    x = df.crossJoin(F.broadcast(q))
-    up = F.col(signal) >= F.col("threshold")
-    return x.groupBy("i", "threshold").agg(F.expm1(F.sum(F.when(up, F.log1p(ret)))).alias("above"), F.expm1(F.sum(F.when(~up, F.log1p(ret)))).alias("below"), F.count_if(up).alias("n_above"))
+    """For each quantile of the signal: compounded log return of the rows above it, below it, and their counts. Rows are added up between
+    neighbouring thresholds; only those sums are put together for each threshold."""
+    edges = selection.quantiles(df, signal, [i / thresholds for i in range(thresholds + 1)])
+    if edges[0] is None:
+        edges = []
+    reached = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(signal))) if edges else F.lit(0)
+    parts = df.where(F.col(signal).isNotNull()).groupBy(reached.alias("_k")).agg(F.sum(F.log1p(ret)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    q = df.sparkSession.createDataFrame(list(enumerate(edges)), "i int, threshold double")
+    up = F.col("_k") > F.col("i")
+    x = q.join(parts, F.col("_k") >= 0)  # at most thresholds + 1 rows on either side
+    return x.groupBy("i", "threshold").agg(F.expm1(F.sum(F.when(up, F.col("_s")))).alias("above"), F.expm1(F.sum(F.when(~up, F.col("_s")))).alias("below"), F.coalesce(F.sum(F.when(up, F.col("_n"))), F.lit(0)).alias("n_above"))
 
 
 def series_error(a: DataFrame, b: DataFrame, key: str, x: str, y: str) -> DataFrame:

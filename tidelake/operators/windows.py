@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def by(key: str | Sequence[str] = "asset_id", date: str = "date") -> WindowSpec:
     keys = [key] if isinstance(key, str) else list(key)
@@ -84,9 +86,9 @@ def cross_rank(value: str, group: str) -> Column:
     return F.when(v.isNotNull() & (n > 1), (rank - 1) / (n - 1))
 
 
-def rank_desc(value: str, group: str | None = None) -> Column:
-    """Rank by falling value, ties share the smallest; null has none."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.col(value).desc_nulls_last())
+def rank_desc(value: str, group: str) -> Column:
+    """Rank by falling value within a group, ties share the smallest; null has none. (Of a whole table: `selection.ranked`.)"""
+    w = Window.partitionBy(group).orderBy(F.col(value).desc_nulls_last())
     return F.when(F.col(value).isNotNull(), F.rank().over(w))
 
 
@@ -98,11 +100,13 @@ def bucket_by_edges(v: Column, edges: Column) -> Column:
 
 
 def quantile_buckets(df: DataFrame, value: str, n: int, out: str = "bucket", group: Sequence[str] = ()) -> DataFrame:
-    """Equal-frequency buckets with interpolated edges, over all rows or by group. The edges are one row a group."""
-    qs = F.percentile(value, F.array(*(F.lit(i / n) for i in range(n + 1)))).alias("_edges")
-    edges = df.groupBy(*group).agg(qs) if group else df.agg(qs)
-    joined = df.join(edges, list(group)) if group else df.crossJoin(F.broadcast(edges))
-    return joined.withColumn(out, bucket_by_edges(F.col(value), F.col("_edges"))).drop("_edges")
+    """Equal-frequency buckets with interpolated edges, by group (the edges are one row a group) or over all rows (the edges are selected by passes over the table)."""
+    shares = [i / n for i in range(n + 1)]
+    if not group:
+        edges = selection.quantiles(df, value, shares)
+        return df.withColumn(out, bucket_by_edges(F.col(value), F.array(*(F.lit(e).cast("double") for e in edges))))
+    edges = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_edges"))
+    return df.join(edges, list(group)).withColumn(out, bucket_by_edges(F.col(value), F.col("_edges"))).drop("_edges")
 
 
 def cut(v: Column, edges: Sequence[float]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as C
 from ..operators import regimes as G
+from ..operators import selection
 from ..operators import stats as S
 from ..operators import windows as W
 from .aggregates import ENV, R1, environment, r1
@@ -152,8 +153,7 @@ def legacy_score(spark, sf):
 SELECT asset_id, round(greatest(0, least(1, apr / a)) - greatest(0, least(1, sd / s)) / 3 - neg / 3, 6) AS quality FROM c, q""")
 def quality_score(spark, sf):
     c = p4(spark, sf).groupBy("asset_id").agg((F.avg("rate") * 1095).alias("apr"), F.stddev_pop("rate").alias("sd"), (F.count_if(F.col("rate") < 0) / F.count(F.lit(1))).alias("neg"))
-    q = c.agg(F.percentile("apr", 0.9).alias("a"), F.percentile("sd", 0.9).alias("s"))
-    x = c.crossJoin(F.broadcast(q))
+    x = c.withColumns({"a": F.lit(selection.quantiles(c, "apr", [0.9])[0]).cast("double"), "s": F.lit(selection.quantiles(c, "sd", [0.9])[0]).cast("double")})
     scaled = lambda v, by: C.clamp(F.col(v) / F.col(by), 0.0, 1.0)
     return x.select("asset_id", rnd(scaled("apr", "a") - scaled("sd", "s") / 3 - F.col("neg") / 3).alias("quality"))
 

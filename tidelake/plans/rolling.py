@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import selection
 from ..operators import windows as W
 from ..sources import panel
 from .registry import MKT, P1, P2, P3, SNAP, mkt, p1, p2, p3, query, rnd, snap
@@ -311,8 +312,21 @@ def vol_14d(spark, sf):
 SELECT asset_id, date, round(r, 6) AS r, r < lo OR r > hi AS extreme FROM r, q WHERE r IS NOT NULL""")
 def extreme_flags(spark, sf):
     r = p1(spark, sf).withColumn("r", W.simple_return("close", W.by())).where("r is not null")
-    q = r.agg(F.percentile("r", 0.01).alias("lo"), F.percentile("r", 0.99).alias("hi"))
-    return r.crossJoin(F.broadcast(q)).select("asset_id", "date", rnd("r").alias("r"), ((F.col("r") < F.col("lo")) | (F.col("r") > F.col("hi"))).alias("extreme"))
+    lo, hi = (F.lit(x).cast("double") for x in selection.quantiles(r, "r", [0.01, 0.99]))
+    return r.select("asset_id", "date", rnd("r").alias("r"), ((F.col("r") < lo) | (F.col("r") > hi)).alias("extreme"))
+
+
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC) AS rk FROM orders")
+def rank_all(spark, sf):
+    """Rank of each order among all of them."""
+    return selection.ranked(panel.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "rk", descending=True).drop("o_totalprice")
+
+
+@query("SELECT l_linenumber, round(l_extendedprice, 4) AS price FROM lineitem WHERE l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.999) FROM lineitem)")
+def top_permille(spark, sf):
+    """Rows beyond an exact quantile of the whole table."""
+    li = panel.read(spark, sf, "lineitem").select("l_linenumber", "l_extendedprice")
+    return li.where(F.col("l_extendedprice") > selection.quantiles(li, "l_extendedprice", [0.999])[0]).select("l_linenumber", rnd("l_extendedprice", 4).alias("price"))
 
 
 @query(f"""WITH {P3}, b AS (SELECT min(date) AS a, max(date) AS b FROM p3), g AS (SELECT asset_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT asset_id FROM p3), b),

@@ -64,17 +64,29 @@ def to_wide(long: DataFrame, date: str, symbol: str, value: str, symbols: Sequen
     return (g.pivot(symbol, list(symbols)) if symbols is not None else g.pivot(symbol)).agg(F.min(value))
 
 
+def _days(df: DataFrame, key: str, date: str, first: Column, last: Column) -> DataFrame:
+    """Each row with the days that it opens up to the next row's; only its own day keeps its measures. One shuffle, of the sparse rows."""
+    day, rest = "_day", [c for c in df.columns if c not in (key, date)]
+    grid = df.withColumn(day, F.explode(F.sequence(first, F.greatest(last, F.col(date)))))
+    own = F.col(day) == F.col(date)
+    return grid.select(key, F.col(day).alias(date), *(F.when(own, F.col(c)).alias(c) for c in rest))
+
+
 def densify(df: DataFrame, key: str = "asset_id", date: str = "date") -> DataFrame:
     """A row for every day between an asset's first and last; measures of added days are null."""
-    days = df.groupBy(key).agg(F.min(date).alias("_a"), F.max(date).alias("_b")).select(key, F.explode(F.sequence("_a", "_b")).alias(date))
-    return days.join(df, [key, date], "left")
+    following = F.lead(date).over(Window.partitionBy(key).orderBy(date))
+    df = df.where(F.col(date).isNotNull()).withColumn("_next", following)
+    return _days(df, key, date, F.col(date), F.coalesce(F.date_sub("_next", 1), F.col(date))).drop("_next")
 
 
 def align(df: DataFrame, key: str = "asset_id", date: str = "date") -> DataFrame:
     """A row for every asset and every day between the first and last day of all assets. The calendar is one row of bounds."""
+    w = Window.partitionBy(key).orderBy(date)
+    df = df.where(F.col(date).isNotNull())
     bounds = df.agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    grid = df.select(key).distinct().crossJoin(F.broadcast(bounds)).select(key, F.explode(F.sequence("_a", "_b")).alias(date))
-    return grid.join(df, [key, date], "left")
+    df = df.withColumns({"_prev": F.lag(date).over(w), "_next": F.lead(date).over(w)}).crossJoin(F.broadcast(bounds))
+    first = F.when(F.col("_prev").isNull(), F.col("_a")).otherwise(F.col(date))
+    return _days(df, key, date, first, F.coalesce(F.date_sub("_next", 1), F.col("_b"))).drop("_prev", "_next", "_a", "_b")
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

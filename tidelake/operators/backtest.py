@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as W
@@ -80,25 +80,43 @@ def fixed_weight_index(prices: DataFrame, weights: DataFrame, base: str, least:
     return g.select("date", F.when(F.col("_w") >= least * F.col("_t"), F.col("_s") / F.col("_w")).alias("level"))
 
 
-def chained_index(prices: DataFrame, weights: DataFrame, start: float = 1000.0, bound: float = 0.3) -> DataFrame:
-    """Index rebuilt at each rebalance date: sum of weight x price relative since then (held within +-bound), chained so that
-    the level doesn't jump. prices: asset_id, date, close; weights: rebalance_date, asset_id, weight. The level of a segment
-    is a running product of the segments' last relatives, so segments are independent but for that one window."""
+#: Digits after the point of an index; products and quotients are cut there.
+DIGITS = 12
+_ONE = 10**DIGITS
+
+
+def _whole(v: Column) -> Column:
+    return v.cast("decimal(19,0)")
+
+
+def chained_index(prices: DataFrame, weights: DataFrame, start: int = 1000, bound: int = 300, digits: int = 6) -> DataFrame:
+    """Index rebuilt at each rebalance date: sum of weight x price relative since then (held within +-bound per mille), chained so that
+    the level doesn't jump. prices: asset_id, date, close (taken to so many digits); weights: rebalance_date, asset_id, weight (to two). The level
+    before a segment is the running product of the segments' last relatives, over the ordered segments: one row each.
+
+    All of it is exact: decimals without a fraction, in units of 10^-DIGITS, cut there after each product and quotient, so neither the order of sums
+    nor the number of segments can change a level. date, rebalance_date, level (decimal)."""
+    half = 0.501  # so that a value between two digits doesn't hang on its last bit
+    p = prices.select("asset_id", "date", _whole(F.floor(F.col("close") * 10**digits + half)).alias("_p"))
     dates = weights.select("rebalance_date").distinct().withColumn("_next", F.lead("rebalance_date").over(Window.orderBy("rebalance_date")))
-    p0 = prices.select(F.col("date").alias("rebalance_date"), "asset_id", F.col("close").alias("_p0"))
-    w = weights.join(p0, ["rebalance_date", "asset_id"]).where("_p0 > 0")
-    w = w.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("rebalance_date")))
-    days = prices.select("date").distinct().join(F.broadcast(dates), (F.col("date") >= F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
-    seg = prices.join(days.select("date", "rebalance_date"), "date")
-    rel = seg.join(w, ["rebalance_date", "asset_id"]).withColumn("_r", F.greatest(F.lit(1 - bound), F.least(F.lit(1 + bound), F.col("close") / F.col("_p0"))))
+    p0 = p.select(F.col("date").alias("rebalance_date"), "asset_id", F.col("_p").alias("_p0"))
+    w = weights.select("rebalance_date", "asset_id", _whole(F.floor(F.col("weight") * 100 + half)).alias("_w")).join(p0, ["rebalance_date", "asset_id"]).where("_p0 > 0")
+    w = w.withColumn("_w", F.expr(f"cast((_w * {_ONE}) div sum(_w) over (partition by rebalance_date) as decimal(19,0))"))
+    days = p.select("date").distinct().join(dates, (F.col("date") >= F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
+    seg = p.join(days.select("date", "rebalance_date"), "date")
+    clamp = f"cast(greatest({_ONE // 1000 * (1000 - bound)}, least({_ONE // 1000 * (1000 + bound)}, (_p * {_ONE}) div _p0)) as decimal(19,0))"
+    rel = seg.join(w, ["rebalance_date", "asset_id"]).withColumn("_r", F.expr(clamp))
     # a member without a price on a day keeps its last relative of the segment
-    grid = rel.select("rebalance_date", "date").distinct().join(w.select("rebalance_date", "asset_id", "weight"), "rebalance_date")
+    grid = rel.select("rebalance_date", "date").distinct().join(w.select("rebalance_date", "asset_id", "_w"), "rebalance_date")
     full = grid.join(rel.select("rebalance_date", "asset_id", "date", "_r"), ["rebalance_date", "asset_id", "date"], "left")
     last = F.last("_r", ignorenulls=True).over(Window.partitionBy("rebalance_date", "asset_id").orderBy("date"))
-    day = full.withColumn("_r", F.coalesce(last, F.lit(1.0))).groupBy("rebalance_date", "date").agg(F.sum(F.col("weight") * F.col("_r")).alias("rel"))
-    end = day.groupBy("rebalance_date").agg(F.max_by("rel", "date").alias("_end"))
-    base = end.withColumn("_base", F.coalesce(F.exp(F.sum(F.ln("_end")).over(Window.partitionBy(F.lit("all")).orderBy("rebalance_date").rowsBetween(Window.unboundedPreceding, -1))), F.lit(1.0)))
-    out = day.join(F.broadcast(base), "rebalance_date").withColumn("level", start * F.col("_base") * F.col("rel"))
+    day = full.withColumn("_r", F.coalesce(last, F.lit(_ONE).cast("decimal(19,0)"))).groupBy("rebalance_date", "date").agg(F.sum(F.col("_w") * F.col("_r")).alias("_s"))
+    day = day.select("rebalance_date", "date", F.expr(f"_s div {_ONE}").alias("rel"))
+    ends = day.groupBy("rebalance_date").agg(F.max_by("rel", "date").alias("_end"))
+    ended = F.collect_list("_end").over(Window.partitionBy(F.lit("all")).orderBy("rebalance_date").rowsBetween(Window.unboundedPreceding, -1))
+    product = f"aggregate(_ends, cast({_ONE} as bigint), (a, x) -> (cast(a as decimal(19,0)) * cast(x as decimal(19,0))) div {_ONE})"
+    base = ends.withColumn("_ends", ended).select("rebalance_date", F.expr(product).alias("_base"))
+    out = day.join(base, "rebalance_date").withColumn("level", F.expr(f"cast(({start} * ((cast(_base as decimal(19,0)) * cast(rel as decimal(19,0))) div {_ONE})) as decimal(38,{DIGITS})) / {_ONE}").cast(f"decimal(28,{DIGITS})"))
     w2 = Window.partitionBy("date").orderBy(F.desc("rebalance_date"))
     return out.withColumn("_k", F.row_number().over(w2)).where("_k = 1").select("date", "rebalance_date", "level")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -85,3 +86,30 @@ def membership_hash(df: DataFrame, group: str, key: str) -> DataFrame:
     """Sorted members of each group as text, and the first 16 hex digits of its SHA-256."""
     m = F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), ",")
     return df.groupBy(group).agg(m.alias("members")).withColumn("hash", F.substring(F.sha2("members", 256), 1, 16))
+
+
+def filter_chain(prices: DataFrame, asof: str, majors: tuple, max_vol: float = 1.0, min_corr: float = 0.3, max_momentum: float = 0.5, min_momentum: float = -0.5, vol_rows: int = 20, corr_rows: int = 60, momentum_rows: int = 7) -> DataFrame:
+    """The basket builder's filters for each asset, as of a date: asset_id, n, vol, corr, momentum and reason, the first filter that drops it (null: it stays).
+
+    too_few_rows (fewer than the longest window); volatility (annualised deviation of the last rows' returns); correlation (the larger of both majors', where at least 30 days are
+    common and 11 returns known, else not judged); momentum. The last rows of all assets are ranked once; each filter is an aggregate of the same rows."""
+    w = Window.partitionBy("asset_id").orderBy(F.desc("date"))
+    p = prices.where((F.col("date") <= F.lit(asof).cast("date")) & F.col("close").isNotNull()).select("asset_id", "date", "close", F.row_number().over(w).alias("k"))
+    need = max(vol_rows, corr_rows, momentum_rows)
+    n = p.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
+    p = p.where(F.col("k") <= max(need, momentum_rows + 1))
+    back = F.col("close") / F.lag("close").over(w) - 1  # from the newer row to the older one, as the volatility is defined
+    own = p.withColumn("_b", back).groupBy("asset_id").agg(
+        (F.stddev_samp(F.when(F.col("k") <= vol_rows, F.col("_b"))) * math.sqrt(252)).alias("vol"), F.max(F.when(F.col("k") == 1, F.col("close"))).alias("_new"), F.max_by("close", F.when(F.col("k") <= momentum_rows + 1, F.col("k"))).alias("_old"))
+    recent = p.where(F.col("k") <= corr_rows)
+    both = recent
+    for name, major in zip(("_m1", "_m2"), majors, strict=True):
+        both = both.join(recent.where(F.col("asset_id") == F.lit(major)).select("date", F.col("close").alias(name)), "date")
+    w2 = Window.partitionBy("asset_id").orderBy("date")
+    ret = lambda c: F.col(c) / F.lag(c).over(w2) - 1
+    both = both.select("asset_id", ret("close").alias("a"), ret("_m1").alias("b"), ret("_m2").alias("c")).groupBy("asset_id")
+    both = both.agg(F.count(F.lit(1)).alias("_c"), F.count("a").alias("_r"), F.greatest(F.coalesce(F.abs(F.corr("a", "b")), F.lit(0.0)), F.coalesce(F.abs(F.corr("a", "c")), F.lit(0.0))).alias("corr"))
+    x = n.join(own, "asset_id").join(both, "asset_id", "left").withColumn("momentum", F.col("_new") / F.col("_old") - 1)
+    x = x.withColumn("corr", F.when((F.col("_c") >= 30) & (F.col("_r") > 10), F.col("corr")))
+    reason = F.when(F.col("n") < need, "too_few_rows").when(F.col("vol") > max_vol, "volatility").when(F.col("corr") < min_corr, "correlation")
+    return x.select("asset_id", "n", "vol", "corr", "momentum", reason.when((F.col("momentum") > max_momentum) | (F.col("momentum") < min_momentum), "momentum").alias("reason"))

@@ -67,11 +67,22 @@ def index_fixed_weight(spark, sf):
     return backtest.fixed_weight_index(p2(spark, sf), w, "1-URGENT", 0.6).withColumn("level", rnd("level"))
 
 
-@query()
+_ONE = 10**12
+
+
+@query(f"""WITH RECURSIVE {P2}, q AS (SELECT min(date) AS rd FROM p2 GROUP BY date_trunc('quarter', date)), px AS (SELECT asset_id, date, CAST(floor(close * 1000000 + 0.501) AS HUGEINT) AS p, CAST(floor(marketcap * 100 + 0.501) AS HUGEINT) AS m FROM p2),
+w0 AS (SELECT rd, asset_id, p AS p0, m FROM px JOIN q ON date = rd WHERE p > 0), w AS (SELECT rd, asset_id, p0, m * {_ONE} // CAST(sum(m) OVER (PARTITION BY rd) AS HUGEINT) AS w FROM w0),
+dates AS (SELECT rd, lead(rd) OVER (ORDER BY rd) AS nx FROM q), days AS (SELECT DISTINCT date, rd FROM px JOIN dates ON date >= rd AND date <= coalesce(nx, DATE '9999-12-31')),
+rel AS (SELECT rd, date, asset_id, greatest({_ONE * 7 // 10}, least({_ONE * 13 // 10}, p * {_ONE} // p0)) AS r FROM days JOIN px USING (date) JOIN w USING (rd, asset_id)),
+grid AS (SELECT d.rd, d.date, w.asset_id, w.w FROM (SELECT DISTINCT rd, date FROM rel) d JOIN w USING (rd)),
+filled AS (SELECT rd, date, w, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY rd, asset_id ORDER BY date), {_ONE}) AS r FROM grid LEFT JOIN rel USING (rd, asset_id, date)),
+day AS (SELECT rd, date, CAST(sum(w * r) AS HUGEINT) // {_ONE} AS rel FROM filled GROUP BY 1, 2), ends AS (SELECT rd, arg_max(rel, date) AS e, row_number() OVER (ORDER BY rd) AS k FROM day GROUP BY rd),
+acc(k, base) AS (SELECT CAST(1 AS BIGINT), CAST({_ONE} AS HUGEINT) UNION ALL SELECT acc.k + 1, base * e // {_ONE} FROM acc JOIN ends ON ends.k = acc.k)
+SELECT date, rd AS rebalance_date, round(CAST(1000 * (base * rel // {_ONE}) AS DOUBLE) / {_ONE}, 6) AS level FROM day JOIN ends USING (rd) JOIN acc ON acc.k = ends.k QUALIFY row_number() OVER (PARTITION BY date ORDER BY rd DESC) = 1""")
 def index_chain(spark, sf):
     first = p2(spark, sf).groupBy(F.to_date(F.date_trunc("quarter", "date")).alias("q")).agg(F.min("date").alias("rebalance_date"))
     w = p2(spark, sf).join(first, F.col("date") == F.col("rebalance_date")).select("rebalance_date", "asset_id", F.col("marketcap").alias("weight"))
-    return backtest.chained_index(p2(spark, sf), w).withColumn("level", rnd("level"))
+    return backtest.chained_index(p2(spark, sf), w).withColumn("level", rnd(F.col("level").cast("double")))
 
 
 @query()

@@ -64,15 +64,29 @@ def dim_from_symbols(symbols: DataFrame, stables: DataFrame, column: str = "symb
     return d.select(F.lower("symbol").alias("asset_id"), "symbol", F.col("symbol").alias("name"), "is_stable", F.to_json(F.struct("symbol", "is_stable")).alias("metadata_json"))
 
 
-def match_category(names: DataFrame, categories: DataFrame) -> DataFrame:
-    """category_name -> category_id: exact, else equal without marks, else one within the other; the best, then smallest id.
-    Both are dimension tables; the categories are broadcast only through the planner's own size check."""
+def match_category(names: DataFrame, categories: DataFrame, gram: int = 3) -> DataFrame:
+    """category_name -> category_id: exact, else equal without marks, else one within the other; the best, then smallest id; null without one.
+
+    Three joins by key: names, names without marks, and for what is left a join by one run of characters: the shorter of two names, one of which holds the other,
+    starts with a run of `gram` characters that the longer one has somewhere. So each plain name is taken once by its first run and once by all its runs; names shorter than that
+    join by their whole selves. Only pairs that share the run are compared."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-    c = categories.select("category_id", F.col("category_name").alias("_c"))
-    both = names.join(c, (F.lower("name") == F.lower("_c")) | plain(F.col("name")).contains(plain(F.col("_c"))) | plain(F.col("_c")).contains(plain(F.col("name"))), "left")
-    score = F.when(F.lower("name") == F.lower("_c"), 0).when(plain(F.col("name")) == plain(F.col("_c")), 1).otherwise(2)
-    w = Window.partitionBy("name").orderBy("_score", "category_id")
-    return both.withColumn("_score", score).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("name", "category_id")
+    n = names.select("name").distinct().withColumns({"_l": F.lower("name"), "_p": plain(F.col("name"))})
+    c = categories.select("category_id", F.lower("category_name").alias("_cl"), plain(F.col("category_name")).alias("_cp"))
+    exact = n.join(c, F.col("_l") == F.col("_cl")).select("name", "category_id", F.lit(0).alias("_score"))
+    same = n.join(c, F.col("_p") == F.col("_cp")).select("name", "category_id", F.lit(1).alias("_score"))
+    open_ = n.where(F.col("name").isNotNull()).join(exact.unionByName(same).select("name").distinct(), "name", "left_anti")
+
+    def runs(p: str) -> Column:  # every run of 0 to gram characters that a shorter name may start with
+        upto = lambda k: F.when(F.length(p) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - k + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(F.lit("")), *(upto(k) for k in range(1, gram + 1))))
+
+    first = lambda p: F.substring(p, 1, gram)
+    within = open_.select("name", "_p", first("_p").alias("_g")).join(c.select("category_id", "_cp", F.explode(runs("_cp")).alias("_g")), "_g").where(F.col("_cp").contains(F.col("_p")))
+    holds = open_.select("name", "_p", F.explode(runs("_p")).alias("_g")).join(c.select("category_id", "_cp", first("_cp").alias("_g")), "_g").where(F.col("_p").contains(F.col("_cp")))
+    loose = within.select("name", "category_id").unionByName(holds.select("name", "category_id")).withColumn("_score", F.lit(2))
+    best = exact.unionByName(same).unionByName(loose).groupBy("name").agg(F.min(F.struct("_score", "category_id"))["category_id"].alias("category_id"))
+    return names.select("name").distinct().join(best, "name", "left").select("name", "category_id")
 
 
 def link_instruments(instruments: DataFrame, dim: DataFrame) -> DataFrame:
@@ -128,8 +142,9 @@ def not_unique(mapping: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def join_sanity(left: DataFrame, rights: Mapping[str, DataFrame], key: str, sample: int = 20, seed: int = 42) -> DataFrame:
-    """Up to `sample` keys drawn at random (seeded), with a flag for each table that has them."""
-    return presence(left.select(key).distinct().orderBy(F.rand(seed)).limit(sample), rights, key)
+    """Up to `sample` keys drawn by a hash of key and seed (the same ones however the rows lie), with a flag for each table that has them."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return presence(left.select(key).distinct().orderBy(drawn, key).limit(sample), rights, key)
 
 
 def conflicts(dim: DataFrame, prices: DataFrame, size: str, key: str = "asset_id", symbol: str = "symbol", top: int = 20) -> tuple[DataFrame, DataFrame]:

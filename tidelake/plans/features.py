@@ -101,12 +101,24 @@ def composite_score(spark, sf):
     return scored(spark, sf).select("date", rnd("s").alias("score"), (k > 60).alias("valid"))
 
 
-@query()
+def _machine_sql(source: str, enter: list[float], names: list[str], band: float = 0.05, persist: int = 3) -> str:
+    """The regime machine of one daily score in SQL: above a threshold plus band counts up, below one less band counts down."""
+    up, down = (" + ".join(f"CAST(s {sign} {e + by!r} AS INTEGER)" for e in enter) for sign, by in ((">", band), (">=", -band)))
+    label = "CASE state " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+    return f"""WITH RECURSIVE {source}, x AS (SELECT date, s, row_number() OVER (ORDER BY date) AS k, {up} AS u, {down} AS d FROM score),
+m AS (SELECT CAST(0 AS BIGINT) AS k, {len(enter) // 2} AS state, -1 AS waiting, 0 AS waited, 0 AS dir UNION ALL
+SELECT k, CASE WHEN go THEN z ELSE state END, CASE WHEN go OR z = state THEN -1 ELSE z END, CASE WHEN go OR z = state THEN 0 ELSE wt END, CASE WHEN go THEN step ELSE dir END FROM (
+SELECT *, z <> state AND wt >= CASE WHEN dir = 0 OR dir = step THEN {persist} ELSE {-(-persist * 3 // 2)} END AS go FROM (
+SELECT k, state, dir, z, CASE WHEN z = waiting THEN waited + 1 ELSE 1 END AS wt, CAST(sign(z - state) AS INTEGER) AS step FROM (SELECT x.k, state, waiting, waited, dir, greatest(u, least(state, d)) AS z FROM m JOIN x ON x.k = m.k + 1))))
+SELECT date, {label} AS regime, round(s, 6) AS score FROM m JOIN x USING (k)"""
+
+
+@query(_machine_sql(_SCORE, [-0.3, 0.3], ["RISK_OFF", "NEUTRAL", "RISK_ON"]))
 def regime3(spark, sf):
     return G.classify(scored(spark, sf), "s", [-0.3, 0.3], ["RISK_OFF", "NEUTRAL", "RISK_ON"]).select("date", "regime", rnd("s").alias("score"))
 
 
-@query()
+@query(_machine_sql(_SCORE, [-0.8, -0.3, 0.3, 0.8], ["STRONG_OFF", "WEAK_OFF", "NEUTRAL", "WEAK_ON", "STRONG_ON"]))
 def regime5(spark, sf):
     return G.classify(scored(spark, sf), "s", [-0.8, -0.3, 0.3, 0.8], ["STRONG_OFF", "WEAK_OFF", "NEUTRAL", "WEAK_ON", "STRONG_ON"]).select("date", "regime", rnd("s").alias("score"))
 

@@ -256,7 +256,7 @@ def venue_presence(spark, sf):
     return mapping.presence(n, {"suppliers": s, "customers": c}, "n_nationkey")
 
 
-@query()
+@query(f"""WITH {P3}, k AS (SELECT DISTINCT s_suppkey AS asset_id FROM supplier ORDER BY md5('42:' || s_suppkey), s_suppkey LIMIT 20) SELECT asset_id, asset_id IN (SELECT asset_id FROM p3) AS prices FROM k""")
 def join_sanity(spark, sf):
     s = panel.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset_id"))
     return mapping.join_sanity(s, {"prices": p3(spark, sf)}, "asset_id")

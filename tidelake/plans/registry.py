@@ -85,6 +85,6 @@ def mkt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import aggregates, backtests, evaluations, features, ingest, lake, operations, quality_gates, research, rolling, sql_book, state, statistics, streams, universes  # noqa: F401
+    from . import aggregates, backtests, evaluations, features, ingest, lake, operations, quality_gates, research, rolling, scans, sql_book, state, statistics, streams, universes  # noqa: F401
 
 load()

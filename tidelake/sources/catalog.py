@@ -7,6 +7,7 @@ a staging folder that is renamed, or use dynamic partition overwrite; merges are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -252,3 +253,39 @@ def facts_from_payloads(payloads: DataFrame, key: str = "asset_id", payload: str
     ms = F.element_at("_p", 1).cast("long")
     x = points.select(key, F.to_date(F.timestamp_millis(ms)).alias("date"), ms.alias("_ms"), F.element_at("_p", 2).alias(value))
     return x.groupBy(key, "date").agg(F.max_by(value, "_ms").alias(value))
+
+
+# Results for people and for other programs
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; nulls are kept as such."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def markdown(df: DataFrame, most: int = 50) -> str:
+    """A small result as a Markdown table; a longer one ends with a row that says how many rows follow."""
+    def cell(v: object) -> str:
+        return "" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
+
+    rows = df.limit(most + 1).collect()  # a report, never a table
+    lines = ["| " + " | ".join(map(cell, df.columns)) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    if len(rows) > most:
+        lines.append("| " + " | ".join([f"... {df.count() - most} more rows", *[""] * (len(df.columns) - 1)]) + " |")
+    return "\n".join(lines) + "\n"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text, such as a manifest or a report, as one file of any file system, in place of an older one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def receipt(tables: Mapping[str, DataFrame], config: Mapping, steps: Mapping[str, str]) -> str:
+    """A run's receipt as JSON: row counts, configuration and its hash, status of the steps."""
+    return json.dumps(run_metadata(tables, config) | {"config": dict(config), "steps": dict(steps)}, indent=1, sort_keys=True, default=str)

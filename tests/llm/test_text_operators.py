@@ -398,3 +398,28 @@ def test_html_rows(spark):
     assert out.columns == ["page_id", "url", "_page", "_PAGE_", "text"] and [x["text"] for x in out.collect()] == ["A paragraph of the article that is long enough to be taken for text."] * 3
     assert html_text.extract(rows.limit(0)).count() == 0
     assert html_text.extract(rows.withColumn("TEXT", F.lit(1))).columns == ["page_id", "url", "_page", "_PAGE_", "text"]
+
+
+_SAID = "This is one rather long sentence of an ordinary article about harbours, ships and weather, which goes on for about forty words so that anybody can see that it is prose and not a menu or a label of some kind."
+
+
+@pytest.mark.parametrize("around", [
+    '<article class="post comment-open">{}</article>', '<article class="post hentry sharing-enabled">{}</article>', '<article class="story related-content">{}</article>', '<article class="article has-banner">{}</article>',
+    '<article class="ad-free-article">{}</article>', '<article class="post login-required">{}</article>', '<div id="content" class="subscriber-menu-open">{}</div>', '<form id="aspnetForm"><div class="content">{}</div></form>',
+    '<div class="content-sidebar-wrap"><div class="entry-content">{}</div></div>', '<div class="layout-sidebar-right"><div>{}</div></div>', '<main role="main"><div class="page-header-wrapper"><section>{}</section></div></main>',
+    '<article id="post-7" class="post-7 type-post status-publish category-advertising tag-comments">{}</article>', '<div itemprop="articleBody">{}</div>', '<table id="main"><tr><td class="text">{}</td></tr></table>',
+])
+def test_html_names_of_what_else_a_page_has_lose_no_article(around):
+    page = f'<body><nav><a href="/">Home</a> <a href="/a">All about it</a></nav>{around.format(f"<p>{_SAID}</p><p>{_SAID}</p>")}<div class="sidebar-widget"><p>Subscribe to our letter today.</p></div><footer>Imprint</footer></body>'
+    assert html_text.extract_text(page) == f"{_SAID}\n{_SAID}"
+
+
+@pytest.mark.parametrize("inner", [
+    '<div class="comment">{}</div>', '<div class="advertisement">{}</div>', '<div class="content"><div class="newsletter">{}</div></div>', '<aside>{}{}</aside>', '<form>{}{}</form>', '<div class="ad-slot">{}</div>',
+    '<ol class="comment-list"><li><article class="comment-body"><div class="comment-content">{}{}</div></article></li></ol>', '<section class="related-posts"><article class="post">{}</article></section>', '<div id="disqus_thread">{}</div>',
+    '<div role="complementary">{}</div>', '<div class="commentText" itemprop="comment">{}</div>', '<div style="display: none">{}</div>', '<div class="share-buttons">{}</div>', '<div class="cookieNotice">{}</div>',
+])
+def test_html_what_stands_in_an_article_but_is_none_goes(inner):
+    other = "<p>X" + _SAID + "</p>"
+    page = f"<body><main><article class=post><h1>A title of the article</h1><p>{_SAID}</p>{inner.replace('{}', other)}<p>{_SAID}</p></article></main></body>"
+    assert html_text.extract_text(page) == f"A title of the article\n{_SAID}\n{_SAID}"

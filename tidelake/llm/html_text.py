@@ -6,7 +6,11 @@ terminal capacities: what it costs to call a block boilerplate (from the source)
 blocks, and siblings below one element, are joined by edges whose capacity falls with their distance in the tree. The
 minimum cut, found by maximum flow, separates content from boilerplate.
 
-The classifier's odds are set by hand, from what elements and names mean; there are no labelled pages to fit them on.
+The classifier's odds are set by hand, from what elements and names mean; there are no labelled pages to fit them on. What speaks
+against an element starts anew below it: however good the element stands that a comment, an advert or a form is in, and whatever
+element or name stands inside, that subtree begins below zero. A name counts by the words it is made of (`comment-list`), but
+not where these tell of a state (`comments-open`, `has-sidebar`, `ad-free`). On an article, and on elements that hold most
+of the page's text, only whole names count against (`comment`, not `related-content`), as others tell of what else the page has; so does a form.
 
 Defined cases: null, empty and textless pages give an empty text; markup that is never closed ends with the page, but for
 buttons and the like, whose start tag is then skipped; repeated
@@ -54,6 +58,11 @@ AGAINST = frozenset(
 FOR = frozenset("article content main post entry story body text".split())
 #: Elements around the whole page or all its content, whose names tell of its layout and so don't speak against it.
 WHOLE = frozenset(("html", "body", "main"))
+#: Words that, just before or just after a name, make it the state of something else.
+BEFORE = frozenset("has have no not with without can supports".split())
+AFTER = frozenset("open opened closed enabled disabled required free allowed active inactive on off visible shown".split())
+#: An element with a larger share of the page's text holds the article, whatever its name is made of.
+MOST = 0.6
 #: A header of an article (inside one, or named so) is no header of the page.
 HEADERS = frozenset(("header", "masthead"))
 #: Elements below so many others are taken as children of the last of these.
@@ -63,43 +72,73 @@ OWN = {"p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "blockquote": 0.7, "pre": 0.7,
 NEIGHBOUR, SIBLING = 0.8, 0.6
 
 
-def around(tag: str, attributes: str, inside: bool) -> float:
-    """What an element adds to the log-odds of all below it. inside: it stands in an article."""
-    v = FORBIDDING.get(tag, 0.0)
+def _against(words: list[str]) -> bool:
+    """The name has a word that speaks against content and isn't a state."""
+    return any(w in AGAINST and (i == 0 or words[i - 1] not in BEFORE) and (i + 1 == len(words) or words[i + 1] not in AFTER) for i, w in enumerate(words))
+
+
+def around(tag: str, attributes: str, inside: bool, most: bool) -> tuple[float, bool]:
+    """What an element adds to the log-odds of all below it, and whether that starts anew below zero. inside: it stands in an article; most: it
+    holds most of the page's text."""
+    v, anew = (0.0, False) if tag == "form" and most else (FORBIDDING.get(tag, 0.0), tag in FORBIDDING)
     if tag == "header":
-        v = -2.0 if inside else -9.0
+        v, anew = (-2.0, False) if inside else (-9.0, True)
     elif tag in ("article", "main"):
         v = 4.0
+    good = bad = False
     if attributes and not attributes.isspace():
-        names: set[str] = set()
         for k, a, b, c in _ATTRIBUTE.findall(attributes):
             k, value = k.lower(), a or b or c
             if k in ("class", "id", "role", "itemprop"):
                 for one in value.split():
-                    words = {x.lower() for x in _NAME.findall(one)}
-                    names |= words - HEADERS if inside or words & FOR else words
+                    words = [x.lower() for x in _NAME.findall(one)]
+                    good = good or not FOR.isdisjoint(words)
+                    if inside or not FOR.isdisjoint(words):
+                        words = [w for w in words if w not in HEADERS]
+                    if tag not in WHOLE and (len(words) == 1 or not most and tag != "article"):
+                        bad = bad or _against(words)
             elif k == "hidden" or k == "aria-hidden" and value == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                v = min(v, -9.0)
-        if names & AGAINST and tag not in WHOLE:
-            v = min(v, 0.0) - 7.0
-        elif names & FOR and tag not in ("body", "html"):
-            v += 1.5
-    return v
+                v, anew = min(v, -9.0), True
+    if bad:
+        return min(v, 0.0) - 7.0, True
+    return (v, True) if anew else (v + 1.5 if good and tag not in ("body", "html") else v, False)
 
 
 class Block:
-    __slots__ = ("linked", "odds", "path", "tag", "text")
-
-    def __init__(self, text: str, tag: str, path: tuple[int, ...], context: float, linked: int):
-        self.text, self.tag, self.path, self.linked = text, tag, path, linked
-        words = text.count(" ") + 1
-        share = min(1.0, linked / max(1, len(text)))
-        self.odds = max(-12.0, min(12.0, context + OWN.get(tag, 0.0) + 0.5 * (min(math.log2(1 + words), 7.0) - 3.0) - 4.0 * share + (0.4 if text[-1] in ".!?:;…\"”" else 0.0)))
+    __slots__ = ("element", "linked", "odds", "path", "tag", "text")
+
+    def __init__(self, text: str, tag: str, path: tuple[int, ...], element: int, linked: int):
+        self.text, self.tag, self.path, self.element, self.linked = text, tag, path, element, linked
+        self.odds = 0.0
+
+    def judge(self, context: float) -> None:
+        words = self.text.count(" ") + 1
+        share = min(1.0, self.linked / max(1, len(self.text)))
+        self.odds = max(-12.0, min(12.0, context + OWN.get(self.tag, 0.0) + 0.5 * (min(math.log2(1 + words), 7.0) - 3.0) - 4.0 * share + (0.4 if self.text[-1] in ".!?:;…\"”" else 0.0)))
+
+
+def contexts(out: list[Block], elements: list[tuple[int, str, str, bool]]) -> list[float]:
+    """Log-odds below each element. elements: parent (which comes first), name, attributes, in an article."""
+    size = [0] * len(elements)
+    for b in out:
+        size[b.element] += len(b.text)
+    for i in range(len(elements) - 1, 0, -1):
+        size[elements[i][0]] += size[i]
+    odds, below = [0.0] * len(elements), [False] * len(elements)
+    for i, (parent, tag, attributes, inside) in enumerate(elements[1:], 1):
+        v, anew = around(tag, attributes, inside, size[i] > MOST * size[0])
+        below[i] = below[parent] or anew
+        if anew:
+            odds[i] = max(-20.0, min(odds[parent], 0.0) + v)
+        else:
+            odds[i] = max(-20.0, min(6.0, odds[parent] + (min(v, 0.0) if below[parent] else v)))
+    return odds
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, float, bool, tuple[int, ...]]] = [("", 0.0, False, (0,))]  # element, log-odds below it, in an article, path
+    elements: list[tuple[int, str, str, bool]] = [(0, "", "", False)]
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, (0,))]  # name, element, in an article, path
     parts: list[str] = []
     linked = depth_a = 0
     serial = at = 0
@@ -111,8 +150,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, context, _, path = stack[-1]
-                out.append(Block(text, tag, path, context, linked))
+                tag, element, _, path = stack[-1]
+                out.append(Block(text, tag, path, element, linked))
             parts.clear()
         linked = 0
 
@@ -158,13 +197,17 @@ def blocks(page: str) -> list[Block]:
                 while closes and stack[-1][0] in closes:
                     stack.pop()
                 serial += 1
-                _, context, inside, path = stack[-1]
+                _, parent, inside, path = stack[-1]
                 if len(stack) <= DEEPEST:
                     path = (*path, serial)
                 elif len(stack) > 4 * DEEPEST:  # far deeper than any page: not kept open
                     continue
-                stack.append((name, max(-20.0, min(6.0, context + around(name, m.group(3), inside))), inside or name in ("article", "main"), path))
+                elements.append((parent, name, m.group(3), inside))
+                stack.append((name, len(elements) - 1, inside or name in ("article", "main"), path))
     flush()
+    odds = contexts(out, elements)
+    for x in out:
+        x.judge(odds[x.element])
     return out
 
 

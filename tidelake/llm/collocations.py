@@ -3,7 +3,7 @@
 A-Z are lowered, texts are split at `[.,;:!?\\x0A-\\x0D]` into pieces and these into words `[^\\x20\\x09]+`; phrases are runs of words within a piece. A candidate is a phrase of 2 to
 MOST words that occurs LEAST times or more in its language. Cut after its first k words into parts that occur l and r times, it scores
 floor(SCALE * a * a / (l * r)); the cut with the lowest score counts (ties: the smallest k). A candidate that lies inside a longer
-one which occurs SUBSUMED percent as often or more is dropped, and the TOP best of each language are returned.
+one which occurs SUBSUMED percent as often or more is dropped, and the TOP best of each language are returned: the best of PARTS parts, then the best of these.
 
 First pass: each task counts its phrases of 1 to MOST words in a count-min sketch of ROWS rows of cells, saturating at LEAST, and adds its sketch to
 others by a shuffle of blocks. A sketch overestimates, so a phrase with a cell below LEAST in any row is not frequent; the merged sketch
@@ -32,6 +32,8 @@ from ._common import byte_texts, groups, hash_words, mix, small_batches, strings
 
 MOST, LEAST, SUBSUMED, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 ROWS, CELLS, FEWEST_CELLS = 2, 26, 16
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Bytes of text a byte of sketch; cells of a block; bytes of text counted at once.
 SHARE, CELL_BLOCK, STEP = 4, 1 << 16, 4 << 20
 _BREAKS = np.zeros(256, bool)
@@ -171,6 +173,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MO
         scored = scored.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < subsumed * F.col("a")))
     c = F.col("cut")
     best = scored.select("lang", "phrase", "a", c["l"].alias("l"), c["r"].alias("r"), c["score"].alias("score"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = best.withColumn("rank", rank).where(F.col("rank") <= top)  # on the bare number, so that tasks drop all but their own best before the shuffle
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    best = best.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    for group in (["lang", "_part"], ["lang"]):  # the best of each part first, so that one task never ranks more than PARTS * top rows
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -10,19 +10,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def span(df: DataFrame, date: str = "date") -> DataFrame:
+    """One row: the first and last day of a table, a and b."""
+    return df.agg(F.min(F.to_date(date)).alias("a"), F.max(F.to_date(date)).alias("b"))
+
+
+def _between(spark: SparkSession, start: str, end: str) -> DataFrame:
+    return spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))
+
+
+def rebalance_calendar(bounds: DataFrame, day: int = 1, months: int = 1) -> DataFrame:
+    """The given day of every month (or of January, April, July, October for months=3) within the bounds, inclusive."""
+    d = bounds.where("a is not null").select("a", "b", F.explode(F.sequence(F.trunc("a", "quarter" if months == 3 else "month"), F.col("b"), F.expr(f"interval {months} month"))).alias("m"))
+    return d.withColumn("rebalance_date", F.date_add("m", day - 1)).where("rebalance_date between a and b").select("rebalance_date")
+
+
+def weekly_calendar(bounds: DataFrame, weekday: str = "Thursday") -> DataFrame:
+    """The weekday on or after the first day, and every seventh day after it, up to the last; with the next one."""
+    first = F.next_day(F.date_sub("a", 1), weekday[:3])
+    d = bounds.withColumn("_f", first).where("_f <= b").select(F.explode(F.sequence("_f", F.col("b"), F.expr("interval 7 days"))).alias("decision_date"))
+    return d.withColumn("next_date", F.date_add("decision_date", 7))
+
+
 def rebalance_dates(spark: SparkSession, start: str, end: str, day: int = 1, months: int = 1) -> DataFrame:
-    """The given day of every month (or of January, April, July, October for months=3) within [start, end]."""
-    first = F.trunc(F.lit(start).cast("date"), "quarter" if months == 3 else "month")
-    d = spark.range(1).select(F.explode(F.sequence(first, F.lit(end).cast("date"), F.expr(f"interval {months} month"))).alias("m"))
-    d = d.select(F.date_add("m", day - 1).alias("rebalance_date"))
-    return d.where(F.col("rebalance_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return rebalance_calendar(_between(spark, start, end), day, months)
 
 
 def weekly_dates(spark: SparkSession, start: str, end: str, weekday: str = "Thursday") -> DataFrame:
-    """The weekday on or after start, and every seventh day after it, up to end; with the next one."""
-    first = F.next_day(F.date_sub(F.lit(start).cast("date"), 1), weekday[:3])
-    d = spark.range(1).select(F.explode(F.sequence(first, F.lit(end).cast("date"), F.expr("interval 7 days"))).alias("decision_date"))
-    return d.withColumn("next_date", F.date_add("decision_date", 7))
+    return weekly_calendar(_between(spark, start, end), weekday)
 
 
 def eligibility(df: DataFrame, rules: Sequence[tuple[str, Column]], legacy_shadow: Sequence[str] = ()) -> DataFrame:

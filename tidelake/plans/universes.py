@@ -58,19 +58,33 @@ def weight_schemes(spark, sf):
     return U.weights(s, "rebalance_date", "mcap", "equal").select("rebalance_date", "asset_id", rnd("sqrt_weight").alias("sqrt_weight"), rnd("weight").alias("equal_weight"))
 
 
-@query("SELECT CAST(d + INTERVAL 14 DAY AS DATE) AS rebalance_date FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1997-06-30', INTERVAL 1 MONTH)) AS d) WHERE CAST(d + INTERVAL 14 DAY AS DATE) BETWEEN DATE '1995-01-20' AND DATE '1997-06-30'")
+_SPAN = "b AS (SELECT CAST(min({0}) AS DATE) AS a, CAST(max({0}) AS DATE) AS b FROM {1})"
+
+
+def _with_rows(calendar, facts, day, date):
+    """A calendar with how many rows the table has on each day."""
+    n = facts.groupBy(F.to_date(date).alias("_d")).agg(F.count(F.lit(1)).alias("n"))
+    return calendar.join(n, F.col(day) == F.col("_d"), "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("_d")
+
+
+@query(f"WITH {_SPAN.format('o_orderdate', 'orders')}, c AS (SELECT CAST(d + INTERVAL 14 DAY AS DATE) AS d FROM (SELECT unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS d FROM b)) SELECT c.d AS rebalance_date, count(o_orderkey) AS n FROM c JOIN b ON c.d BETWEEN a AND b.b LEFT JOIN orders ON CAST(o_orderdate AS DATE) = c.d GROUP BY 1")
 def rebalance_dates(spark, sf):
-    return U.rebalance_dates(spark, "1995-01-20", "1997-06-30", 15)
+    """The 15th of each month that the orders cover, with its orders."""
+    o = panel.read(spark, sf, "orders")
+    return _with_rows(U.rebalance_calendar(U.span(o, "o_orderdate"), 15), o, "rebalance_date", "o_orderdate")
 
 
-@query("SELECT CAST(d AS DATE) AS rebalance_date FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1997-06-30', INTERVAL 3 MONTH)) AS d) WHERE d >= DATE '1995-01-20'")
+@query(f"WITH {_SPAN.format('l_shipdate', 'lineitem')}, c AS (SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(date_trunc('quarter', a), b, INTERVAL 3 MONTH)) AS d FROM b)) SELECT c.d AS rebalance_date, count(l_orderkey) AS n FROM c JOIN b ON c.d BETWEEN a AND b.b LEFT JOIN lineitem ON CAST(l_shipdate AS DATE) = c.d GROUP BY 1")
 def rebalance_quarters(spark, sf):
-    return U.rebalance_dates(spark, "1995-01-20", "1997-06-30", 1, 3)
+    li = panel.read(spark, sf, "lineitem")
+    return _with_rows(U.rebalance_calendar(U.span(li, "l_shipdate"), 1, 3), li, "rebalance_date", "l_shipdate")
 
 
-@query("SELECT CAST(d AS DATE) AS decision_date, CAST(d + INTERVAL 7 DAY AS DATE) AS next_date FROM (SELECT unnest(generate_series(DATE '1996-01-04', DATE '1996-12-31', INTERVAL 7 DAY)) AS d)")
+@query(f"WITH {_SPAN.format('o_orderdate', 'orders')}, c AS (SELECT CAST(unnest(generate_series(a + CAST((11 - isodow(a)) % 7 AS INTEGER), b, INTERVAL 7 DAY)) AS DATE) AS d FROM b) SELECT c.d AS decision_date, CAST(c.d + INTERVAL 7 DAY AS DATE) AS next_date, count(o_orderkey) AS n FROM c LEFT JOIN orders ON CAST(o_orderdate AS DATE) = c.d GROUP BY 1")
 def weekly_dates(spark, sf):
-    return U.weekly_dates(spark, "1996-01-01", "1996-12-31")
+    """The Thursdays that the orders cover."""
+    o = panel.read(spark, sf, "orders")
+    return _with_rows(U.weekly_calendar(U.span(o, "o_orderdate")), o, "decision_date", "o_orderdate")
 
 
 @query(f"""WITH {R1}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r DESC, asset_id) AS h, row_number() OVER (PARTITION BY date ORDER BY r, asset_id DESC) AS c, least(15, floor(count(*) OVER (PARTITION BY date) / 2)) AS k FROM r1 WHERE r IS NOT NULL)

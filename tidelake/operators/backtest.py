@@ -14,6 +14,13 @@ from . import windows as W
 from .windows import ratio
 
 
+def holding_days(days: DataFrame, dates: DataFrame) -> DataFrame:
+    """date, rebalance_date: the last rebalance before each day. Days and dates are one series, a row each, read in order; facts come in by their day."""
+    both = days.select("date", F.lit(0).alias("_o"), F.lit(None).cast("date").alias("_r")).unionByName(dates.select(F.col("rebalance_date").alias("date"), F.lit(1).alias("_o"), F.col("rebalance_date").cast("date").alias("_r")))
+    last = F.last("_r", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("date", "_o").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("rebalance_date", last).where("_o = 0 and rebalance_date is not null").select("date", "rebalance_date")
+
+
 def basket_returns(returns: DataFrame, snapshots: DataFrame, policy: str = "nan", coverage: float = 0.9) -> DataFrame:
     """date, rebalance_date, r_basket, covered, n: the held basket's return on each day after its rebalance.
 
@@ -21,9 +28,7 @@ def basket_returns(returns: DataFrame, snapshots: DataFrame, policy: str = "nan"
     weight), "renormalize" divides by the covered weight on every day, "conservative_zero" lets missing members count as 0.
     returns: asset_id, date, r. snapshots: rebalance_date, asset_id, weight.
     """
-    dates = snapshots.select("rebalance_date").distinct().withColumn("_next", F.lead("rebalance_date").over(Window.orderBy("rebalance_date")))
-    days = returns.select("date").distinct()
-    held = days.join(F.broadcast(dates), (F.col("date") > F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date")))).select("date", "rebalance_date")
+    held = holding_days(returns.select("date").distinct(), snapshots.select("rebalance_date").distinct())
     x = held.join(snapshots, "rebalance_date").join(returns, ["date", "asset_id"], "left")
     has = F.col("r").isNotNull()
     g = x.groupBy("date", "rebalance_date").agg(F.sum("weight").alias("_w"), F.coalesce(F.sum(F.when(has, F.col("weight"))), F.lit(0.0)).alias("covered"), F.sum(F.col("weight") * F.col("r")).alias("_s"), F.count(F.lit(1)).alias("n"))
@@ -51,10 +56,7 @@ def long_short(returns: DataFrame, snapshots: DataFrame, major: DataFrame, polic
 def basket_pnl(returns: DataFrame, snapshots: DataFrame, cost_rate: float = 0.0005) -> DataFrame:
     """Signed weights: pnl of the long and of the short side, gross exposure, and cost (the whole of the changes, not half)."""
     cost = W.turnover(snapshots, halve=False).select("rebalance_date", (F.col("turnover") * cost_rate).alias("cost"))
-    dates = snapshots.select("rebalance_date").distinct().withColumn("_next", F.lead("rebalance_date").over(Window.orderBy("rebalance_date")))
-    # the range holds days, not facts: these come in by their day
-    days = returns.select("date").distinct().join(F.broadcast(dates), (F.col("date") > F.col("rebalance_date")) & (F.col("date") <= F.coalesce("_next", F.lit("9999-12-31").cast("date"))))
-    held = returns.join(days.select("date", "rebalance_date"), "date")
+    held = returns.join(holding_days(returns.select("date").distinct(), snapshots.select("rebalance_date").distinct()), "date")
     x = held.join(snapshots, ["rebalance_date", "asset_id"])
     p = F.col("weight") * F.col("r")
     g = x.groupBy("date", "rebalance_date").agg(F.coalesce(F.sum(F.when(F.col("weight") > 0, p)), F.lit(0.0)).alias("long_pnl"), F.coalesce(F.sum(F.when(F.col("weight") < 0, p)), F.lit(0.0)).alias("short_pnl"), F.sum(F.abs("weight")).alias("gross"))

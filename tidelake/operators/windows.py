@@ -6,7 +6,7 @@ whole market are aggregated to one row a day first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -125,23 +125,29 @@ def label_by_edges(v: Column, edges: Column, labels: Sequence[str]) -> Column:
     return out.otherwise(labels[-1])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sorted_quantiles(a: Column, n: int) -> Column:
     """Interpolated quantiles 0, 1/n .. 1 of an array."""
-    s = F.array_sort(a)
+    def all_of(s: Column) -> Column:
+        def q(i: int) -> Column:
+            x = (F.size(s) - 1) * (i / n)
+            lo = F.floor(x).cast("int")
+            hi = F.least(lo + 1, F.size(s) - 1)
+            return F.get(s, lo) + (x - lo) * (F.get(s, hi) - F.get(s, lo))
 
-    def q(i: int) -> Column:
-        x = (F.size(a) - 1) * (i / n)
-        lo = F.floor(x).cast("int")
-        hi = F.least(lo + 1, F.size(a) - 1)
-        return F.get(s, lo) + (x - lo) * (F.get(s, hi) - F.get(s, lo))
+        return F.array(*(q(i) for i in range(n + 1)))
 
-    return F.array(*(q(i) for i in range(n + 1)))
+    return once(F.array_sort(a), all_of)
 
 
 def prior_labels(value: str, w: WindowSpec, rows: int, labels: Sequence[str]) -> Column:
     """Label of the value among the quantiles of the `rows` rows before it; null with fewer."""
     a = values_of_window(value, w, -rows, -1)
-    return F.when(F.size(a) >= rows, label_by_edges(F.col(value), sorted_quantiles(a, len(labels)), labels))
+    return F.when(F.size(a) >= rows, once(sorted_quantiles(a, len(labels)), lambda e: label_by_edges(F.col(value), e, labels)))
 
 
 def pct_rank_le(value: str, w: WindowSpec, rows: int) -> Column:
@@ -267,9 +273,9 @@ def turnover(snapshots: DataFrame, date: str = "rebalance_date", key: str = "ass
     """Between each snapshot and the one before: (half) the sum of weight changes, assets entered and exited. The first counts
     as 1.0. Dates are indexed by rank, so the join is on (index, asset) and shuffles like any equi-join."""
     dates = snapshots.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))
-    s = snapshots.join(F.broadcast(dates), date).select("_i", key, weight)
+    s = snapshots.join(dates, date).select("_i", key, weight)
     prev = s.select((F.col("_i") + 1).alias("_i"), key, F.col(weight).alias("_w0"))
     both = s.join(prev, ["_i", key], "full")
     change = F.sum(F.abs(F.coalesce(F.col(weight), F.lit(0.0)) - F.coalesce(F.col("_w0"), F.lit(0.0))))
     per = both.groupBy("_i").agg(change.alias("_t"), F.count_if(F.col("_w0").isNull()).alias("entered"), F.count_if(F.col(weight).isNull()).alias("exited"), F.count(weight).alias("n"))
-    return F.broadcast(dates).join(per, "_i").select(date, F.when(F.col("_i") == 1, 1.0).otherwise(F.col("_t") * (0.5 if halve else 1.0)).alias("turnover"), "entered", "exited", "n")
+    return dates.join(per, "_i").select(date, F.when(F.col("_i") == 1, 1.0).otherwise(F.col("_t") * (0.5 if halve else 1.0)).alias("turnover"), "entered", "exited", "n")

@@ -123,3 +123,36 @@ def test_run_lengths_from_sql_equal_the_frame_form(spark, batch):
     runs = W.runs(df, F.col("state")).groupBy(F.col("asset_id").cast("string").alias("key"), "run").agg(F.first("_state").alias("state"), F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"))
     assert got == sorted(map(tuple, runs.select("key", "state", "first", "last", "n").collect()), key=repr)
     assert spark.sql("SELECT * FROM run_lengths(TABLE(SELECT asset_id, date, state FROM states WHERE false) PARTITION BY asset_id ORDER BY date)").count() == 0
+
+
+def test_ranked_sides_and_their_fallback(spark):
+    from tidelake.operators import statistics as T
+
+    r = random.Random(7)
+    rows = [(g, k, START + i * DAY, r.gauss(k / 1000 * (-1) ** g, 0.001 * (k + 1))) for g in (1, 2) for k in range(12) for i in range(40)]
+    rows += [(3, k, START + i * DAY, r.gauss(0, 0.01)) for k in range(12) for i in range(6)] + [(4, k, START, 0.1) for k in range(12)]
+    got = {}
+    for x in T.rank_sides(spark.createDataFrame(rows, "g int, k int, date date, r double"), "g", "k", "date", "r", n=3).collect():
+        got.setdefault((x["g"], x["method"]), {})[x["k"]] = x["weight"]
+    for g in (1, 2):
+        own = {k: [x for a, b, _, x in rows if (a, b) == (g, k)] for k in range(12)}
+        for method, value in (("minvar_rank", lambda v: np.std(v, ddof=1)), ("momentum_rank", lambda v: np.mean(v[-30:]))):
+            order = sorted(own, key=lambda k: value(own[k]))
+            assert got[g, method] == {k: 0.5 / 3 for k in order[:3]} | {k: -0.5 / 3 for k in order[-3:]}
+        assert len(got[g, "random"]) == 6 and sum(got[g, "random"].values()) == 0
+    assert got[3, "random"] == got[3, "minvar_rank"]  # too few returns to draw from
+    assert [m for g, m in got if g == 4] == ["momentum_rank"]  # no variance at all: only the means rank, all equal, by key
+    assert got[4, "momentum_rank"] == {k: 0.5 / 3 for k in range(3)} | {k: -0.5 / 3 for k in range(9, 12)}
+
+
+def test_label_summary_and_the_day_against_its_history(spark):
+    from tidelake.operators import evaluation, stats
+
+    x = stats.label_summary(spark.createDataFrame([("a", 0.1), ("a", -0.5), ("a", None), (None, 1.0), ("b", 0.2)], "l string, y double"), "l", "y")
+    assert {r["label"]: (r["n"], round(r["mean"], 6), round(r["median"], 6), r["hit_rate"], round(r["compounded"], 6)) for r in x.collect()} == {"a": (2, -0.2, -0.2, 0.5, -0.45), "b": (1, 0.2, 0.2, 0.0, 0.2)}
+    history = spark.createDataFrame([(START + i * DAY, float(i % 3), 5.0) for i in range(60)], "date date, v double, c double")
+    day = spark.createDataFrame([(START + 50 * DAY, 9.0, 5.0)], "date date, v double, c double")  # later history doesn't count
+    past = [float(i % 3) for i in range(50)]
+    got = evaluation.z_of_day(day, history, ["v", "c"]).first()
+    assert math.isclose(got["z_v"], (9 - np.mean(past)) / np.std(past)) and got["z_c"] is None
+    assert evaluation.z_of_day(day, history.limit(5), ["v"]).first()["z_v"] is None

@@ -52,6 +52,17 @@ def z_against_history(df: DataFrame, value: str, key: str = "series", date: str
     return df.withColumn("z", F.when(F.count(value).over(frame) >= least, z))
 
 
+def z_of_day(day: DataFrame, history: DataFrame, values: Sequence[str], date: str = "date", least: int = 30) -> DataFrame:
+    """The rows of one day with a z-score for each value (z_<value>) against the history before it: population deviation, null with fewer than least rows. The history's
+    moments are one row."""
+    first = day.agg(F.min(date)).first()[0]
+    past = history.where(F.col(date) < F.lit(first))
+    m = past.agg(*(e for v in values for e in (F.avg(v).alias(f"_m_{v}"), F.stddev_pop(v).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}"))))
+    x = day.crossJoin(F.broadcast(m))
+    z = {f"z_{v}": F.when(F.col(f"_n_{v}") >= least, W.ratio(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}"))) for v in values}
+    return x.withColumns(z).select(*day.columns, *z)
+
+
 def window_metrics(df: DataFrame, key: str, date: str, ret: str, first: str, last: str) -> DataFrame:
     """Of the days within an event's window: compounded return, largest fall from the peak (as a difference), deviation, Sharpe
     ratio, peak."""

@@ -332,6 +332,27 @@ def long_short_baskets(df: DataFrame, group: str, key: str, date: str, ret: str,
     return df.select(group, key, date, ret).groupBy(group).applyInPandas(run, schema)
 
 
+def rank_sides(df: DataFrame, group: str, key: str, date: str, ret: str, methods: Sequence[str] = ("minvar_rank", "momentum_rank", "random"), n: int = 15, recent: int = 30, least: int = 20) -> DataFrame:
+    """group, method, key, weight: dollar-neutral equal-weighted baskets by rank, for each group (a rebalance date with the returns of its lookback), without bringing a group's
+    matrix into one task: members are aggregated first, and only those numbers are ranked.
+
+    minvar_rank: the n members that vary least long, the n that vary most short; momentum_rank: the lowest mean of the group's last `recent` days long (they revert), the highest
+    short; random: drawn by a hash of date and member from those with `least` returns. A method with fewer than 2 n members falls back to minvar_rank; a group with fewer
+    even there has no rows. Ties go to the smaller key."""
+    day = F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc(date)))
+    x = df.select(group, key, date, ret).withColumn("_d", day)
+    m = x.groupBy(group, key).agg(F.stddev_samp(ret).alias("_vol"), F.avg(F.when(F.col("_d") <= recent, F.col(ret))).alias("_mu"), F.count(ret).alias("_n"))
+    drawn = F.md5(F.concat_ws(":", F.col(group).cast("string"), F.col(key).cast("string")))
+    value = {"minvar_rank": F.when(F.col("_vol") > 0, F.col("_vol")), "momentum_rank": F.col("_mu"), "random": F.when(F.col("_n") >= least, F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double"))}
+    names = F.explode(F.array(*(F.struct(F.lit(a).alias("method"), value[a].alias("_v"), value["minvar_rank"].alias("_o")) for a in methods)))
+    m = m.select(group, key, names.alias("_s")).select(group, key, "_s.method", "_s._v", "_s._o")
+    both = Window.partitionBy(group, "method")
+    m = m.withColumn("_x", F.when(F.count("_v").over(both) >= 2 * n, F.col("_v")).otherwise(F.col("_o"))).where("_x is not null")
+    m = m.withColumns({"_k": F.row_number().over(both.orderBy("_x", key)), "_c": F.count(F.lit(1)).over(both)}).where(F.col("_c") >= 2 * n)
+    weight = F.when(F.col("_k") <= n, 0.5 / n).when(F.col("_k") > F.col("_c") - n, -0.5 / n)
+    return m.select(group, "method", key, weight.alias("weight")).where("weight is not null")
+
+
 def select_basket(df: DataFrame, group: str, key: str, method: str, n: int = 15) -> DataFrame:
     """n members of each group: "minvar" (lowest vol), "momentum" (highest), "random" (seeded hash), "diverse" (lowest corr)."""
     order = {"minvar": F.col("vol").asc(), "momentum": F.col("momentum").desc(), "random": F.xxhash64(key, F.lit(42)).asc(), "diverse": F.col("corr").asc()}[method]

@@ -141,3 +141,11 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Rows of each value and their percentage. The total is one broadcast row."""
     c = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_t")))).select(column, "n", (100.0 * F.col("n") / F.col("_t")).alias("pct"))
+
+
+def label_summary(df: DataFrame, label: str, value: str) -> DataFrame:
+    """Of each label: rows with a value, mean, median, deviation, share below zero, and the values compounded. Rows without a label or value don't count."""
+    d = df.where(F.col(label).isNotNull() & F.col(value).isNotNull())
+    return d.groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) < 0).cast("double")).alias("hit_rate"), F.expm1(F.sum(F.log1p(value))).alias("compounded"),
+    )

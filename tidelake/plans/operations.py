@@ -103,6 +103,43 @@ def cube_totals(spark, sf):
     return g.agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("SELECT o_orderpriority, o_orderstatus, GROUPING(o_orderpriority) * 2 + GROUPING(o_orderstatus) AS level, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+def rollup_totals(spark, sf):
+    g = panel.read(spark, sf, "orders").rollup("o_orderpriority", "o_orderstatus")
+    return g.agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority, year(o_orderdate)), (o_orderstatus), ())")
+def grouping_sets(spark, sf):
+    o = panel.read(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("long"))
+    keys = [F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("year")]
+    return o.groupingSets([[keys[0], keys[2]], [keys[1]], []], *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {MKT}, l AS (SELECT CASE WHEN r_major > 0.05 THEN 'Green' WHEN r_major > -0.05 THEN 'Yellow' WHEN r_major IS NOT NULL THEN 'Red' END AS label, r_alts / 100 AS y FROM mkt) SELECT label, count(*) AS n, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(stddev_samp(y), 6) AS std, round(avg(CASE WHEN y < 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(exp(sum(ln(1 + y))) - 1, 4) AS compounded FROM l WHERE label IS NOT NULL AND y IS NOT NULL GROUP BY 1")
+def label_summary(spark, sf):
+    from ..operators import stats
+
+    m = mkt(spark, sf).select(F.when(F.col("r_major") > 0.05, "Green").when(F.col("r_major") > -0.05, "Yellow").when(F.col("r_major").isNotNull(), "Red").alias("label"), (F.col("r_alts") / 100).alias("y"))
+    return stats.label_summary(m, "label", "y").select("label", "n", *(rnd(c).alias(c) for c in ("mean", "median", "std", "hit_rate")), rnd("compounded", 4).alias("compounded"))
+
+
+@query("WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1), e AS (SELECT max(date) AS e FROM d), m AS (SELECT avg(n) AS a, stddev_pop(n) AS b, avg(mean) AS c, stddev_pop(mean) AS f FROM d, e WHERE date < e) SELECT date, n, mean, CASE WHEN date = e THEN round((n - a) / nullif(b, 0), 4) END AS z_n, CASE WHEN date = e THEN round((mean - c) / nullif(f, 0), 4) END AS z_mean FROM d, e, m")
+def append_day_features(spark, sf):
+    """A stored history of daily features; the newest day comes with its z-scores against it and is appended, once however often the job runs."""
+    from ..sources import shared
+    from ..sources.versioned import VersionedTable
+
+    d = panel.read(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("o_totalprice"), 4).alias("mean"))
+    last = d.agg(F.max("date")).first()[0]
+    t = VersionedTable(spark, shared.folder(spark, "features"), ["date"], buckets=4)
+    t.append(d.where(F.col("date") < F.lit(last)), "history")
+    for _ in range(2):
+        z = V.z_of_day(d.where(F.col("date") == F.lit(last)), t.read(), ["n", "mean"])
+        t.append(z.withColumns({"z_n": rnd("z_n", 4), "z_mean": rnd("z_mean", 4)}), f"day:{last}")
+    return t.read()
+
+
 @query("SELECT l_returnflag, TRUE AS distinct_close, TRUE AS median_close FROM lineitem GROUP BY 1")
 def sketches(spark, sf):
     """Approximate distinct count (5 % asked for) and quantile, held against the exact ones within three times the error asked for."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import statistics as T
 from ..operators import windows as W
 from .aggregates import R1, r1
-from .registry import MKT, P2, mkt, p2, query, rnd
+from .registry import MKT, P2, mkt, p2, p3, query, rnd
 
 _J = f"{R1}, m AS (SELECT date, avg(r) AS mk, avg(r) FILTER (WHERE asset_id % 2 = 0) AS mk2 FROM r1 GROUP BY date), j AS (SELECT r1.asset_id, r1.date, r, mk, mk2 FROM r1 JOIN m ON m.date = r1.date)"
 
@@ -136,6 +137,18 @@ def basket_minvar_rank(spark, sf):
     return T.select_basket(s, "b", "asset_id", "minvar").select("asset_id", "rank")
 
 
+@query("""WITH p AS (SELECT l_suppkey AS asset_id, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2), r AS (SELECT asset_id, date, CAST(date_trunc('quarter', date) AS DATE) AS rebalance_date, close / lag(close) OVER (PARTITION BY asset_id ORDER BY date) - 1 AS r FROM p),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY rebalance_date ORDER BY date DESC) AS d FROM r WHERE r IS NOT NULL), s AS (SELECT rebalance_date, asset_id, stddev_samp(r) AS vol, avg(r) FILTER (WHERE d <= 30) AS mu, count(r) AS n FROM d GROUP BY 1, 2),
+v AS (SELECT rebalance_date, asset_id, 'minvar_rank' AS method, CASE WHEN vol > 0 THEN vol END AS v, CASE WHEN vol > 0 THEN vol END AS o FROM s UNION ALL SELECT rebalance_date, asset_id, 'momentum_rank', mu, CASE WHEN vol > 0 THEN vol END FROM s UNION ALL SELECT rebalance_date, asset_id, 'random', CASE WHEN n >= 20 THEN CAST('0x' || substr(md5(rebalance_date || ':' || asset_id), 1, 12) AS BIGINT)::DOUBLE END, CASE WHEN vol > 0 THEN vol END FROM s),
+x AS (SELECT *, CASE WHEN count(v) OVER (PARTITION BY rebalance_date, method) >= 30 THEN v ELSE o END AS x FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY rebalance_date, method ORDER BY x, asset_id) AS k, count(*) OVER (PARTITION BY rebalance_date, method) AS c FROM x WHERE x IS NOT NULL)
+SELECT rebalance_date, method, asset_id, CASE WHEN k <= 15 THEN round(0.5 / 15, 6) ELSE round(-0.5 / 15, 6) END AS weight FROM k WHERE c >= 30 AND (k <= 15 OR k > c - 15)""")
+def rank_baskets(spark, sf):
+    """15 and 15 of each quarter by three rules; the quarter's returns are the lookback."""
+    r = p3(spark, sf).withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("asset_id").orderBy("date")) - 1).where("r is not null")
+    d = r.select(F.to_date(F.date_trunc("quarter", "date")).alias("rebalance_date"), "asset_id", "date", "r")
+    return T.rank_sides(d, "rebalance_date", "asset_id", "date", "r").withColumn("weight", rnd("weight"))
+
+
 @query(f"WITH {P2} SELECT asset_id, round(median(marketcap), 4) AS mcap, round(median(volume), 4) AS volume FROM p2 GROUP BY 1 HAVING median(volume) >= 1")
 def universe_qc(spark, sf):
     g = p2(spark, sf).groupBy("asset_id").agg(F.percentile("marketcap", 0.5).alias("mcap"), F.percentile("volume", 0.5).alias("volume")).where("volume >= 1")

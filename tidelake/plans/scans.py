@@ -55,7 +55,7 @@ def load_wide(spark, sf):
 def materialized_database(spark, sf):
     """Tables of the folder as managed tables of a database, queried there."""
     name = f"lake_{uuid.uuid4().hex}"
-    catalog.materialize(spark, sf, name, ["nation", "customer"])
+    catalog.materialize(spark, sf, name, ["nation", "customer"], shared.folder(spark, "database"))
     return spark.sql(f"SELECT n_name, count(*) AS n FROM {name}.customer JOIN {name}.nation ON c_nationkey = n_nationkey GROUP BY 1")
 
 

@@ -17,7 +17,10 @@ def _file(spark, sf):
     """A state file of daily features of the orders, in the shared folder."""
     daily = panel.read(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("decision_date"))
     daily = daily.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("o_totalprice"), 4).alias("apr"), rnd(F.stddev_pop("o_totalprice"), 4).alias("spread"))
-    path = f"{shared.folder(spark, 'state').removeprefix('file://').removeprefix('file:')}/macro_state.db"
+    folder = shared.folder(spark, "state").removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"a state file needs a shared folder that is mounted, not {folder}")
+    path = f"{folder}/macro_state.db"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     state_files.save(daily, path, "macro_features", "decision_date")
     return spark, path, "macro_features"

@@ -86,9 +86,9 @@ def show_tables(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW VIEWS").select("viewName")
 
 
-def materialize(spark: SparkSession, folder: str, database: str, names: Sequence[str] = TABLES) -> list[str]:
-    """The tables of a folder as managed tables of a database."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def materialize(spark: SparkSession, folder: str, database: str, names: Sequence[str] = TABLES, location: str | None = None) -> list[str]:
+    """The tables of a folder as managed tables of a database, which lies at location or in the warehouse."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
     done = []
     for n in names:
         if _exists(spark, f"{folder}/{n}.parquet"):

@@ -8,7 +8,7 @@ one which occurs SUBSUMED percent as often or more is dropped, and the TOP best
 First pass: each task counts its phrases of 1 to MOST words in a count-min sketch of ROWS rows of cells, saturating at LEAST, and adds its sketch to
 others by a shuffle of blocks. A sketch overestimates, so a phrase with a cell below LEAST in any row is not frequent; the merged sketch
 shrinks to a bit a cell, which all tasks get (at most ROWS * 2^CELLS bits: 16 MB). Second pass: only phrases with all bits set are counted exactly. Parts of
-a frequent phrase are frequent as well, so every count that a score needs is among them. The number of cells follows the size of the texts up to 2^CELLS; beyond about a
+a frequent phrase are frequent as well, so every count that a score needs is among them. The number of cells follows the size of the texts up to 2^CELLS; beyond about half a
 billion words chance fills most cells, and the second pass then counts nearly all phrases: more work, the same result. Tasks of the first pass take SHARE times as
 many bytes of text as their sketch, so that sketches stay a small part of what is shuffled.
 

@@ -16,8 +16,8 @@ Each segment first joins with itself. Segments' patterns are the upper nodes: a
 (of two segments one visits the other, by turns), with the component it has so far. Tasks return edges of spanning forests, never pairs of
 a group. A task holds one segment (2^14 fingerprints, or 1/4096 of all where that is more) and one chunk of visitors.
 
-At n fingerprints a segment's pattern fixes about log2(number of segments) bits, and a fingerprint visits the segments within LIMIT of these: about 3 of 5 at 200
-segments, 1 of 10 at 4096; the comparisons of a fingerprint grow like those numbers for log2(n) bits, far slower than n.
+A segment's pattern fixes about log2(number of segments) bits. A fingerprint lies within LIMIT of about 3 of 5 segments at 200 segments and 1 of 5 at 4096, and visits half of
+these; how many fingerprints it is compared with grows like the same number for log2(n) bits, far slower than n.
 
 Defined cases: a null text has no words; a null id belongs to its component but is never its smallest id, and a component of null ids only has none; repeated rows
 share a fingerprint; an empty table gives an empty result; other columns stay, and one named like the result is replaced.

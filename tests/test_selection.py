@@ -82,3 +82,58 @@ def test_sweep_counts_each_row_once_between_thresholds(spark):
             known = [math.log1p(b) for b in part if b is not None]
             assert (got[i][name] is None) == (not known) and (not known or math.isclose(got[i][name], math.expm1(sum(known)), abs_tol=1e-9))
     assert T.threshold_sweep(spark.createDataFrame([], "s double, r double"), "s", "r", 10).count() == 0
+
+
+def test_gaps_are_filled_on_sparse_rows_alone(spark, tmp_path, monkeypatch):
+    """The registered gap queries against dense windows, with assets that begin, end or consist without a value; no window may run over added days."""
+    import datetime as dt
+
+    from tidelake.operators import windows as W
+    from tidelake.plans import registry, rolling
+    from tidelake.sources import panel
+
+    r = random.Random(5)
+    day = dt.date(2024, 1, 1)
+    rows = [(a, day + dt.timedelta(days=i), None if a == 9 or r.random() < 0.3 else float(r.randint(0, 3))) for a in range(10) for i in range(40) if r.random() < 0.4]
+    df = spark.createDataFrame(rows, "asset_id int, date date, close double").cache()
+    monkeypatch.setattr(rolling, "p3", lambda spark, sf: df)
+    w = W.by()
+    d = panel.densify(df)
+    falling = W.Window.partitionBy("asset_id").orderBy(F.desc("date"))
+    f = d.withColumn("f", W.ffill("close", w)).withColumn("v", F.coalesce("f", W.bfill("f", falling)))
+    prev = F.last("close", ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
+    back = F.when((F.col("close") != 0) & (F.col("p") != 0), (F.col("close") / F.col("p") - 1) * 100)
+    dense = {
+        "fill_both": f.select("asset_id", "date", registry.rnd("v", 4).alias("v")),
+        "ffill3": d.withColumn("v", W.ffill("close", w, 3)).select("asset_id", "date", registry.rnd("v", 4).alias("v"), (F.col("close").isNull() & F.col("v").isNotNull()).alias("is_ffilled")),
+        "gap_fill_whole": W.fill_whole_gaps(d, "close", 2).select("asset_id", "date", registry.rnd("filled", 4).alias("v")),
+        "gap_fill_1d": d.select("asset_id", "date", registry.rnd(W.fill_single_gaps("close", w), 4).alias("v")),
+        "ret_1d_pad": d.select("asset_id", "date", registry.rnd(W.simple_return("close", w, gap="pad")).alias("ret")),
+        "ret_vs_last_nonnull": d.withColumn("p", prev).select("asset_id", "date", registry.rnd(back, 4).alias("ret")),
+        "longest_null_run": W.longest_run(d, F.col("close").isNull()),
+    }
+    for name, want in dense.items():
+        got = registry.QUERIES[name](spark, "")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        top = min((plan.find(x) for x in ("Generate", "Aggregate") if x in plan), default=-1)
+        assert "Window" not in plan[:top], name
+    assert rows and d.count() > len(rows)
+
+
+def test_silver_prices_mark_added_days_of_a_slingshot(spark):
+    import datetime as dt
+
+    from tidelake.operators import quality, windows as W
+    from tidelake.sources import panel
+
+    r = random.Random(6)
+    day = dt.date(2024, 1, 1)
+    rows = [(a, day + dt.timedelta(days=i), None if r.random() < 0.05 else r.choice([1.0, 1.1, 5.0, 20.0, 0.2])) for a in range(30) for i in range(60) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "asset_id int, date date, close double").cache()
+    d = panel.densify(df).withColumn("_r", W.simple_return("close", W.by()))
+    d = W.mark_slingshots(d, "_r", out="x")
+    want = {(q["asset_id"], q["date"]): (q["x"], None if q["x"] else q["close"]) for q in d.collect()}
+    s = quality.silver_prices(df)
+    assert {(q["asset_id"], q["date"]): (q["is_winsorized"], q["close"]) for q in s.collect()} == want
+    assert sum(q["close"] is None and q["x"] for q in d.collect()) and "Window" not in s._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]

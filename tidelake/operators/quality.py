@@ -44,9 +44,13 @@ def silver_prices(df: DataFrame, blacklist: DataFrame | None = None, key: str =
 
     if blacklist is not None:
         df = df.join(blacklist.select(key).distinct(), key, "left_anti")
-    d = densify(df.select(key, date, "close"), key, date).withColumn("_r", W.simple_return("close", W.by(key, date)))
-    d = W.mark_slingshots(d, "_r", key, date, out="is_winsorized").withColumn("is_ffilled", F.lit(False))
-    return d.withColumn("close", F.when(~F.col("is_winsorized"), F.col("close"))).drop("_r")
+    w, r = W.by(key, date), F.col("_r")
+    d = df.where(F.col(date).isNotNull()).select(key, date, "close").withColumn("_r", W.simple_return("close", w, gap="break", date=date))
+    # a jump marks the days up to the one before its fall, added ones too: the last marked day is carried onto them
+    falls = (F.when((F.lead("_r", i).over(w) < -0.5) & (F.datediff(F.lead(date, i).over(w), date) == k), F.date_add(date, k - 1)) for k in (1, 2, 3) for i in range(1, k + 1))
+    d = d.withColumn("_until", F.when(r > 1, F.greatest(F.lit(None).cast("date"), *falls))).withColumn("_until", F.max("_until").over(W.upto(w)))
+    d = densify(d, key, date, carry=["_until"]).withColumn("is_winsorized", F.coalesce(F.col(date) <= F.col("_until"), F.lit(False))).withColumn("is_ffilled", F.lit(False))
+    return d.withColumn("close", F.when(~F.col("is_winsorized"), F.col("close"))).drop("_r", "_until")
 
 
 def silver_funding(df: DataFrame, cutover: str, least_assets: int = 25, limit: int = 3, bound: float = 1.0) -> DataFrame:

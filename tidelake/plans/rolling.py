@@ -28,7 +28,8 @@ d AS (SELECT g.asset_id, g.date, close FROM g LEFT JOIN p3 USING (asset_id, date
 f AS (SELECT *, last_value(close IGNORE NULLS) OVER ({A} ROWS UNBOUNDED PRECEDING) AS c FROM d)
 SELECT asset_id, date, round(c / nullif(lag(c) OVER ({A}), 0) - 1, 6) AS ret FROM f""")
 def ret_1d_pad(spark, sf):
-    return panel.densify(p3(spark, sf).select("asset_id", "date", "close")).select("asset_id", "date", rnd(W.simple_return("close", W.by(), gap="pad")).alias("ret"))
+    d = opened(spark, sf)
+    return d.select("asset_id", "date", rnd(W.ratio(F.col("close"), F.when(own(), F.col("before")).otherwise(F.col("close"))) - 1).alias("ret"))
 
 
 @query(f"WITH {P1} SELECT asset_id, date, " + ", ".join(f"round(close / nullif(lag(close, {k}) OVER ({A}), 0) - 1, 6) AS ret_{k}" for k in (3, 7, 14)) + " FROM p1")
@@ -207,38 +208,52 @@ DENSE = f"""{P3}, g AS (SELECT asset_id, CAST(unnest(generate_series(min(date),
 dense AS (SELECT g.asset_id, g.date, close FROM g LEFT JOIN p3 ON p3.asset_id = g.asset_id AND p3.date = g.date)"""
 
 
-def dense(spark, sf):
-    return panel.densify(p3(spark, sf).select("asset_id", "date", "close"))
+def spans(spark, sf):
+    return panel.spans(p3(spark, sf), "close")
+
+
+def opened(spark, sf):
+    return panel.opened(spans(spark, sf))
+
+
+def own():
+    """The day of a span that has its value."""
+    return F.col("date") == F.col("first")
+
+
+def added():
+    """The span's days after it."""
+    return F.datediff("last", "first")
 
 
 @query(f"WITH {DENSE} SELECT asset_id, date, round(last_value(close IGNORE NULLS) OVER ({A} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS v, close IS NULL AND last_value(close IGNORE NULLS) OVER ({A} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) IS NOT NULL AS is_ffilled FROM dense")
 def ffill3(spark, sf):
-    d = dense(spark, sf).withColumn("v", W.ffill("close", W.by(), 3))
-    return d.select("asset_id", "date", rnd("v", 4).alias("v"), (F.col("close").isNull() & F.col("v").isNotNull()).alias("is_ffilled"))
+    v = F.when(F.datediff("date", "first") <= 3, F.col("close"))
+    return opened(spark, sf).select("asset_id", "date", rnd(v, 4).alias("v"), (~own() & v.isNotNull()).alias("is_ffilled"))
 
 
 @query(f"""WITH {DENSE}, a AS (SELECT *, count(close) OVER ({A}) AS gap FROM dense),
 b AS (SELECT *, sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, gap) AS n, last_value(close IGNORE NULLS) OVER ({A}) AS prev FROM a)
 SELECT asset_id, date, round(CASE WHEN close IS NOT NULL THEN close WHEN n <= 2 AND gap > 0 THEN prev END, 4) AS v FROM b""")
 def gap_fill_whole(spark, sf):
-    return W.fill_whole_gaps(dense(spark, sf), "close", 2).select("asset_id", "date", rnd("filled", 4).alias("v"))
+    return opened(spark, sf).select("asset_id", "date", rnd(F.when(own() | (added() <= 2), F.col("close")), 4).alias("v"))
 
 
 @query(f"WITH {DENSE} SELECT asset_id, date, round(CASE WHEN close IS NULL AND lag(close) OVER ({A}) IS NOT NULL AND lead(close) OVER ({A}) IS NOT NULL THEN lag(close) OVER ({A}) ELSE close END, 4) AS v FROM dense")
 def gap_fill_1d(spark, sf):
-    return dense(spark, sf).select("asset_id", "date", rnd(W.fill_single_gaps("close", W.by()), 4).alias("v"))
+    return opened(spark, sf).select("asset_id", "date", rnd(F.when(own() | ((added() == 1) & F.col("after").isNotNull()), F.col("close")), 4).alias("v"))
 
 
 @query(f"WITH {DENSE}, f AS (SELECT asset_id, date, last_value(close IGNORE NULLS) OVER ({A}) AS v FROM dense) SELECT asset_id, date, round(coalesce(v, first_value(v IGNORE NULLS) OVER ({A} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS v FROM f")
 def fill_both(spark, sf):
-    d = dense(spark, sf).withColumn("f", W.ffill("close", W.by()))
-    return d.select("asset_id", "date", rnd(F.coalesce("f", W.bfill("f", W.by())), 4).alias("v"))
+    return opened(spark, sf).select("asset_id", "date", rnd(F.coalesce("close", "after"), 4).alias("v"))
 
 
 @query(f"""WITH {DENSE}, a AS (SELECT asset_id, close IS NULL AS f, row_number() OVER ({A}) - row_number() OVER (PARTITION BY asset_id, close IS NULL ORDER BY date) AS k FROM dense),
 b AS (SELECT asset_id, sum(f::INT) AS n FROM a GROUP BY asset_id, f, k) SELECT asset_id, CAST(max(n) AS BIGINT) AS longest FROM b GROUP BY asset_id""")
 def longest_null_run(spark, sf):
-    return W.longest_run(dense(spark, sf), F.col("close").isNull())
+    n = added() + F.col("close").isNull().cast("int")
+    return spans(spark, sf).groupBy("asset_id").agg(F.max(n).cast("long").alias("longest"))
 
 
 @query(f"""WITH {P1}, c AS (SELECT asset_id, date, coalesce(floor(close / 20) = lag(floor(close / 20)) OVER ({A}), false) AS f FROM p1),
@@ -370,8 +385,8 @@ def corr_of_rollings(spark, sf):
 
 @query(f"WITH {DENSE}, l AS (SELECT asset_id, date, close, last_value(close IGNORE NULLS) OVER ({A} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM dense) SELECT asset_id, date, CASE WHEN close <> 0 AND p <> 0 THEN round((close / p - 1) * 100, 4) END AS ret FROM l")
 def ret_vs_last_nonnull(spark, sf):
-    prev = F.last("close", ignorenulls=True).over(W.by().rowsBetween(Window.unboundedPreceding, -1))
-    return dense(spark, sf).withColumn("p", prev).select("asset_id", "date", rnd(F.when((F.col("close") != 0) & (F.col("p") != 0), (F.col("close") / F.col("p") - 1) * 100), 4).alias("ret"))
+    r = F.when(own() & (F.col("close") != 0) & (F.col("before") != 0), (F.col("close") / F.col("before") - 1) * 100)
+    return opened(spark, sf).select("asset_id", "date", rnd(r, 4).alias("ret"))
 
 
 @query(f"""WITH {MKT}, z AS (SELECT date, r, r_alts AS z FROM mkt), d AS (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) AS decision_date FROM mkt),

@@ -27,11 +27,13 @@ def align_regimes(regimes: DataFrame, returns: DataFrame, candidates: Sequence[s
     return regimes.select(F.to_date("date").alias("date"), "regime").join(returns.select(F.to_date("date").alias("date"), F.col(c).alias("ret")), "date", "full" if how == "outer" else how)
 
 
-def normalize_history(df: DataFrame, date: str = "decision_date") -> DataFrame:
-    """Dates parsed (rows without one go) and the last row of each date kept, as ISO text."""
-    d = df.withColumn("_d", F.to_date(F.col(date).cast("string"))).where("_d is not null").withColumn("_o", F.monotonically_increasing_id())
-    k = F.row_number().over(Window.partitionBy("_d").orderBy(F.desc("_o")))
-    return d.withColumn("_k", k).where("_k = 1").withColumn(date, F.date_format("_d", "yyyy-MM-dd")).drop("_d", "_o", "_k")
+def normalize_history(df: DataFrame, date: str = "decision_date", order: str | None = None) -> DataFrame:
+    """Dates parsed (rows without one go) and the last row of each date kept, as ISO text. The last is that with the largest `order` (default: the
+    order of the rows as they are read), found by partial aggregates, so rows needn't be sorted."""
+    d = df.withColumn("_d", F.to_date(F.col(date).cast("string"))).where("_d is not null")
+    d = d.withColumn("_o", F.col(order) if order else F.monotonically_increasing_id())
+    last = d.groupBy("_d").agg(*(F.max_by(c, "_o").alias(c) for c in df.columns if c != date))
+    return last.withColumn(date, F.date_format("_d", "yyyy-MM-dd")).select(*df.columns)
 
 
 def latest_rows(df: DataFrame, date: str, n: int) -> DataFrame:

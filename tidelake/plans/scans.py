@@ -96,7 +96,7 @@ def normalized_history(spark, sf):
     """Dates of mixed spelling; bad ones go, and of a date its last row stays."""
     o = panel.read(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("decision_date"), F.col("o_orderkey").alias("v"))
     bad = o.limit(5).select(F.lit(None).cast("string").alias("decision_date"), F.lit(10**9).cast("long").alias("v"))
-    return evaluation.normalize_history(o.unionByName(bad).coalesce(1).sortWithinPartitions("v"))
+    return evaluation.normalize_history(o.unionByName(bad), order="v")
 
 
 @query("WITH t AS (SELECT o_orderpriority AS cohort, CAST(min(o_orderdate) AS DATE) AS started FROM orders GROUP BY 1), d AS (SELECT min(started) + 43 AS today FROM t) SELECT cohort, started, CAST(today - started AS INTEGER) AS age FROM t, d WHERE today - started IN (40, 43, 45)")

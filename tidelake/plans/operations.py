@@ -143,10 +143,13 @@ def append_day_features(spark, sf):
 @query("SELECT l_returnflag, TRUE AS distinct_close, TRUE AS median_close FROM lineitem GROUP BY 1")
 def sketches(spark, sf):
     """Approximate distinct count (5 % asked for) and quantile, held against the exact ones within three times the error asked for."""
-    g = panel.read(spark, sf, "lineitem").groupBy("l_returnflag")
+    li = panel.read(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_extendedprice")
+    x = li.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.05).alias("a"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("q"))
+    # apart from the sketches, which an aggregate with an exact distinct count would build for each flag and order
+    e = li.select("l_returnflag", "l_orderkey").distinct().groupBy(F.col("l_returnflag").alias("f")).agg(F.count("l_orderkey").alias("e"))
+    x = x.join(e, F.col("l_returnflag").eqNullSafe(F.col("f"))).select(F.col("f"), "a", "e", "q")
     rank = F.avg((F.col("l_extendedprice") <= F.col("q")).cast("double"))
-    x = g.agg(F.approx_count_distinct("l_orderkey", 0.05).alias("a"), F.count_distinct("l_orderkey").alias("e"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("q"))
-    y = panel.read(spark, sf, "lineitem").join(x, "l_returnflag").groupBy("l_returnflag").agg(rank.alias("rank"), F.first("a").alias("a"), F.first("e").alias("e"))
+    y = li.join(F.broadcast(x), F.col("l_returnflag").eqNullSafe(F.col("f"))).groupBy("l_returnflag").agg(rank.alias("rank"), F.first("a").alias("a"), F.first("e").alias("e"))
     return y.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e")).alias("distinct_close"), (F.abs(F.col("rank") - 0.5) <= 0.01).alias("median_close"))
 
 

@@ -326,7 +326,7 @@ def vol_14d(spark, sf):
 @query(f"""WITH {P1}, r AS (SELECT asset_id, date, close / nullif(lag(close) OVER ({A}), 0) - 1 AS r FROM p1), q AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM r)
 SELECT asset_id, date, round(r, 6) AS r, r < lo OR r > hi AS extreme FROM r, q WHERE r IS NOT NULL""")
 def extreme_flags(spark, sf):
-    r = p1(spark, sf).withColumn("r", W.simple_return("close", W.by())).where("r is not null")
+    r = selection.kept(p1(spark, sf).withColumn("r", W.simple_return("close", W.by())).where("r is not null"))
     lo, hi = (F.lit(x).cast("double") for x in selection.quantiles(r, "r", [0.01, 0.99]))
     return r.select("asset_id", "date", rnd("r").alias("r"), ((F.col("r") < lo) | (F.col("r") > hi)).alias("extreme"))
 

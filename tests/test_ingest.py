@@ -306,3 +306,53 @@ def test_theta_sketches_beyond_their_entries(spark):
 
     x = K.united(K.daily_sketches(spark.range(300_000).select(F.lit(1).alias("date"), "id", F.rand(1).alias("v")), [], "date", "id", "v"), []).first()
     assert abs(x["customers"] - 300_000) <= 300_000 * 2 / 2 ** (K.THETA / 2) and abs(x["hll"] - 300_000) <= K.HLL_BOUND * 300_000
+
+
+def test_sharded_sketches_are_exact_beyond_their_entries(spark):
+    from tidelake.operators import sketches as K
+
+    facts = spark.range(300_000).select((F.col("id") % 3).alias("date"), "id", F.rand(1).alias("v"), F.explode(F.array(F.lit("a"), F.when(F.col("id") % 5 == 0, F.lit("b")))).alias("g")).where("g is not null")
+    n = K.shards_for(facts, "id")
+    daily = K.daily_sketches(facts, ["g"], "date", "id", "v", n)
+    x = K.united(daily, []).first()
+    assert n > 8 and x["customers"] == 300_000 and x["n"] == 360_000 and abs(x["hll"] - 300_000) <= K.HLL_BOUND * 300_000 and abs(x["median"] - 0.5) <= 2 * K.KLL_BOUND
+    assert tuple(K.overlap(daily, F.col("g") == "a", F.col("g") == "b").first()) == (300_000, 60_000, 60_000, 240_000)
+    assert tuple(K.overlap(daily.where("false"), F.col("g") == "a", F.col("g") == "b").first()) == (0, 0, 0, 0)
+
+
+def test_history_keeps_the_last_row_of_a_date_without_one_task(spark):
+    from tidelake.operators import evaluation
+
+    rows = [("2024-01-01", 3, "c"), ("2024-01-01 10:00:00", 7, None), ("2024-01-02", 1, "a"), (None, 9, "z"), ("no date", 9, "z"), ("2024-01-01", 5, "d")]
+    df = spark.createDataFrame(rows, "decision_date string, v long, t string").repartition(4)
+    h = evaluation.normalize_history(df.where("decision_date is null or decision_date not like 'no%'"), order="v")
+    assert sorted(map(tuple, h.collect())) == [("2024-01-01", 7, None), ("2024-01-02", 1, "a")]
+    plan = h._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_panel_of_events_adds_up_in_their_order(spark, tmp_path):
+    import datetime as dt
+
+    from tidelake.plans import registry
+    from tidelake.sources import panel
+
+    r = random.Random(7)
+    at = [dt.datetime(2024, 1, 1 + i % 2, 3) for i in range(12)]
+    value = [None if i == 5 else round(r.random() * 1000, 2) for i in range(12)]
+    rows = [(100 * u + i, at[i], u, value[i]) for u in range(50) for i in range(12)] + [(9999, at[0], 77, None)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    df.orderBy(F.rand(3)).repartition(9).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(p["asset_id"], p["date"].day): (p["close"], p["volume"], p["marketcap"]) for p in panel.events_panel(spark, str(tmp_path)).collect()}
+    assert got.pop((77, 1)) == (None, None, None)
+    for d in (0, 1):
+        total = 0.0
+        for v in value[d::2]:
+            total += v or 0.0
+        n = sum(v is not None for v in value[d::2])
+        assert {v for k, v in got.items() if k[1] == d + 1} == {(total / n, total, total / n * 6)}
+    # of equally near days, and of equally high ones, the first
+    days = [(i, dt.datetime(2024, 1, 1 + i), 1, v) for i, v in enumerate([60.0, 40.0, 90.0, 60.0, 90.0])]
+    spark.createDataFrame(days, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/b/events.parquet")
+    n = registry.QUERIES["nearest_level"](spark, f"{tmp_path}/b").first()
+    assert (n["nearest"], n["highest"]) == (dt.date(2024, 1, 1), dt.date(2024, 1, 3))

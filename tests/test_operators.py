@@ -308,3 +308,35 @@ def test_replacing_survives_a_crash_between_renames(spark, tmp_path):
     os.rename(path, f"{path}.replaced")
     catalog.replace_atomically(spark.range(1), path)
     assert spark.read.parquet(path).count() == 1 and not os.path.exists(f"{path}.replaced")
+
+
+def test_market_methods_equal_those_of_one_matrix_without_holding_it(spark, monkeypatch):
+    """More members than days, missing returns, copies; members meet in blocks of 16, so that clusters take rounds over pairs of blocks."""
+    from tidelake.operators import market as M
+
+    rng = np.random.default_rng(11)
+    t, p = 12, 60
+    x = rng.normal(size=(t, p)) + rng.normal(size=(t, 1)) * rng.uniform(0, 2, p)
+    rows = [("g", i, D[0] + dt.timedelta(days=d), float(x[d, i])) for d in range(t) for i in range(p) if rng.random() < 0.9]
+    rows += [("h", i, D[0] + dt.timedelta(days=d), float(d * i % 5)) for d in range(6) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, asset_id long, date date, r double").repartition(5).cache()
+    monkeypatch.setattr(M, "BLOCK", 16)
+    for method in ("cov", "pca", "minvar", "cluster"):
+        want = {(r["g"], r["asset_id"]): r["value"] for r in T.basket_matrix(df, "g", "asset_id", "date", "r", method).collect()}
+        got = {(r["g"], r["asset_id"]): r["value"] for r in M.matrix(df, "g", "asset_id", "date", "r", method).collect()}
+        own = [k for k in want if k[0] == "g" or method in ("cov", "minvar")]
+        assert set(got) == set(want) and [got[k] for k in own] == pytest.approx([want[k] for k in own], abs=1e-6)
+    assert M.matrix(df.limit(0), "g", "asset_id", "date", "r", "pca").count() == 0
+
+
+def test_market_clusters_of_copies_and_matrix_never_formed(spark, monkeypatch):
+    from tidelake.operators import market as M
+
+    base = np.random.default_rng(4).normal(size=(5, 10))
+    rows = [("g", 5 * c + i, D[0] + dt.timedelta(days=d), float(base[i, d])) for c in range(40) for i in range(5) for d in range(10)]
+    df = spark.createDataFrame(rows, "g string, asset_id long, date date, r double")
+    monkeypatch.setattr(M, "BLOCK", 64)
+    monkeypatch.setattr(T, "shrunk_covariance", None)  # fails if a matrix of all members is asked for
+    got = {r["asset_id"]: int(r["value"]) for r in M.matrix(df, "g", "asset_id", "date", "r", "cluster", k=5).collect()}
+    assert got == {i: i % 5 for i in range(200)}
+    assert T.long_short_baskets(df, "g", "asset_id", "date", "r", n=3, least=5).count() == 24

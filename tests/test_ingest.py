@@ -139,6 +139,29 @@ def test_a_key_that_was_idle_starts_anew(spark):
     assert [(r["kind"], r["event_id"], r["before"]) for r in N.in_order(x).orderBy("at", "kind").collect()] == [("daily", 1, None), ("change", 2, "LOW"), ("daily", 2, "LOW"), ("daily", 3, None)]
 
 
+def test_notices_keep_state_in_few_rows(spark, tmp_path):
+    """The rows of the state follow the shards, not the events; keys and ids may be null, an event may lie beyond what pandas takes for a time."""
+    from tidelake.streaming import events as E
+    from tidelake.streaming import notices as N
+
+    n = F.col("id")
+    made = spark.range(4000).select(
+        n.alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + n * 60_000_000 * F.when(n < 100, 1).otherwise(40)).cast("timestamp_ntz").alias("ts"), F.when(n % 5 > 0, n % 5).alias("user_id"),
+        F.lit("view").alias("event_type"), ((n * 37) % 201).cast("double").alias("value"), F.lit("").alias("props"),
+    )
+    waits = spark.range(200).select((n + 5000).alias("event_id"), F.expr("timestamp_ntz '2024-06-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id)").alias("ts"), (n % 2 + 3).alias("user_id"), F.lit("view").alias("event_type"), (n % 3 * 90).cast("double").alias("value"), F.lit("").alias("props"))
+    far = spark.sql("select bigint(null) event_id, timestamp_ntz '3000-01-01 00:00:00.000007' ts, 3L user_id, 'view' event_type, 500d value, '' props")
+    for name, rows, shards in (("near", made.unionByName(waits), 2), ("far", made.unionByName(far), 1)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        settled = E.run_available(N.notices(E.read(spark, f"{tmp_path}/{name}"), idle_days=2), name, f"{tmp_path}/{name}-ck", "append")
+        waiting = N.unsettled(spark, f"{tmp_path}/{name}-ck", idle_days=2)
+        want = N.in_order(N.prepared(spark.read.parquet(f"{tmp_path}/{name}").withColumn("ts", F.col("ts").cast("timestamp")), 100.0), idle_days=2)
+        assert sorted(map(repr, settled.unionByName(waiting).collect())) == sorted(map(repr, want.collect()))
+        assert settled.where("key is null").count() > 0 and waiting.count() > 0
+        pending = spark.read.format("statestore").option("path", f"{tmp_path}/{name}-ck").option("stateVarName", "pending").load()
+        assert 0 < pending.count() <= shards
+
+
 # Catching up
 
 

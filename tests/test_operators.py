@@ -340,3 +340,28 @@ def test_market_clusters_of_copies_and_matrix_never_formed(spark, monkeypatch):
     got = {r["asset_id"]: int(r["value"]) for r in M.matrix(df, "g", "asset_id", "date", "r", "cluster", k=5).collect()}
     assert got == {i: i % 5 for i in range(200)}
     assert T.long_short_baskets(df, "g", "asset_id", "date", "r", n=3, least=5).count() == 24
+
+
+def test_market_clusters_of_a_star_take_few_rounds(spark, monkeypatch):
+    """All members are nearest to one that varies far more than they do, so that they join it one after the other."""
+    from tidelake.operators import market as M
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8, 120)) * 0.3 + np.arange(8)[:, None] % 3
+    x[:, 0] = 40.0 * (np.arange(8) % 3)
+    rows = [("g", i, D[0] + dt.timedelta(days=d), float(x[d, i])) for d in range(8) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, asset_id long, date date, r double").repartition(3).cache()
+    rounds, nearest = [], M._nearest
+
+    def counted(c, n):
+        rounds.append(n)
+        assert len(rounds) <= 8
+        return nearest(c, n)
+
+    monkeypatch.setattr(M, "_nearest", counted)
+    monkeypatch.setattr(M, "BLOCK", 32)
+    monkeypatch.setattr(M, "TILE", 7, raising=False)
+    monkeypatch.setattr(M, "HOT", 60, raising=False)
+    got = {r["asset_id"]: r["value"] for r in M.matrix(df, "g", "asset_id", "date", "r", "cluster", k=6).collect()}
+    want = {r["asset_id"]: r["value"] for r in T.basket_matrix(df, "g", "asset_id", "date", "r", "cluster", k=6).collect()}
+    assert got == want and len(rounds) >= 2

@@ -365,3 +365,33 @@ def test_market_clusters_of_a_star_take_few_rounds(spark, monkeypatch):
     got = {r["asset_id"]: r["value"] for r in M.matrix(df, "g", "asset_id", "date", "r", "cluster", k=6).collect()}
     want = {r["asset_id"]: r["value"] for r in T.basket_matrix(df, "g", "asset_id", "date", "r", "cluster", k=6).collect()}
     assert got == want and len(rounds) >= 2
+
+
+def test_market_covariance_has_all_pairs(spark, monkeypatch):
+    from tidelake.operators import market as M
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, 40)) @ np.diag(rng.uniform(0.1, 3, 40))
+    rows = [("g", 7 * i - 100, D[0] + dt.timedelta(days=d), float(x[d, i])) for d in range(9) for i in range(40)] + [("h", 5, D[0], 1.0), ("h", 5, D[1], 2.0)]
+    df = spark.createDataFrame(rows, "g string, asset_id long, date date, r double").repartition(5)
+    monkeypatch.setattr(M, "BLOCK", 16)
+    monkeypatch.setattr(M, "STEP", 5)
+    got = np.zeros((40, 40))
+    found = M.covariance(df, "g", "asset_id", "date", "r").collect()
+    for r in found:
+        if r["g"] == "g":
+            assert r["asset_id"] == 7 * r["place"] - 100
+            at = r["first"] + np.arange(len(r["value"]))
+            got[r["place"], at] = got[at, r["place"]] = r["value"]
+    assert got == pytest.approx(T.shrunk_covariance(x)[0], abs=1e-9) and sum(len(r["value"]) for r in found if r["g"] == "g") == 40 * 41 // 2
+    assert [(r["asset_id"], r["place"], r["first"], r["value"]) for r in found if r["g"] == "h"] == [(5, 0, 0, [0.25])]
+    assert M.covariance(df.limit(0), "g", "asset_id", "date", "r").count() == 0
+
+
+def test_cov_shrink_has_all_pairs_of_assets(spark, tmp_path):
+    from tidelake.plans import registry
+
+    events = [(i, dt.datetime(2024, 1, 1 + i // 4), i % 4, float(1 + (i * i + 3 * i) % 11)) for i in range(40)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = registry.QUERIES["cov_shrink"](spark, str(tmp_path)).collect()
+    assert sorted((r["asset_id"], len(r["value"])) for r in rows) == [(0, 1), (1, 2), (2, 3), (3, 4)]

@@ -70,3 +70,13 @@ def test_entry_works_without_the_llm_folder(tmp_path):
 
 def test_rounding_is_moved_off_ties_on_both_sides():
     assert registry.steady("SELECT round(a / round(b, 2), 6) FROM t") == "SELECT round((a / round((b) + 1e-4, 2)) + 1e-8, 6) FROM t"
+
+
+def test_liquidity_counts_days_without_values_as_its_sql_does(spark, tmp_path):
+    rows = [(12 * u + i, datetime.datetime(2024, 1, 1 + i, 5), u, None if i == 3 + u else 10.0 * u + i) for u in range(3) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted((r["date"], r["liquidity"], r["at_high"]) for r in registry.QUERIES["feat_liquidity"](spark, str(tmp_path)).collect())
+    want = sorted(con.execute(f"SELECT date, liquidity, at_high FROM ({registry.ORACLES['feat_liquidity']})").fetchall())
+    assert repr(got) == repr(want) and any(r[1] is not None for r in got) and any(r[2] for r in got)

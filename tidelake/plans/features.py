@@ -63,8 +63,11 @@ SELECT date, round(median(CASE WHEN n7 >= 7 THEN med END), 6) AS liquidity, coun
 def feat_liquidity(spark, sf):
     from .registry import p1
 
-    w = W.by()
-    d = p1(spark, sf).select("date", W.rolling("volume", w, 7, W.median).alias("med"), W.at_rolling_max("volume", w, 10).alias("hi"))
+    def full(n, fn):  # a day without values counts as one of the n
+        frame = W.by().rowsBetween(1 - n, 0)
+        return F.when(F.count(F.lit(1)).over(frame) >= n, fn(F.col("volume")).over(frame))
+
+    d = p1(spark, sf).select("date", full(7, W.median).alias("med"), (F.col("volume") == full(10, F.max)).alias("hi"))
     return d.groupBy("date").agg(rnd(F.percentile("med", 0.5)).alias("liquidity"), F.count_if(F.col("hi")).alias("at_high"))
 
 
